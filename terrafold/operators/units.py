@@ -89,9 +89,13 @@ def speed_units(segments: DataFrame, feeds: DataFrame, units: DataFrame) -> Data
     known = [(r.unit_code, float(r.kph_factor)) for r in units.select("unit_code", "kph_factor").dropna().distinct().orderBy("unit_code").limit(64).collect()]
     factor = F.create_map(*(x for code, f in known for x in (F.lit(code), F.lit(f)))) if known else F.lit(None).cast("map<string,double>")
     says = feed_units(feeds)
+    # texts repeat a lot: each is read once
     text = plain(F.col("max_speed_text"))
+    texts = segments.select("max_speed_text").where("max_speed_text IS NOT NULL").distinct()
+    texts = texts.select(F.col("max_speed_text").alias("read_text"), first_number(text).alias("number"), text_unit(text).alias("named"))
     rows = segments.select("row_id", "feed", F.col("max_speed_kph").cast("double").alias("stored"), "max_speed_text", F.col("edited_at").cast("timestamp_ntz").alias("edited_at"))
-    rows = rows.join(says.withColumnRenamed("feed", "said_feed"), F.col("feed") == F.col("said_feed"), "left").withColumns({"number": first_number(text), "named": text_unit(text)})
+    rows = rows.join(says.withColumnRenamed("feed", "said_feed"), F.col("feed") == F.col("said_feed"), "left")
+    rows = rows.join(texts, F.col("max_speed_text") == F.col("read_text"), "left")
     of_feed = F.coalesce(F.when(F.col("edited_at") < F.col("changed_on"), F.col("early_unit")).otherwise(F.col("late_unit")), F.lit("kmh"))
     has = F.col("number") > 0
     rows = rows.withColumns(
