@@ -152,7 +152,8 @@ def nearest(probes: DataFrame, targets: DataFrame, cell_deg: float = 0.004) -> D
             return F.floor((lat + 90) / size) * 1_000_000 + F.floor((lon + 180) / size)
 
         around = F.array(*(F.lit(a * 1_000_000 + b) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-        p = left.withColumn("cell", F.explode(F.transform(around, lambda k, cell=cell: k + cell(F.col("lat"), F.col("lon")))))
+        own = cell(F.col("lat"), F.col("lon"))
+        p = left.withColumn("cell", F.explode(F.transform(around, lambda k: k + own)))  # noqa: B023
         t = targets.select("target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).withColumn("cell", cell(F.col("t_lat"), F.col("t_lon")))
         d = geo.geo_distance(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
         # to the micrometre, so that equal distances are equal however they were computed
