@@ -154,11 +154,11 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(f"""WITH c AS (SELECT p.poi_id, i.intersection_id, {RADIUS} * sqrt(power(radians(i.lat) - radians(p.lat), 2) + power((radians(i.lon) - radians(p.lon)) * cos((radians(p.lat) + radians(i.lat)) / 2), 2)) AS m
   FROM pois p CROSS JOIN intersections i)
-SELECT poi_id, min_by(intersection_id, {{'m': round(m, 6), 'i': intersection_id}}) AS intersection_id, round(min(round(m, 6)), 4) AS metres FROM c GROUP BY 1""")
+SELECT poi_id, min_by(intersection_id, {{'m': round(m, 6), 'i': intersection_id}}) AS intersection_id, round(min(round(m, 6)), 2) AS metres FROM c GROUP BY 1""")
 def nearest_intersection(spark: SparkSession, d: str) -> DataFrame:
     probes = view(spark, d, "pois").select(F.col("poi_id").alias("probe_id"), "lat", "lon")
     n = network.nearest(probes, view(spark, d, "intersections").select(F.col("intersection_id").alias("target_id"), "lat", "lon"))
-    return n.select(F.col("probe_id").alias("poi_id"), F.col("target_id").alias("intersection_id"), _r("metres", 4).alias("metres"))
+    return n.select(F.col("probe_id").alias("poi_id"), F.col("target_id").alias("intersection_id"), _r("metres", 2).alias("metres"))
 
 
 @R.add(f"""WITH c AS (SELECT i.intersection_id, p.poi_id, round({dist_sql('i', 'p')}, 6) AS m FROM (SELECT *, 'BUILDING ' || (intersection_id % 25) AS wanted FROM intersections) i JOIN pois p ON p.poi_name = i.wanted)
