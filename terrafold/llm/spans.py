@@ -54,22 +54,31 @@ def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return out
 
 
+def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gear hash, index of text, position in it, length of each text) of all characters of the texts."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    return gear_hashes(points), text, np.arange(len(points)) - (np.cumsum(lengths) - lengths)[text], lengths
+
+
+def _cuts(h: np.ndarray, text: np.ndarray, local: np.ndarray, lengths: np.ndarray, min_span: int) -> np.ndarray:
+    """Places where the hash is the least of some window of min_span - GEAR + 1 hashes that lies within its text."""
+    width = min_span - GEAR + 1
+    begins = (local >= GEAR - 1) & (local + width <= lengths[text])  # positions where a whole window begins
+    least = np.where(begins, _sliding(h, width, True), np.uint64(0))
+    return np.flatnonzero((h == _sliding(least, width, False)) & (local >= GEAR - 1))
+
+
 def chunk_ends(texts: list[str], min_span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of text, digest, position, digest before, distance to it) of every cut; repeats within a text once.
 
     Cuts of a text whose surroundings, as far as they can decide on a shared run, are the same count once. Digests are
     signed; where there is no cut before, the distance is 0. Texts shorter than min_span have no cuts.
     """
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    starts = np.cumsum(lengths) - lengths
+    h, text, local, lengths = _hashed(texts)
+    cut = _cuts(h, text, local, lengths, min_span)
     width = min_span - GEAR + 1
-    h = gear_hashes(points)
-    text = np.repeat(np.arange(len(texts)), lengths)
-    local = np.arange(len(points)) - starts[text]
-    begins = (local >= GEAR - 1) & (local + width <= lengths[text])  # positions where a whole window begins
-    least = np.where(begins, _sliding(h, width, True), np.uint64(0))
-    cut = np.flatnonzero((h == _sliding(least, width, False)) & (local >= GEAR - 1))
     t, p, d = text[cut], local[cut], h[cut]
     reach = width - 1
     before = np.where(p - reach >= GEAR - 1, h[np.maximum(cut - reach, 0)], _mix((p + (t << 40)).astype(np.uint64)))
@@ -89,16 +98,10 @@ def chunk_digests(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):  # about a million characters at once
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 1_000_000):
-                    size += len(texts[end])
-                    end += 1
+            for at, end in _pieces([len(t) for t in texts]):
                 t, d, p, prev, gap = chunk_ends(texts[at:end], min_span)
                 if len(t):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at:end][t], d, p, prev, gap)], ["doc", "digest", "pos", "prev", "gap"])
-                at = end
 
     long_enough = docs.where(F.length("text") >= min_span).select("doc", "text")
     return long_enough.mapInArrow(run, "doc long, digest long, pos long, prev long, gap long")
@@ -202,17 +205,90 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     return between.unionAll(within)
 
 
+#: Odd bases of the window digests, and their inverses modulo 2^64.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def window_digests(texts: list[str], starts: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
+    """Two polynomial digests modulo 2^64 of the ``span`` characters from each start (positions in the joined texts).
+
+    The gear hash forgets its oldest characters bit by bit, so equality of whole windows needs digests of its own:
+    differences of running sums of character values times powers of the base, shifted back to a common power.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = []
+    for k, base in enumerate(BASES):
+        value = _mix(points + np.uint64(k << 32))
+        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(points), np.uint64(b))]) for b in (base, pow(base, -1, 1 << 64)))
+        sums = np.r_[np.uint64(0), np.cumsum(value * power[:-1], dtype=np.uint64)]
+        out.append(((sums[starts + span] - sums[starts]) * back[starts]).view(np.int64))
+    return tuple(out)
+
+
+def _pieces(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters together."""
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= most):
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
+def _windows(docs: DataFrame, met: DataFrame | None, min_span: int) -> DataFrame:
+    """Without ``met``: (doc, digest) of all cuts, each once. With it (doc, digests that others have): (doc, start, d1, d2) of the windows about such cuts.
+
+    A window of min_span characters is named by two digests, 128 bits.
+    """
+
+    again = met is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            wanted = b.column(2).to_pylist() if again else None
+            for at, end in _pieces([len(t) for t in texts]):
+                h, text, local, lengths = _hashed(texts[at:end])
+                cut = _cuts(h, text, local, lengths, min_span)
+                if wanted is None:
+                    pairs = np.unique(np.c_[text[cut], h[cut].view(np.int64)], axis=0)
+                    if len(pairs):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][pairs[:, 0]]), pa.array(pairs[:, 1])], ["doc", "digest"])
+                    continue
+                known = [np.isin(h[cut[text[cut] == k]].view(np.int64), np.array(w, np.int64)) for k, w in enumerate(wanted[at:end])]
+                some = cut[np.concatenate(known)] if len(cut) else cut
+                mark = np.zeros(len(h) + 1, np.int64)  # where windows with such a cut may start
+                np.add.at(mark, np.maximum(some - (min_span - 1), 0), 1)
+                np.add.at(mark, some - (GEAR - 1) + 1, -1)
+                start = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (local + min_span <= lengths[text]))
+                if len(start):
+                    d1, d2 = window_digests(texts[at:end], start, min_span)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][text[start]]), pa.array(local[start]), pa.array(d1), pa.array(d2)], ["doc", "start", "d1", "d2"])
+
+    if met is None:
+        return docs.select("doc", "text").mapInArrow(run, "doc long, digest long")
+    return docs.join(met, "doc").select("doc", "text", "digests").mapInArrow(run, "doc long, start long, d1 long, d2 long")
+
+
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share): how much of each text stands in another record, for every record.
 
-    Copies of a text count wholly as shared. Null and empty texts have 0 characters and share 0.
+    Only texts that share a chunk digest with another are looked at again, window by window about that chunk; no pairs
+    are made, so a passage that a third of all records hold costs no more than its rows. Copies of a text count wholly
+    as shared. Null and empty texts have 0 characters and share 0.
     """
     classes = text_classes(docs, key, text, min_span)
-    runs = shared_runs(_unique_texts(docs, classes, key, text), min_span)
-    spans = runs.select(F.col("doc_a").alias("rep"), F.col("start_a").alias("start"), "length").unionAll(runs.select("doc_b", "start_b", "length"))
-    ends = spans.groupBy("rep", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
-    order = Window.partitionBy("rep").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    covered = ends.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))).where("end > from").groupBy("rep").agg(F.sum(F.col("end") - F.col("from")).alias("covered"))
+    unique = _unique_texts(docs, classes, key, text)
+    cuts = _windows(unique, None, min_span)
+    common = cuts.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest")
+    met = cuts.join(common, "digest").groupBy("doc").agg(F.collect_list("digest").alias("digests"))  # of one text, so bounded by it
+    windows = _windows(unique, met, min_span)
+    held = windows.groupBy("d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("d1", "d2")
+    starts = windows.join(held, ["d1", "d2"], "left_semi")
+    after = F.lead("start").over(Window.partitionBy("doc").orderBy("start"))
+    covered = starts.select(F.col("doc").alias("rep"), F.least(F.lit(min_span), F.coalesce(after - F.col("start"), F.lit(min_span))).alias("n")).groupBy("rep").agg(F.sum("n").alias("covered"))
     by_doc = classes.join(covered, "rep", "left").select("doc", "copies", F.coalesce("covered", F.lit(0)).alias("covered"))
     n = F.coalesce(F.length(text), F.lit(0)).cast("long")
     all_docs = docs.select(F.col(key).alias("doc"), n.alias("n_chars")).join(by_doc, "doc", "left")
