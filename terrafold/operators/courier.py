@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.session import checkpointed
+
 Times = dict[tuple[int, int], float]
 
 START_TEMPERATURE, COOLING = 150.0, 0.99
@@ -197,12 +199,13 @@ def best_tour(depots: DataFrame, deliveries: DataFrame, times: DataFrame) -> Dat
 
     Seeds are fixed, so equal inputs give equal tours; no tour gives no rows.
     """
-    g = greedy_tours(depots, deliveries, times)
+    times = checkpointed(times)  # used by every step; one row a pair of stops
+    g = checkpointed(greedy_tours(depots, deliveries, times))
     first = g.where("seq = 0").orderBy("cost", "depot_id").limit(1)
     if deliveries.limit(ANNEAL_ABOVE + 1).count() <= ANNEAL_ABOVE:
         return g.join(first.select("depot_id"), "depot_id", "left_semi")
     jobs = first.select("depot_id", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))).alias("seed"))
     jobs = jobs.select((F.col("depot_id") * 64 + F.col("seed")).alias("job"), "depot_id", "seed")
-    tours = _run(jobs, deliveries, times, True)
+    tours = checkpointed(_run(jobs, deliveries, times, True))
     best = tours.where("seq = 0").orderBy("cost", "job").limit(1).select("job")
     return tours.join(best, "job", "left_semi").drop("job")
