@@ -151,6 +151,41 @@ places AS (
 SELECT page_id, place_path, parent_path, p ->> '$.fsq_id' AS fsq_id, p ->> '$.name' AS name FROM places WHERE json_type(p) = 'OBJECT'
 """
 
+
+def _decoded(v: str) -> str:
+    """A JSON value, or the JSON that a text value holds."""
+    return f"(CASE WHEN json_type({v}) = 'VARCHAR' AND ltrim({v} ->> '$')[1] IN ('{{', '[') AND json_valid({v} ->> '$') THEN CAST({v} ->> '$' AS JSON) ELSE {v} END)"
+
+
+def _each(v: str) -> str:
+    """A list's elements, or the value alone, as a list of JSON."""
+    return f"(CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) ELSE [{v}] END)"
+
+
+def _number(v: str) -> str:
+    return f"(CASE WHEN json_type({v}) NOT IN ('BOOLEAN', 'OBJECT', 'ARRAY', 'NULL') THEN TRY_CAST(replace(trim({v} ->> '$'), ',', '.') AS DOUBLE) END)"
+
+
+_P5 = (
+    _P5_PLACES[: _P5_PLACES.rindex("SELECT page_id")]
+    + f""", pl AS (SELECT page_id, place_path, {_decoded("(p -> '$.location')")} AS loc, {_decoded("(p -> '$.geocodes')")} AS geo, {_decoded("(p -> '$.website')")} AS web, {_decoded("(p -> '$.rating')")} AS rat
+  FROM places WHERE json_type(p) = 'OBJECT'),
+loc AS (SELECT page_id, place_path, unnest({_each("loc")}) AS l FROM pl),
+geo AS (SELECT page_id, place_path, k, json_extract(geo, '$."' || k || '"') AS g FROM (SELECT page_id, place_path, geo, unnest(json_keys(geo)) AS k FROM pl WHERE json_type(geo) = 'OBJECT')
+  UNION ALL SELECT page_id, place_path, g ->> '$.type', g FROM (SELECT page_id, place_path, unnest(CAST(geo AS JSON[])) AS g FROM pl WHERE json_type(geo) = 'ARRAY')),
+gn AS (SELECT page_id, place_path, k, coalesce(g -> '$.latitude', g -> '$.lat') AS la, coalesce(g -> '$.longitude', g -> '$.lng') AS lo FROM geo WHERE json_type(g) = 'OBJECT'),
+web AS (SELECT page_id, place_path, CASE json_type(w) WHEN 'OBJECT' THEN w ->> '$.url' WHEN 'VARCHAR' THEN w ->> '$' END AS u FROM (SELECT page_id, place_path, unnest({_each("web")}) AS w FROM pl)),
+rat AS (SELECT page_id, place_path, replace(regexp_extract(CASE json_type(r) WHEN 'OBJECT' THEN r ->> '$.value' WHEN 'BOOLEAN' THEN NULL ELSE r ->> '$' END, '[+-]?\d+([.,]\d+)?'), ',', '.') AS n
+  FROM (SELECT page_id, place_path, rat AS r FROM pl))
+SELECT DISTINCT page_id, place_path, item_kind, item_key FROM (
+  SELECT page_id, place_path, 'address' AS item_kind, CASE json_type(l) WHEN 'OBJECT' THEN coalesce(nullif(l ->> '$.address', ''), nullif(l ->> '$.formatted_address', '')) WHEN 'VARCHAR' THEN nullif(l ->> '$', '') END AS item_key FROM loc
+  UNION ALL SELECT page_id, place_path, 'geocode', k FROM gn WHERE {_number("la")} IS NOT NULL AND {_number("lo")} IS NOT NULL
+  UNION ALL SELECT page_id, place_path, 'website', u FROM web WHERE trim(u) <> ''
+  UNION ALL SELECT page_id, place_path, 'rating', CAST(CAST(round(CAST(n AS DECIMAL(18, 8)), 1) AS DECIMAL(18, 1)) AS VARCHAR) FROM rat WHERE n <> '')
+WHERE item_key IS NOT NULL
+"""
+)
+
 ORACLES: dict[str, str] = {
-    "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_places": _P5_PLACES,
+    "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_places": _P5_PLACES,
 }
