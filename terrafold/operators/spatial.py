@@ -117,14 +117,15 @@ def _overlapping(items: DataFrame, metres: float) -> DataFrame:
     return df.select("id", "lat", (F.col("lon") + turn).alias("lon"), (F.col("strip").cast("long") * BLOCK_BASE + F.pmod("block", "blocks")).alias("cell"))
 
 
-def _salted(points: DataFrame, items: DataFrame, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+def _salted(points: DataFrame, items: DataFrame, cell_rows: int, sizes_of: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Both sides with a salt. A full cell becomes parts: rows of one side are dealt out, those of the other are repeated.
 
-    The counts are aggregated before they are shuffled; the list of full cells is bounded by SPLIT_CELLS.
+    The counts (of ``sizes_of``, cells of rows that need not be deduplicated yet) are aggregated before they are
+    shuffled; the list of full cells is bounded by SPLIT_CELLS.
     """
     sizes = (
-        points.select("cell", F.lit(1).alias("p"), F.lit(0).alias("i"))
-        .unionAll(items.select("cell", F.lit(0).alias("p"), F.lit(1).alias("i")))
+        sizes_of[0].select("cell", F.lit(1).alias("p"), F.lit(0).alias("i"))
+        .unionAll(sizes_of[1].select("cell", F.lit(0).alias("p"), F.lit(1).alias("i")))
         .groupBy("cell")
         .agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
         .where((F.col("p") > cell_rows) | (F.col("i") > cell_rows))
@@ -150,15 +151,17 @@ def _swept(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("cell", "salt").sortWithinPartitions("cell", "salt", "lon")
 
 
-def near_pairs(points: DataFrame, items: DataFrame, metres: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+def near_pairs(points: DataFrame, items: DataFrame, metres: float, cell_rows: int = CELL_ROWS, sizes_of: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(point_id, item_id) of all pairs at most ``metres`` apart along the great circle.
 
     Both inputs: (id, lat, lon) with usable positions and unique ids; other columns are ignored. Empty inputs give no
-    rows. Distances across the date line and at the poles count as any other.
+    rows. Distances across the date line and at the poles count as any other. ``sizes_of`` may name cheaper frames
+    (id, lat, lon) of at least these rows to find full cells in, such as the tables before they are deduplicated.
     """
     if not 0 <= reach_deg(metres) <= STRIP_DEG:
         raise ValueError("the distance must be at most the height of a strip")
-    p, i = _salted(_owned(points, metres), _overlapping(items, metres), cell_rows)
+    p, i = _owned(points, metres), _overlapping(items, metres)
+    p, i = _salted(p, i, cell_rows, (p, i) if sizes_of is None else (_owned(sizes_of[0], metres), _owned(sizes_of[1], metres)))
     rows = p.withColumn("is_item", F.lit(False)).unionByName(i.withColumn("is_item", F.lit(True)))
     rows = rows.select("id", "lat", "lon", "cell", "salt", "is_item")
     limit = math.sin(min(metres / EARTH_RADIUS_M / 2, math.pi / 2)) ** 2
@@ -330,7 +333,9 @@ def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFra
 def nearby(pois: DataFrame, nodes: DataFrame, outline_points: DataFrame, metres: float = 30.0) -> DataFrame:
     """(pair_kind, poi_id, other_id): nodes within ``metres`` of each POI, and the closed outlines that contain it."""
     points = point_positions(pois)
-    near = near_pairs(points, node_positions(nodes), metres)
+    usable = usable_position(F.col("lat"), F.col("lon"))
+    rows = tuple(df.where(usable).select(F.col("osm_id").alias("id"), "lat", "lon") for df in (pois, nodes))
+    near = near_pairs(points, node_positions(nodes), metres, sizes_of=rows)
     inside = containing_outlines(points, outline_points)
     return near.select(F.lit("near").alias("pair_kind"), F.col("point_id").alias("poi_id"), F.col("item_id").alias("other_id")).unionAll(
         inside.select(F.lit("inside"), "point_id", "feature_id")
