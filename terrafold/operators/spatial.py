@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.operators.sweep import sweep
+from terrafold.session import checkpointed
 
 EARTH_RADIUS_M = 6371008.8
 #: Height of the strips of the near join, in degrees (about 1.1 km); the distance must not exceed it.
@@ -268,8 +269,8 @@ def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFra
     cells that fits their size; for what remains, crossings of the meridian north of the point are counted over the
     edges in the point's band of the outline, so that no outline is ever assembled in one row.
     """
-    edges = outline_edges(outline_points)
-    boxes = _outline_boxes(edges)
+    edges = checkpointed(outline_edges(outline_points))
+    boxes = checkpointed(_outline_boxes(edges))
     level, height, blocks = F.col("level"), F.col("height"), F.col("blocks")
     h, n = _level_shape(level)
     items = boxes.withColumns({"height": h, "blocks": n})
