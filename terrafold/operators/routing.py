@@ -142,9 +142,10 @@ def shortest_paths(metrics: DataFrame, requests: DataFrame, penalty: float) -> D
     seconds is the time from the start to the end of the segment, turns included; the first segment takes no penalty.
     Requests from a place to itself, and those without a way, have no rows.
     """
-    graph = broadcast_graph(directed(metrics))
+    states = directed(metrics)
+    graph = broadcast_graph(states)
     if graph is None:
-        raise ValueError("paths need a graph that can be broadcast; use times_from for larger ones")
+        return frontier_paths(states, requests, penalty)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = graph.value
@@ -170,26 +171,57 @@ def shortest_paths(metrics: DataFrame, requests: DataFrame, penalty: float) -> D
     return _per_source(requests.select("request_id", "from_id", "to_id"), run, "request_id long, seq int, segment_id long, seconds double", "request_id")
 
 
-def frontier_times(states: DataFrame, sources: DataFrame, penalty: float) -> DataFrame:
-    """The same as times_from by rounds of joins: each round relaxes the states that improved, until none does.
+def _labels(states: DataFrame, sources: DataFrame, penalty: float) -> DataFrame:
+    """(from_id, state, b, street_id, cost, prev): the least cost of every state from each source, and the state before it (-1 for none).
 
-    Work is spread over all tasks and nothing is broadcast or collected but the test for an empty frontier; lineage is
-    cut by checkpoints in the shared folder. It takes as many rounds as the longest way has segments.
+    Each round relaxes the states that improved, until none does. Work is spread over all tasks and nothing is broadcast
+    or collected but the test for an empty frontier; lineage is cut by checkpoints in the shared folder. It takes as
+    many rounds as the longest way has segments.
     """
     states = checkpointed(states)
     src = sources.select(F.col("intersection_id").alias("from_id")).distinct()
-    labels = checkpointed(src.join(states.withColumnRenamed("a", "from_id"), "from_id").select("from_id", "state", "b", "street_id", F.col("seconds").alias("cost")))
+    first = src.join(states.withColumnRenamed("a", "from_id"), "from_id")
+    labels = checkpointed(first.select("from_id", "state", "b", "street_id", F.col("seconds").alias("cost"), F.lit(-1).cast("long").alias("prev")))
     frontier, rounds = labels, 0
+
+    def least(df: DataFrame) -> DataFrame:
+        best = (F.min("b").alias("b"), F.min("street_id").alias("street_id"), F.min("cost").alias("cost"), F.min_by("prev", "cost").alias("prev"))
+        return df.groupBy("from_id", "state").agg(*best)
+
+    step = states.select(F.col("state").alias("t"), F.col("a").alias("b"), F.col("b").alias("tb"), F.col("street_id").alias("ts"), "seconds")
     while not frontier.isEmpty():
-        step = states.select(F.col("state").alias("t"), F.col("a").alias("b"), F.col("b").alias("tb"), F.col("street_id").alias("ts"), "seconds")
-        new = frontier.join(step, "b").withColumn("cost", F.col("cost") + F.col("seconds") + F.when(F.col("ts") != F.col("street_id"), penalty).otherwise(0.0))
-        new = new.groupBy("from_id", F.col("t").alias("state")).agg(F.min("cost").alias("cost"), F.min("tb").alias("b"), F.min("ts").alias("street_id"))
+        cost = F.col("cost") + F.col("seconds") + F.when(F.col("ts") != F.col("street_id"), penalty).otherwise(0.0)
+        new = least(frontier.join(step, "b").select("from_id", F.col("t").alias("state"), F.col("tb").alias("b"), F.col("ts").alias("street_id"), cost.alias("cost"), F.col("state").alias("prev")))
         old = labels.select("from_id", "state", F.col("cost").alias("known"))
-        frontier = new.join(old, ["from_id", "state"], "left").where("known IS NULL OR cost < known - 1e-9").drop("known").select("from_id", "state", "b", "street_id", "cost")
+        frontier = checkpointed(new.join(old, ["from_id", "state"], "left").where("known IS NULL OR cost < known - 1e-9").drop("known"))
         rounds += 1
-        frontier = checkpointed(frontier)
-        labels = labels.unionByName(frontier).groupBy("from_id", "state").agg(F.min("cost").alias("cost"), F.min("b").alias("b"), F.min("street_id").alias("street_id")).select("from_id", "state", "b", "street_id", "cost")
+        labels = least(labels.unionByName(frontier))
         if rounds % ROUNDS_PER_CHECKPOINT == 0:
             labels = checkpointed(labels)
-    best = labels.groupBy("from_id", F.col("b").alias("to_id")).agg(F.min("cost").alias("seconds")).where("from_id <> to_id")
+    return labels
+
+
+def frontier_times(states: DataFrame, sources: DataFrame, penalty: float) -> DataFrame:
+    """The same as times_from for graphs of any size, by rounds of joins."""
+    src = sources.select(F.col("intersection_id").alias("from_id")).distinct()
+    best = _labels(states, sources, penalty).groupBy("from_id", F.col("b").alias("to_id")).agg(F.min("cost").alias("seconds")).where("from_id <> to_id")
     return best.unionAll(src.select("from_id", F.col("from_id").alias("to_id"), F.lit(0.0).alias("seconds")))
+
+
+def frontier_paths(states: DataFrame, requests: DataFrame, penalty: float) -> DataFrame:
+    """The same as shortest_paths for graphs of any size: labels by rounds of joins, then all ways traced back together."""
+    labels = checkpointed(_labels(states, requests.select(F.col("from_id").alias("intersection_id")), penalty))
+    asked = requests.select("request_id", "from_id", "to_id").where("from_id <> to_id")
+    ends = asked.join(labels.withColumnRenamed("b", "to_id"), ["from_id", "to_id"]).groupBy("request_id", "from_id").agg(F.min(F.struct("cost", "state", "prev")).alias("e"))
+    front = checkpointed(ends.select("request_id", "from_id", "e.state", "e.cost", "e.prev", F.lit(0).alias("back")))
+    way = front
+    while True:
+        before = labels.select("from_id", F.col("state").alias("prev"), F.col("cost").alias("c"), F.col("prev").alias("p"))
+        front = front.where("prev >= 0").join(before, ["from_id", "prev"]).select("request_id", "from_id", F.col("prev").alias("state"), F.col("c").alias("cost"), F.col("p").alias("prev"), (F.col("back") + 1).alias("back"))
+        front = checkpointed(front)
+        if front.isEmpty():
+            break
+        way = way.unionByName(front)
+    length = way.groupBy("request_id").agg(F.max("back").alias("last"))
+    seq = (F.col("last") - F.col("back")).cast("int")
+    return way.join(length, "request_id").select("request_id", seq.alias("seq"), F.shiftright("state", 1).alias("segment_id"), F.col("cost").alias("seconds"))

@@ -56,7 +56,10 @@ def test_kernel_and_frontier_agree_with_brute_force(spark, penalty, monkeypatch)
     assert {(r.from_id, r.to_id) for r in routing.times_from(m, src, penalty).collect()} == want.keys()
 
 
-def test_paths_connect_and_cost_what_they_say(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_paths_connect_and_cost_what_they_say(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", 1)
     rows = city(8)
     m = spark.createDataFrame(rows, M)
     req = spark.createDataFrame([(1, 0, 35), (2, 5, 5), (3, 0, 999), (4, 30, 2)], "request_id long, from_id long, to_id long")
@@ -73,6 +76,7 @@ def test_paths_connect_and_cost_what_they_say(spark):
             total += sec + (15.0 if street is not None and st != street else 0.0)
             street = st
         assert here == b and math.isclose(total, by_states(rows, a, 15.0)[b])
+        assert math.isclose(max(r.seconds for r in got if r.request_id == q), total)
 
 
 def test_moves():
