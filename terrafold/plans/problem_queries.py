@@ -175,7 +175,7 @@ geo AS (SELECT page_id, place_path, k, json_extract(geo, '$."' || k || '"') AS g
   UNION ALL SELECT page_id, place_path, g ->> '$.type', g FROM (SELECT page_id, place_path, unnest(CAST(geo AS JSON[])) AS g FROM pl WHERE json_type(geo) = 'ARRAY')),
 gn AS (SELECT page_id, place_path, k, coalesce(g -> '$.latitude', g -> '$.lat') AS la, coalesce(g -> '$.longitude', g -> '$.lng') AS lo FROM geo WHERE json_type(g) = 'OBJECT'),
 web AS (SELECT page_id, place_path, CASE json_type(w) WHEN 'OBJECT' THEN w ->> '$.url' WHEN 'VARCHAR' THEN w ->> '$' END AS u FROM (SELECT page_id, place_path, unnest({_each("web")}) AS w FROM pl)),
-rat AS (SELECT page_id, place_path, replace(regexp_extract(CASE json_type(r) WHEN 'OBJECT' THEN r ->> '$.value' WHEN 'BOOLEAN' THEN NULL ELSE r ->> '$' END, '[+-]?\d+([.,]\d+)?'), ',', '.') AS n
+rat AS (SELECT page_id, place_path, replace(regexp_extract(CASE json_type(r) WHEN 'OBJECT' THEN r ->> '$.value' WHEN 'BOOLEAN' THEN NULL ELSE r ->> '$' END, '[+-]?[0-9]+([.,][0-9]+)?'), ',', '.') AS n
   FROM (SELECT page_id, place_path, rat AS r FROM pl))
 SELECT DISTINCT page_id, place_path, item_kind, item_key FROM (
   SELECT page_id, place_path, 'address' AS item_kind, CASE json_type(l) WHEN 'OBJECT' THEN coalesce(nullif(l ->> '$.address', ''), nullif(l ->> '$.formatted_address', '')) WHEN 'VARCHAR' THEN nullif(l ->> '$', '') END AS item_key FROM loc
@@ -186,6 +186,9 @@ WHERE item_key IS NOT NULL
 """
 )
 
+_P5_GEOCODES = _P5[: _P5.index("SELECT DISTINCT page_id")] + f"""
+SELECT page_id, place_path, k AS geocode, {_number("la")} AS lat, {_number("lo")} AS lon FROM gn WHERE {_number("la")} IS NOT NULL AND {_number("lo")} IS NOT NULL"""
+
 ORACLES: dict[str, str] = {
-    "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_places": _P5_PLACES,
+    "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_geocodes": _P5_GEOCODES, "p5_places": _P5_PLACES,
 }

@@ -117,3 +117,28 @@ def subpaths(spark: SparkSession, d: str) -> DataFrame:
     legs = tour.select(F.col("seq").cast("long").alias("request_id"), F.col("intersection_id").alias("from_id"), F.lead("intersection_id").over(Window.orderBy("seq")).alias("to_id")).where("to_id IS NOT NULL")  # one tour
     way = routing.shortest_paths(metrics(spark, d), legs, TOUR_PENALTY).groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "segment_id"))), lambda s: s.segment_id).alias("segments"))
     return legs.join(way, "request_id", "left").select(F.col("request_id").alias("leg"), "from_id", "to_id", "segments")
+
+
+@R.add()
+def anneal(spark: SparkSession, d: str) -> DataFrame:
+    """What annealing saves on the best greedy tour."""
+    g = greedy_tour(spark, d).where("seq = 0").agg(F.min("cost").alias("greedy_cost"))
+    return tour_search(spark, d).where("seq = 0").select("depot_id", F.col("cost").alias("annealed_cost")).join(F.broadcast(g))  # one row each
+
+
+_MOVED = """WITH l AS (SELECT tour_id, list(intersection_id ORDER BY seq) AS t FROM tours GROUP BY 1),
+m AS (SELECT tour_id, 'swap' AS move, t[:2] || [t[7]] || t[4:6] || [t[3]] || t[8:] AS t FROM l UNION ALL SELECT tour_id, 'reverse', t[:2] || list_reverse(t[3:7]) || t[8:] FROM l
+  UNION ALL SELECT tour_id, 'move_one', t[:2] || t[4:7] || [t[3]] || t[8:] FROM l UNION ALL SELECT tour_id, 'shift_window', t[:2] || [t[6]] || t[3:5] || t[7:] FROM l)"""
+
+
+@R.add(_MOVED + " SELECT tour_id, move, array_to_string(t, ',') AS stops FROM m")
+def moves(spark: SparkSession, d: str) -> DataFrame:
+    """Each move of the tour search once on every tour."""
+    import pandas as pd
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = rows.sort_values("seq")["intersection_id"].tolist()
+        made = {"swap": courier.swap(t, 2, 6), "reverse": courier.reverse(t, 2, 6), "move_one": courier.move_one(t, 2, 6), "shift_window": courier.shift_window(t, 2)}
+        return pd.DataFrame([(int(key[0]), k, ",".join(map(str, v))) for k, v in made.items()], columns=["tour_id", "move", "stops"])
+
+    return view(spark, d, "tours").select(F.col("tour_id").cast("long").alias("tour_id"), "seq", "intersection_id").groupBy("tour_id").applyInPandas(run, "tour_id long, move string, stops string")
