@@ -25,9 +25,9 @@ from terrafold.operators.spatial import EARTH_RADIUS_M, usable_position, wrapped
 BUCKETS = 1 << 18
 #: Weights are packed beside the gram in steps of 1/WEIGHT_STEP.
 WEIGHT_STEP, WEIGHT_BITS = 16, 10
-#: Grams of names near each other, and of names in a town; the share of both names' weight that a pair must have in common.
-NEAR_GRAM, NEAR_TAU = 3, 0.25
-TOWN_GRAM, TOWN_TAU = 5, 0.4
+#: Length of the grams of names; pairs that have this share of both names' weight in common, with the words as they stand
+#: or in alphabetical order, are sure to be compared.
+GRAM, TAU = 3, 0.25
 #: Records farther apart are not near.
 NEAR_M = 180.0
 CELL_DEG = 0.004
@@ -116,35 +116,40 @@ def bm25_weights(df: np.ndarray, size: int) -> np.ndarray:
     return np.clip(np.rint(idf * WEIGHT_STEP), 1, (1 << WEIGHT_BITS) - 1).astype(np.int64)
 
 
-def named_grams(records: DataFrame, weights, n: int, tau: float, prefix: str) -> DataFrame:
-    """``records`` with key (the joined words; sorted_key: in alphabetical order), <prefix>grams (bucket and weight packed), <prefix>weight (their sum), <prefix>rare.
+def rare_grams(found: np.ndarray, own: np.ndarray, tau: float) -> np.ndarray:
+    """Places in ``found`` of the rarest grams without which the rest falls short of the share tau of the weight."""
+    order = np.lexsort((found, -own))
+    left = own.sum() - np.cumsum(own[order])
+    # the shortest prefix after which less than the share tau is left
+    return order[: int(np.searchsorted(-left, -tau * own.sum(), "right")) + 1]
 
-    rare are the buckets of the rarest grams without which the rest falls short of the share tau of the weight.
-    ``weights`` is a broadcast array of BUCKETS weights.
+
+def named_grams(records: DataFrame, weights, n: int, tau: float) -> DataFrame:
+    """``records`` with key (the joined words), grams (bucket and weight packed), weight (their sum) and rare, and the same of the words in alphabetical order (sorted_...).
+
+    rare are the rarest of the grams, as of ``rare_grams``. ``weights`` is a broadcast array of BUCKETS weights.
     """
-    records = records.drop("key", "sorted_key")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema) + f", key string, sorted_key string, {prefix}grams array<int>, {prefix}weight long, {prefix}rare array<int>"
+    made = ["key string", "grams array<int>", "weight long", "rare array<int>"]
+    made += [f"sorted_{m}" for m in made]
+    new_names = [m.split(" ")[0] for m in made]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema] + made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
         for b in batches:
-            keys, by_word, grams, total, rare = [], [], [], [], []
+            out = {m: [] for m in new_names}
             for name, town in zip(b.column("name").to_pylist(), b.column("town").to_pylist(), strict=True):
-                words = name_words(name, town)
-                found = gram_buckets(words, n)
-                keys.append("".join(words))
-                by_word.append("".join(sorted(words)))
-                own = w[found]
-                whole = int(own.sum())
-                order = np.lexsort((found, -own))
-                left = whole - np.cumsum(own[order])
-                # the shortest prefix after which less than the share tau is left
-                k = int(np.searchsorted(-left, -tau * whole, "right")) + 1
-                grams.append((found << WEIGHT_BITS) | own)
-                total.append(whole)
-                rare.append(found[order[:k]])
-            new = [pa.array(keys, pa.string()), pa.array(by_word, pa.string()), pa.array(grams, pa.list_(pa.int32())), pa.array(total, pa.int64()), pa.array(rare, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "key", "sorted_key", f"{prefix}grams", f"{prefix}weight", f"{prefix}rare"])
+                in_order = name_words(name, town)
+                for prefix, words in (("", in_order), ("sorted_", sorted(in_order))):
+                    found = gram_buckets(words, n)
+                    own = w[found]
+                    packed = (found << WEIGHT_BITS) | own
+                    out[prefix + "key"].append("".join(words))
+                    out[prefix + "grams"].append(packed)
+                    out[prefix + "weight"].append(int(own.sum()))
+                    out[prefix + "rare"].append(packed[rare_grams(found, own, tau)])
+            new = [pa.array(out[m.split(" ")[0]], {"string": pa.string(), "long": pa.int64()}.get(m.split(" ")[1], pa.list_(pa.int32()))) for m in made]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *new_names])
 
     return records.mapInArrow(run, schema)
 
@@ -223,51 +228,71 @@ def _shared_weight(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)))
 
 
+def like_towns(pois: DataFrame, towns: DataFrame) -> DataFrame:
+    """(town, next): the next smaller town by POIs, for the smallest the next larger; chance likeness grows with the POIs a name is put to."""
+    cells = pois.where("lat IS NOT NULL").groupBy(_cell(F.col("lat"), F.col("lon"), TOWN_DEG).alias("tcell")).agg(F.count(F.lit(1)).alias("n"))
+    size = towns.join(cells, "tcell").groupBy("town").agg(F.sum("n").alias("n"))
+    by_size = Window.orderBy(F.desc("n"), "town")  # one row a town
+    own = F.struct("town", "n")
+    near = size.withColumn("other", F.coalesce(F.lead(own).over(by_size), F.lag(own).over(by_size))).where("other IS NOT NULL")
+    return near.select("town", F.col("other.town").alias("next"))
+
+
+def _weight(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1))
+
+
 def _candidates_near(places: DataFrame, pois: DataFrame) -> DataFrame:
-    """Pairs (place, poi) of positioned records that share a cell and a rare gram."""
-    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode("near_rare").alias("gram"))
-    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(_cells_within(F.col("lat"), F.col("lon"), CELL_DEG, NEAR_M)).alias("cell"), "near_rare")
-    asked = asked.select("place", "cell", F.explode("near_rare").alias("gram"))
-    return asked.join(posted.hint("merge"), ["cell", "gram"]).select("place", "poi").distinct()
+    """Pairs (place, poi) of positioned records that share a cell and a rare gram, with the weight (met) of those shared."""
+    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode("rare").alias("gram"))
+    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(_cells_within(F.col("lat"), F.col("lon"), CELL_DEG, NEAR_M)).alias("cell"), "rare")
+    asked = asked.select("place", "cell", F.explode("rare").alias("gram"))
+    return asked.join(posted.hint("merge"), ["cell", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
 
 def _candidates_town(places: DataFrame, pois: DataFrame, towns: DataFrame) -> DataFrame:
-    """Pairs of records that share a town and a rare long gram, for places without a trustworthy position.
+    """Pairs of records that share a town and a rare gram in either order of words, for places without a trustworthy position."""
+    rare = F.explode(F.array_union("rare", "sorted_rare")).alias("gram")
+    posted = pois.where("lat IS NOT NULL").withColumn("tcell", _cell(F.col("lat"), F.col("lon"), TOWN_DEG)).select(F.col("id").alias("poi"), "tcell", "rare", "sorted_rare")
+    posted = posted.join(towns, "tcell").select("poi", "town", rare)
+    asked = places.where("town IS NOT NULL").select(F.col("id").alias("place"), "town", rare)
+    return asked.join(posted.hint("merge"), ["town", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
-    Of pairs with several rare grams in common each stays once.
-    """
-    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), _cell(F.col("lat"), F.col("lon"), TOWN_DEG).alias("tcell"), "town_rare")
-    posted = posted.join(towns, "tcell").select("poi", "town", F.explode("town_rare").alias("gram"))
-    asked = places.select(F.col("id").alias("place"), "town", F.explode("town_rare").alias("gram")).where("town IS NOT NULL")
-    return asked.join(posted.hint("merge"), ["town", "gram"]).select("place", "poi").distinct()
 
-
-def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame, kind: str) -> DataFrame:
+def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame, share: float = 0.0) -> DataFrame:
     """Pairs with the likeness of their names, their distance and both categories.
 
     The likeness is the share of the BM25 weight in common or, if that is greater, one less the share of letters to edit,
     with the words as they stand or in alphabetical order.
-    Pairs below the share TAU of both weights or the likeness NAME_FLOOR are left out.
+    Pairs below the share of both weights or the likeness NAME_FLOOR are left out.
     """
 
-    def side(df: DataFrame, who: str, x: str) -> DataFrame:
-        return df.select(F.col("id").alias(who), *(F.col(c).alias(x + n) for c, n in (("lat", "lat"), ("lon", "lon"), ("key", "key"), ("sorted_key", "sorted"), (f"{kind}_grams", "grams"), (f"{kind}_weight", "weight"), ("category", "cat"))))
+    def side(df: DataFrame, who: str, x: str, names: dict[str, str]) -> DataFrame:
+        return df.select(F.col("id").alias(who), *(F.col(c).alias(x + n) for c, n in names.items()))
 
-    # rows with grams are large once unpacked, whatever their compressed size says, so neither side is broadcast
-    met = pairs.join(side(places, "place", "q").hint("merge"), "place").join(side(pois, "poi", "d").hint("merge"), "poi")
-    tau = NEAR_TAU if kind == "near" else TOWN_TAU
-    # the smaller weight bounds what can be shared, which settles some pairs before any gram is compared
-    met = met.where(F.least("qweight", "dweight") >= tau * F.greatest("qweight", "dweight"))
+    # rows with grams are large once unpacked, whatever their compressed size says, so neither side is broadcast; they
+    # come last, to pairs that can still reach the floor
+    small = {"lat": "lat", "lon": "lon", "key": "key", "sorted_key": "sorted", "weight": "weight", "sorted_weight": "sorted_weight", "category": "cat"}
+    met = pairs.join(side(places, "place", "q", small).hint("merge"), "place").join(side(pois, "poi", "d", small).hint("merge"), "poi")
     metres = distance_m(F.col("qlat"), F.col("qlon"), F.col("dlat"), F.col("dlon"))
     met = met.withColumn("metres", metres).where(F.col("metres").isNull() | (F.col("metres") <= NEAR_M))
-    shared = _shared_weight(F.col("qgrams"), F.col("dgrams"))
     edits = F.least(F.levenshtein("qkey", "dkey"), F.levenshtein("qsorted", "dsorted"))
-    edited = 1 - edits / F.greatest(F.length("qkey"), F.length("dkey"), F.lit(1))
-    met = met.withColumn("shared", shared).where(F.col("shared") >= tau * F.greatest("qweight", "dweight"))
+    met = met.withColumn("edited", 1 - edits / F.greatest(F.length("qkey"), F.length("dkey"), F.lit(1)))
+    # what is shared beside the rare grams is less than the share TAU of the greater weight
+    reach = [2 * (F.col("met") + TAU * F.greatest("q" + w, "d" + w)) >= NAME_FLOOR * (F.col("q" + w) + F.col("d" + w)) for w in ("weight", "sorted_weight")]
+    met = met.where((F.col("edited") >= NAME_FLOOR) | reach[0] | reach[1])
+    grams = {"grams": "grams", "sorted_grams": "sorted_grams"}
+    met = met.join(side(places, "place", "q", grams).hint("merge"), "place").join(side(pois, "poi", "d", grams).hint("merge"), "poi")
+    met = met.withColumns({"shared": _shared_weight(F.col("qgrams"), F.col("dgrams")), "sorted_shared": _shared_weight(F.col("qsorted_grams"), F.col("dsorted_grams"))})
+    if share:
+        met = met.where(F.col("shared") >= share * F.greatest("qweight", "dweight"))
+
+    def most(of) -> Column:
+        return F.greatest(*(F.coalesce(of(F.col(p + "shared"), F.col(f"q{p}weight"), F.col(f"d{p}weight")), F.lit(0.0)) for p in ("", "sorted_")))
+
     return met.select(
         "place", "poi", "qcat", "dcat", "dlat", "dlon", "metres",
-        (2 * F.col("shared") / (F.col("qweight") + F.col("dweight"))).alias("grams"), edited.alias("edited"),
-        (F.col("shared") / F.least("qweight", "dweight")).alias("covered"),
+        most(lambda s, q, d: F.try_divide(2 * s, q + d)).alias("grams"), "edited", most(lambda s, q, d: F.try_divide(s, F.least(q, d))).alias("covered"),
     ).withColumn("alike", F.greatest("grams", "edited")).where(F.col("alike") >= NAME_FLOOR)
 
 
@@ -323,8 +348,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
 
 
-def calibrate(real: DataFrame, decoys: DataFrame, rows: int = CALIBRATION_ROWS) -> np.ndarray:
-    """Logistic weights that tell the best pairs of real queries from those of as many decoys, on at most ``rows`` of each."""
+def fit_upward(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``fit_logistic`` on those of FEATURES alone that speak for a match where they should; the worst of the others goes first."""
+    sign = np.array([-1.0 if f == "far_off" else 1.0 for f in FEATURES])
+    used = np.ones(len(FEATURES))
+    while True:
+        w = fit_logistic(x * used, y)
+        w[1:] *= used
+        against = w[1:] * sign * x.std(0)
+        if against.min() >= 0:
+            return w
+        used[against.argmin()] = 0
+
+
+def calibrate(real: DataFrame, decoys: DataFrame, rows: int = CALIBRATION_ROWS, upward: bool = False) -> np.ndarray:
+    """Logistic weights that tell the best pairs of real queries from those of as many decoys, on at most ``rows`` of each.
+
+    upward: few samples are expected, so no feature may count against what it speaks for.
+    """
     x, y = [], []
     for label, df in ((1.0, real), (0.0, decoys)):
         for r in df.select(*FEATURES).limit(rows).collect():
@@ -332,7 +373,7 @@ def calibrate(real: DataFrame, decoys: DataFrame, rows: int = CALIBRATION_ROWS)
             y.append(label)
     if len(set(y)) < 2:  # nothing to tell apart: any pair that comes so far is as good as its name
         return np.array([-8.0, 12.0, *[0.0] * (len(FEATURES) - 1)])
-    return fit_logistic(np.array(x), np.array(y))
+    return (fit_upward if upward else fit_logistic)(np.array(x), np.array(y))
 
 
 def confidence(weights: np.ndarray) -> Column:
@@ -358,10 +399,8 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     places = one_record(web, "place_id", ["name", "category", "city"], "fetched_at").where("name IS NOT NULL").withColumn("town", town).drop("city")
     pois = one_record(poi, "osm_id", ["name", "category"], "loaded_at").where("name IS NOT NULL").withColumn("town", F.lit(None).cast("string"))
     places, pois = checkpointed(places), checkpointed(pois)
-    for n, tau, kind in ((NEAR_GRAM, NEAR_TAU, "near"), (TOWN_GRAM, TOWN_TAU, "town")):
-        df, size = gram_frequencies(pois, n)
-        weights = sc.broadcast(bm25_weights(df, size))  # BUCKETS numbers
-        places, pois = named_grams(places, weights, n, tau, f"{kind}_"), named_grams(pois, weights, n, tau, f"{kind}_")
+    weights = sc.broadcast(bm25_weights(*gram_frequencies(pois, GRAM)))  # BUCKETS numbers
+    places, pois = named_grams(places, weights, GRAM, TAU), named_grams(pois, weights, GRAM, TAU)
     towns = towns_of_cells(places)
     own = towns.select(F.col("town").alias("t1"), F.col("tcell").alias("c1"))
     turned = towns.select(F.col("town").alias("t2"), F.col("tcell").alias("c2"))
@@ -379,22 +418,21 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     all_places, all_pois = copies(places), copies(pois)
     places, pois = checkpointed(_representatives(places, all_places)), checkpointed(_representatives(pois, all_pois))
 
-    near = checkpointed(_scored(_candidates_near(places, pois), places, pois, "near"))
+    near = checkpointed(_scored(_candidates_near(places, pois), places, pois, TAU))
     lift = checkpointed(category_lift(near))
     ranked = checkpointed(_ranked(near, lift))
     sample = places.where("lat IS NOT NULL").orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS)
     moved = sample.withColumns({"lat": F.col("lat") + F.when(F.col("lat") > 0, -DECOY_DEG).otherwise(DECOY_DEG)})
-    decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois, "near"), lift)
+    decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois, TAU), lift)
     real = _best_rows(ranked.join(sample.select(F.col("id").alias("place")), "place", "left_semi"))
     sure = checkpointed(_accepted(ranked, calibrate(real, _best_rows(decoys)), threshold).withColumn("route", F.lit("near")))
 
     lost = places.where("lat IS NULL")
-    by_town = checkpointed(_ranked(_scored(_candidates_town(lost, pois, towns), lost, pois, "town"), lift))
-    ring = towns.select("town").distinct()
-    ring = ring.withColumn("next", F.coalesce(F.lead("town").over(Window.orderBy("town")), F.first("town").over(Window.orderBy("town"))))  # one row a town
-    elsewhere = lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).join(ring.where("next <> town"), "town").drop("town").withColumnRenamed("next", "town")
-    strayed = _ranked(_scored(_candidates_town(elsewhere, pois, towns), elsewhere, pois, "town"), lift)
-    found = _accepted(by_town, calibrate(_best_rows(by_town), _best_rows(strayed)), threshold).withColumn("route", F.lit("town"))
+    by_town = checkpointed(_ranked(_scored(_candidates_town(lost, pois, towns), lost, pois), lift))
+    ring = like_towns(pois, towns)
+    elsewhere = lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).join(ring, "town").drop("town").withColumnRenamed("next", "town")
+    strayed = _ranked(_scored(_candidates_town(elsewhere, pois, towns), elsewhere, pois), lift)
+    found = _accepted(by_town, calibrate(_best_rows(by_town), _best_rows(strayed), upward=True), threshold).withColumn("route", F.lit("town"))
     pairs = sure.unionByName(found)
     pairs = pairs.join(all_places.withColumnsRenamed({"id": "own_place", "rep": "place_id"}), "place_id").drop("place_id").withColumnRenamed("own_place", "place_id")
     return pairs.join(all_pois.withColumnsRenamed({"id": "own_poi", "rep": "poi_id"}), "poi_id").drop("poi_id").withColumnRenamed("own_poi", "poi_id")

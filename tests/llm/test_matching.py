@@ -83,6 +83,19 @@ def test_copies_are_matched_through_one(spark):
     assert {(x, y) for x in a for y in b} <= got and len(got) <= 41 * 51 + 90
 
 
+def test_town_route_meets_reordered_and_mistyped_names(spark):
+    real, r = town(11, 300)
+    pois = [poi(i, n, la, lo) for i, n, la, lo in real]
+    places = [web(i - 1000, n, la, lo) for i, n, la, lo in real[:150]]
+    turned = []
+    for i, n, _, _ in real[200:240]:
+        a, b, kind = n.split()
+        turned.append(web(i - 1000, f"{kind} {b[1]}{b[0]}{b[2:]} {a}", None, None))
+    df = matching.match_places(spark.createDataFrame(places + turned, W), spark.createDataFrame(pois, P)).where("route = 'town'").collect()
+    got, want = {(x.place_id, x.poi_id) for x in df}, {(i - 1000, i) for i, *_ in real[200:240]}
+    assert len(got & want) >= 0.75 * len(want) and len(got - want) <= 0.25 * len(want)
+
+
 def test_pruning_loses_no_pair_above_the_share():
     r = random.Random(5)
     pool = names(6, 80)
