@@ -42,6 +42,8 @@ NAME_FLOOR = 0.45
 #: A pair is near the best of a side if its names are as alike but for this: of the place (rivals from the index, whose
 #: names are cleaner) and of the POI (rivals are the noisy queries, several of which may be one place).
 PLACE_GAP, POI_GAP = 0.12, 0.35
+#: Least gap to the best of another spot of a place that is looked for among all POIs.
+WHOLE_GAP = 1.0
 #: A position that so many places of different names share to the last digit stands for a town and not for a place.
 SHARED_POSITION = 3
 
@@ -55,6 +57,10 @@ def fold(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+#: The town that a source adds to a name: in brackets or after an at sign.
+SAID_TOWN = r"[(@]\s*([^()@]+?)\s*\)?\s*(?:,[^,]*)?$"
+
+
 def name_words(name: str | None, town: str | None = None) -> list[str]:
     """Words of a name without what sources add to it: articles, towns, years, marks."""
     if not name:
@@ -208,7 +214,7 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
 
 def copies(records: DataFrame) -> DataFrame:
     """(id, rep): records that no attribute tells apart share the least id as representative."""
-    same = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in ("key", "sorted_key", "lat", "lon", "town", "category"))), 256)
+    same = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in (c for c in ("key", "sorted_key", "lat", "lon", "turned_lat", "turned_lon", "town", "asks", "category") if c in records.columns))), 256)
     keyed = records.select("id", same.alias("same"))
     return keyed.join(keyed.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
 
@@ -245,17 +251,24 @@ def _weight(gram: Column) -> Column:
 def _candidates_near(places: DataFrame, pois: DataFrame) -> DataFrame:
     """Pairs (place, poi) of positioned records that share a cell and a rare gram, with the weight (met) of those shared."""
     posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode("rare").alias("gram"))
-    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(_cells_within(F.col("lat"), F.col("lon"), CELL_DEG, NEAR_M)).alias("cell"), "rare")
+    own, turned = (_cells_within(F.col(y), F.col(x), CELL_DEG, NEAR_M) for y, x in (("lat", "lon"), ("turned_lat", "turned_lon")))
+    cells = F.when(F.col("turned_lat").isNull(), own).otherwise(F.array_union(own, turned))
+    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(cells).alias("cell"), "rare")
     asked = asked.select("place", "cell", F.explode("rare").alias("gram"))
     return asked.join(posted.hint("merge"), ["cell", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
 
 def _candidates_town(places: DataFrame, pois: DataFrame, towns: DataFrame) -> DataFrame:
-    """Pairs of records that share a town and a rare gram in either order of words, for places without a trustworthy position."""
+    """Pairs of records that share a town and a rare gram in either order of words, for places without a trustworthy position.
+
+    Places whose towns (asks) are empty ask the index over all POIs, with or without a position.
+    """
     rare = F.explode(F.array_union("rare", "sorted_rare")).alias("gram")
     posted = pois.where("lat IS NOT NULL").withColumn("tcell", _cell(F.col("lat"), F.col("lon"), TOWN_DEG)).select(F.col("id").alias("poi"), "tcell", "rare", "sorted_rare")
     posted = posted.join(towns, "tcell").select("poi", "town", rare)
-    asked = places.where("town IS NOT NULL").select(F.col("id").alias("place"), "town", rare)
+    posted = posted.unionByName(pois.select(F.col("id").alias("poi"), F.lit("").alias("town"), rare))
+    asked = places.select(F.col("id").alias("place"), F.explode(F.when(F.size("asks") > 0, F.col("asks")).otherwise(F.array(F.lit("")))).alias("town"), "rare", "sorted_rare")
+    asked = asked.select("place", "town", rare)
     return asked.join(posted.hint("merge"), ["town", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
 
@@ -272,9 +285,10 @@ def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame, share: float =
 
     # rows with grams are large once unpacked, whatever their compressed size says, so neither side is broadcast; they
     # come last, to pairs that can still reach the floor
-    small = {"lat": "lat", "lon": "lon", "key": "key", "sorted_key": "sorted", "weight": "weight", "sorted_weight": "sorted_weight", "category": "cat"}
+    small = {"lat": "lat", "lon": "lon", "turned_lat": "turned_lat", "turned_lon": "turned_lon", "key": "key", "sorted_key": "sorted", "weight": "weight", "sorted_weight": "sorted_weight", "category": "cat"}
     met = pairs.join(side(places, "place", "q", small).hint("merge"), "place").join(side(pois, "poi", "d", small).hint("merge"), "poi")
-    metres = distance_m(F.col("qlat"), F.col("qlon"), F.col("dlat"), F.col("dlon"))
+    # of a place with two positions the nearer counts
+    metres = F.least(*(distance_m(F.col(y), F.col(x), F.col("dlat"), F.col("dlon")) for y, x in (("qlat", "qlon"), ("qturned_lat", "qturned_lon"))))
     met = met.withColumn("metres", metres).where(F.col("metres").isNull() | (F.col("metres") <= NEAR_M))
     edits = F.least(F.levenshtein("qkey", "dkey"), F.levenshtein("qsorted", "dsorted"))
     met = met.withColumn("edited", 1 - edits / F.greatest(F.length("qkey"), F.length("dkey"), F.lit(1)))
@@ -320,7 +334,7 @@ def _ranked(scored: DataFrame, lift: DataFrame) -> DataFrame:
     at_best = F.struct("score", "poi", "dlat", "dlon")
     s = s.withColumns({"place_best": F.max(at_best).over(of_place), "place_name": F.max("alike").over(of_place), "poi_name": F.max("alike").over(of_poi)})
     apart = distance_m(F.col("dlat"), F.col("dlon"), F.col("place_best.dlat"), F.col("place_best.dlon"))
-    s = s.withColumn("apart", apart)
+    s = s.withColumn("apart", F.when(F.col("poi") == F.col("place_best.poi"), 0.0).otherwise(F.coalesce(apart, F.lit(float("inf")))))
     other = F.max(F.when(F.col("apart") > 120, F.col("score"))).over(of_place)
     return s.withColumn("gap", F.least(F.lit(5.0), F.coalesce(F.col("place_best.score") - other, F.lit(5.0)))).withColumn("place_best", F.col("place_best.score"))
 
@@ -390,7 +404,8 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     web: place_id, name, category, city, lat, lon, fetched_at; poi: osm_id, name, category, lat, lon, loaded_at. Of
     several rows with a key the latest filled values count; keys, names and positions may be null, and records without a
     name match nothing. A place or a POI may be in several pairs: all whose names are nearly as alike as the best of both sides.
-    route tells whether the pair was found by position (near) or by town.
+    route tells whether the pair was found by position (near) or by town; places that have neither are looked for among
+    all POIs, which counts as town.
     """
     from terrafold.session import checkpointed
 
@@ -398,6 +413,11 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     town = F.nullif(F.lower(F.trim("city")), F.lit(""))
     places = one_record(web, "place_id", ["name", "category", "city"], "fetched_at").where("name IS NOT NULL").withColumn("town", town).drop("city")
     pois = one_record(poi, "osm_id", ["name", "category"], "loaded_at").where("name IS NOT NULL").withColumn("town", F.lit(None).cast("string"))
+    # without a city, a town that the name ends with is as good, to find the place by but not to doubt its position
+    told = F.lower(F.regexp_extract("name", SAID_TOWN, 1))
+    cities = places.where("town IS NOT NULL").select(F.col("town").alias("said")).distinct()
+    places = places.withColumn("told", F.when(F.col("town").isNull(), told)).join(cities, F.col("told") == F.col("said"), "left").drop("told")
+    places = places.withColumnsRenamed({"town": "city"}).withColumn("town", F.coalesce("city", "said"))
     places, pois = checkpointed(places), checkpointed(pois)
     weights = sc.broadcast(bm25_weights(*gram_frequencies(pois, GRAM)))  # BUCKETS numbers
     places, pois = named_grams(places, weights, GRAM, TAU), named_grams(pois, weights, GRAM, TAU)
@@ -409,10 +429,19 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     places = places.join(turned, (F.col("town") == F.col("t2")) & (F.when(swapped_ok, _cell(F.col("lon"), F.col("lat"), TOWN_DEG)) == F.col("c2")), "left")
     crowd = places.where("lat IS NOT NULL").groupBy(F.col("lat").alias("y"), F.col("lon").alias("x")).agg(F.count_distinct("key").alias("names")).where(F.col("names") >= SHARED_POSITION)
     places = places.join(crowd, (F.col("lat") == F.col("y")) & (F.col("lon") == F.col("x")), "left")
-    trusted = F.col("lat").isNotNull() & F.col("names").isNull() & (F.col("town").isNull() | F.col("t1").isNotNull())
+    trusted = F.col("lat").isNotNull() & F.col("names").isNull() & (F.col("city").isNull() | F.col("t1").isNotNull())
     lat = F.when(trusted, F.col("lat")).when(F.col("t2").isNotNull(), F.col("lon"))
     lon = F.when(trusted, F.col("lon")).when(F.col("t2").isNotNull(), F.col("lat"))
-    places = checkpointed(places.withColumns({"lat": lat, "lon": lon}).drop("t1", "c1", "t2", "c2", "y", "x", "names"))
+    # no city tells whether the position of such a place is exchanged, so it is looked for at both
+    both = trusted & F.col("city").isNull() & swapped_ok
+    turned_at = {"turned_lat": F.when(both, F.col("lon")), "turned_lon": F.when(both, F.col("lat"))}
+    # a crowded position still tells the towns around
+    around = towns.groupBy(F.col("tcell").alias("c3")).agg(F.array_sort(F.collect_set("town")).alias("around"))  # bounded by the towns of a cell
+    places = places.join(around, _cell(F.col("lat"), F.col("lon"), TOWN_DEG) == F.col("c3"), "left")
+    asks = F.when(F.col("town").isNotNull(), F.array("town")).otherwise(F.coalesce("around", F.array().cast("array<string>")))
+    places = places.withColumns({"lat": lat, "lon": lon, **turned_at, "asks": F.when(lat.isNull(), asks)})
+    places = checkpointed(places.drop("t1", "c1", "t2", "c2", "y", "x", "names", "c3", "around", "city", "said"))
+    pois = pois.withColumns({"turned_lat": F.lit(None).cast("double"), "turned_lon": F.lit(None).cast("double")})
     pois = checkpointed(pois)
     # only different records are compared; what holds for one holds for its copies
     all_places, all_pois = copies(places), copies(pois)
@@ -422,7 +451,7 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     lift = checkpointed(category_lift(near))
     ranked = checkpointed(_ranked(near, lift))
     sample = places.where("lat IS NOT NULL").orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS)
-    moved = sample.withColumns({"lat": F.col("lat") + F.when(F.col("lat") > 0, -DECOY_DEG).otherwise(DECOY_DEG)})
+    moved = sample.withColumns({y: F.col(y) + F.when(F.col(y) > 0, -DECOY_DEG).otherwise(DECOY_DEG) for y in ("lat", "turned_lat")})
     decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois, TAU), lift)
     real = _best_rows(ranked.join(sample.select(F.col("id").alias("place")), "place", "left_semi"))
     sure = checkpointed(_accepted(ranked, calibrate(real, _best_rows(decoys)), threshold).withColumn("route", F.lit("near")))
@@ -430,9 +459,12 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     lost = places.where("lat IS NULL")
     by_town = checkpointed(_ranked(_scored(_candidates_town(lost, pois, towns), lost, pois), lift))
     ring = like_towns(pois, towns)
-    elsewhere = lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).join(ring, "town").drop("town").withColumnRenamed("next", "town")
+    elsewhere = lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).join(ring, "town").drop("town").withColumn("asks", F.array("next")).withColumnRenamed("next", "town")
     strayed = _ranked(_scored(_candidates_town(elsewhere, pois, towns), elsewhere, pois), lift)
-    found = _accepted(by_town, calibrate(_best_rows(by_town), _best_rows(strayed), upward=True), threshold).withColumn("route", F.lit("town"))
+    whole = lost.where(F.size("asks") == 0).select(F.col("id").alias("place"), F.lit(True).alias("whole"))
+    # decoys are put to one town, so of the index over all POIs only what has no rival elsewhere is taken
+    told_apart = by_town.join(whole, "place", "left").where(F.col("whole").isNull() | (F.col("gap") >= WHOLE_GAP)).drop("whole")
+    found = _accepted(told_apart, calibrate(_best_rows(by_town), _best_rows(strayed), upward=True), threshold).withColumn("route", F.lit("town"))
     pairs = sure.unionByName(found)
     pairs = pairs.join(all_places.withColumnsRenamed({"id": "own_place", "rep": "place_id"}), "place_id").drop("place_id").withColumnRenamed("own_place", "place_id")
     return pairs.join(all_pois.withColumnsRenamed({"id": "own_poi", "rep": "poi_id"}), "poi_id").drop("poi_id").withColumnRenamed("own_poi", "poi_id")

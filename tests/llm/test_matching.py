@@ -96,6 +96,19 @@ def test_town_route_meets_reordered_and_mistyped_names(spark):
     assert len(got & want) >= 0.75 * len(want) and len(got - want) <= 0.25 * len(want)
 
 
+def test_places_without_a_city(spark):
+    real, r = town(21, 200)
+    real = [(i, n, la, lo + 60) for i, n, la, lo in real]
+    pois = [poi(i, n, la, lo) for i, n, la, lo in real]
+    places = [web(i - 1000, n, la, lo) for i, n, la, lo in real[:100]]
+    exchanged = [web(i - 1000, n, lo, la, None) for i, n, la, lo in real[120:140]]
+    unplaced = [web(i - 1000, n, None, None, " ") for i, n, _, _ in real[150:160]] + [web(i - 1000, f"{n} @ Town", None, None, None) for i, n, _, _ in real[160:170]]
+    df = matching.match_places(spark.createDataFrame(places + exchanged + unplaced, W), spark.createDataFrame(pois, P)).collect()
+    got = {(x.place_id, x.poi_id): x.route for x in df}
+    for part, route in ((real[120:140], "near"), (real[150:160], "town"), (real[160:170], "town")):
+        assert sum(got.get((i - 1000, i)) == route for i, *_ in part) >= 0.8 * len(part)
+
+
 def test_pruning_loses_no_pair_above_the_share():
     r = random.Random(5)
     pool = names(6, 80)
