@@ -28,6 +28,8 @@ WEIGHT_STEP, WEIGHT_BITS = 16, 10
 #: Length of the grams of names; pairs that have this share of both names' weight in common, with the words as they stand
 #: or in alphabetical order, are sure to be compared.
 GRAM, TAU = 3, 0.25
+#: In names of so few letters an edit leaves few grams, so half of TAU is enough.
+SHORT_LETTERS = 10
 #: Records farther apart are not near.
 NEAR_M = 180.0
 CELL_DEG = 0.004
@@ -100,7 +102,8 @@ def gram_frequencies(names: DataFrame, n: int) -> tuple[np.ndarray, int]:
         df, size = np.zeros(BUCKETS, np.int64), 0
         for b in batches:
             for name, town in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = gram_buckets(name_words(name, town), n)
+                words = name_words(name, town)
+                found = np.union1d(gram_buckets(words, n), gram_buckets(sorted(words), n))
                 df[found] += 1
                 size += len(found) > 0
         some = np.flatnonzero(df)
@@ -153,7 +156,7 @@ def named_grams(records: DataFrame, weights, n: int, tau: float) -> DataFrame:
                     out[prefix + "key"].append("".join(words))
                     out[prefix + "grams"].append(packed)
                     out[prefix + "weight"].append(int(own.sum()))
-                    out[prefix + "rare"].append(packed[rare_grams(found, own, tau)])
+                    out[prefix + "rare"].append(packed[rare_grams(found, own, tau / 2 if len(out[prefix + "key"][-1]) <= SHORT_LETTERS else tau)])
             new = [pa.array(out[m.split(" ")[0]], {"string": pa.string(), "long": pa.int64()}.get(m.split(" ")[1], pa.list_(pa.int32()))) for m in made]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *new_names])
 
@@ -249,11 +252,11 @@ def _weight(gram: Column) -> Column:
 
 
 def _candidates_near(places: DataFrame, pois: DataFrame) -> DataFrame:
-    """Pairs (place, poi) of positioned records that share a cell and a rare gram, with the weight (met) of those shared."""
-    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode("rare").alias("gram"))
+    """Pairs (place, poi) of positioned records that share a cell and a rare gram in either order of words, with the weight (met) of those shared."""
+    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode(F.array_union("rare", "sorted_rare")).alias("gram"))
     own, turned = (_cells_within(F.col(y), F.col(x), CELL_DEG, NEAR_M) for y, x in (("lat", "lon"), ("turned_lat", "turned_lon")))
     cells = F.when(F.col("turned_lat").isNull(), own).otherwise(F.array_union(own, turned))
-    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(cells).alias("cell"), "rare")
+    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(cells).alias("cell"), F.array_union("rare", "sorted_rare").alias("rare"))
     asked = asked.select("place", "cell", F.explode("rare").alias("gram"))
     return asked.join(posted.hint("merge"), ["cell", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
@@ -272,12 +275,12 @@ def _candidates_town(places: DataFrame, pois: DataFrame, towns: DataFrame) -> Da
     return asked.join(posted.hint("merge"), ["town", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
 
 
-def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame, share: float = 0.0) -> DataFrame:
+def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame) -> DataFrame:
     """Pairs with the likeness of their names, their distance and both categories.
 
     The likeness is the share of the BM25 weight in common or, if that is greater, one less the share of letters to edit,
     with the words as they stand or in alphabetical order.
-    Pairs below the share of both weights or the likeness NAME_FLOOR are left out.
+    Pairs below the likeness NAME_FLOOR are left out.
     """
 
     def side(df: DataFrame, who: str, x: str, names: dict[str, str]) -> DataFrame:
@@ -298,8 +301,6 @@ def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame, share: float =
     grams = {"grams": "grams", "sorted_grams": "sorted_grams"}
     met = met.join(side(places, "place", "q", grams).hint("merge"), "place").join(side(pois, "poi", "d", grams).hint("merge"), "poi")
     met = met.withColumns({"shared": _shared_weight(F.col("qgrams"), F.col("dgrams")), "sorted_shared": _shared_weight(F.col("qsorted_grams"), F.col("dsorted_grams"))})
-    if share:
-        met = met.where(F.col("shared") >= share * F.greatest("qweight", "dweight"))
 
     def most(of) -> Column:
         return F.greatest(*(F.coalesce(of(F.col(p + "shared"), F.col(f"q{p}weight"), F.col(f"d{p}weight")), F.lit(0.0)) for p in ("", "sorted_")))
@@ -447,12 +448,12 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     all_places, all_pois = copies(places), copies(pois)
     places, pois = checkpointed(_representatives(places, all_places)), checkpointed(_representatives(pois, all_pois))
 
-    near = checkpointed(_scored(_candidates_near(places, pois), places, pois, TAU))
+    near = checkpointed(_scored(_candidates_near(places, pois), places, pois))
     lift = checkpointed(category_lift(near))
     ranked = checkpointed(_ranked(near, lift))
     sample = places.where("lat IS NOT NULL").orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS)
     moved = sample.withColumns({y: F.col(y) + F.when(F.col(y) > 0, -DECOY_DEG).otherwise(DECOY_DEG) for y in ("lat", "turned_lat")})
-    decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois, TAU), lift)
+    decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois), lift)
     real = _best_rows(ranked.join(sample.select(F.col("id").alias("place")), "place", "left_semi"))
     sure = checkpointed(_accepted(ranked, calibrate(real, _best_rows(decoys)), threshold).withColumn("route", F.lit("near")))
 

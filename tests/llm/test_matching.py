@@ -109,6 +109,16 @@ def test_places_without_a_city(spark):
         assert sum(got.get((i - 1000, i)) == route for i, *_ in part) >= 0.8 * len(part)
 
 
+def test_near_route_meets_short_and_reordered_names(spark):
+    real, r = town(31, 150)
+    odd = [(1, "Trivita Gym", "Gym Trivtia"), (2, "Pelgas", "Plsas"), (3, "Quorvex Inn", "Inn Quovrex"), (4, "Dunfob", "Dnufob")]
+    at = [(43.2 + k / 100, -79.5) for k, _, _ in odd]
+    pois = [poi(i, n, la, lo) for i, n, la, lo in real] + [poi(5000 + k, n, *p) for (k, n, _), p in zip(odd, at, strict=True)]
+    places = [web(i - 1000, n, la, lo) for i, n, la, lo in real[:100]] + [web(5000 + k, n, *p, None) for (k, _, n), p in zip(odd, at, strict=True)]
+    got = {(x.place_id, x.poi_id) for x in matching.match_places(spark.createDataFrame(places, W), spark.createDataFrame(pois, P), threshold=0.0).collect()}
+    assert {(5000 + k, 5000 + k) for k, _, _ in odd} <= got
+
+
 def test_pruning_loses_no_pair_above_the_share():
     r = random.Random(5)
     pool = names(6, 80)
