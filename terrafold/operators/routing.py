@@ -19,6 +19,8 @@ from terrafold.session import checkpointed
 
 #: Directed segments up to which the graph is broadcast (about 40 bytes each).
 MAX_BROADCAST_STATES = 2_000_000
+#: Stops up to which every task holds them all; beyond, their times come from the frontier loop.
+MAX_TARGETS = 100_000
 #: Rounds of the frontier loop between checkpoints.
 ROUNDS_PER_CHECKPOINT = 4
 
@@ -96,12 +98,12 @@ def times_between(metrics: DataFrame, stops: DataFrame, penalty: float) -> DataF
     states = directed(metrics)
     graph = broadcast_graph(states)
     stops = stops.select("intersection_id").distinct()
-    if graph is None:
+    rows = [] if graph is None else stops.limit(MAX_TARGETS + 1).collect()  # a checked bound
+    if graph is None or len(rows) > MAX_TARGETS:
         far = frontier_times(states, stops, penalty)
         to = stops.withColumnRenamed("intersection_id", "to_id")
         return far.join(to, "to_id").select("from_id", "to_id", "seconds")
-    # stops are the courier's, a list that one vehicle serves
-    wanted = sorted(r.intersection_id for r in stops.limit(100_000).collect())
+    wanted = sorted(r.intersection_id for r in rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = graph.value

@@ -96,6 +96,16 @@ def tours(spark, n_deliveries, seed=1):
     return d, times, spark.createDataFrame(d, "delivery_id long, pick_up long, drop_off long"), spark.createDataFrame([(0,), (1,)], "intersection_id long")
 
 
+def test_no_stop_is_left_out_beyond_the_bound(spark, monkeypatch):
+    m = spark.createDataFrame(city(4, 4), M)
+    stops = spark.createDataFrame([(s,) for s in (0, 3, 5, 10, 15)], "intersection_id long")
+    want = {(r.from_id, r.to_id): round(r.seconds, 6) for r in routing.times_between(m, stops, 15.0).collect()}
+    limit = type(stops).limit
+    monkeypatch.setattr(type(stops), "limit", lambda df, n: limit(df, min(n, 3) if n in (100_000, 3) else n))
+    monkeypatch.setattr(routing, "MAX_TARGETS", 2, raising=False)
+    assert {(r.from_id, r.to_id): round(r.seconds, 6) for r in routing.times_between(m, stops, 15.0).collect()} == want
+
+
 @pytest.mark.parametrize("n", [4, 24])
 def test_tours_are_legal_and_annealing_does_not_cost(spark, n):
     d, times, deliveries, depots = tours(spark, n)
