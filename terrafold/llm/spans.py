@@ -70,10 +70,10 @@ def _cuts(h: np.ndarray, text: np.ndarray, local: np.ndarray, lengths: np.ndarra
     return np.flatnonzero((h == _sliding(least, width, False)) & (local >= GEAR - 1))
 
 
-def chunk_ends(texts: list[str], min_span: int = MIN_SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunk_ends(texts: list[str], min_span: int = MIN_SPAN, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(index of text, digest, position, digest before, distance to it) of every cut; repeats within a text once.
 
-    Cuts of a text whose surroundings, as far as they can decide on a shared run, are the same count once. Digests are
+    Cuts of a text whose surroundings, as far as they can decide on a shared run, are the same count once, unless ``every`` is asked for. Digests are
     signed; where there is no cut before, the distance is 0. Texts shorter than min_span have no cuts.
     """
     h, text, local, lengths = _hashed(texts)
@@ -85,6 +85,8 @@ def chunk_ends(texts: list[str], min_span: int = MIN_SPAN) -> tuple[np.ndarray,
     after = np.where(p + reach < lengths[t], h[np.minimum(cut + reach, len(h) - 1)] if len(h) else h[cut], _mix((p + (t << 40)).astype(np.uint64) + np.uint64(1)))
     same = np.r_[False, t[1:] == t[:-1]] if len(t) else np.zeros(0, bool)
     previous, gap = np.where(same, np.r_[d[:1], d[:-1]], np.uint64(0)), np.where(same, p - np.r_[p[:1], p[:-1]], 0)
+    if every:
+        return t, d.view(np.int64), p, previous.view(np.int64), gap
     order = np.lexsort((p, after, before, d, t))
     first = np.ones(len(order), bool)
     first[1:] = (np.diff(t[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(before[order]) != 0) | (np.diff(after[order]) != 0)
@@ -92,14 +94,14 @@ def chunk_ends(texts: list[str], min_span: int = MIN_SPAN) -> tuple[np.ndarray,
     return t[keep], d[keep].view(np.int64), p[keep], previous[keep].view(np.int64), gap[keep]
 
 
-def chunk_digests(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+def chunk_digests(docs: DataFrame, min_span: int = MIN_SPAN, every: bool = False) -> DataFrame:
     """(doc, digest, pos, prev, gap) of all cuts of docs (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for at, end in _pieces([len(t) for t in texts]):
-                t, d, p, prev, gap = chunk_ends(texts[at:end], min_span)
+                t, d, p, prev, gap = chunk_ends(texts[at:end], min_span, every)
                 if len(t):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at:end][t], d, p, prev, gap)], ["doc", "digest", "pos", "prev", "gap"])
 
@@ -157,14 +159,15 @@ def _common(a: str, b: str, i: int, j: int, forward: bool) -> int:
     return low
 
 
-def shared_runs(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+def shared_runs(docs: DataFrame, min_span: int = MIN_SPAN, each_way: bool = True) -> DataFrame:
     """(doc_a, doc_b, start_a, start_b, length) of maximal common runs of at least min_span, for docs (doc, text).
 
     ``docs`` should hold each text once. A run is found at its first cut: pairs of cuts whose cuts before are equal too,
     at the same distance, lie in a run that was already found. A digest only proposes; the texts decide. Runs between two
-    texts are given once for each way that they lie against each other.
+    texts are given once for each way that they lie against each other; without ``each_way`` some of these may be missing,
+    but never all.
     """
-    cuts = chunk_digests(docs, min_span)
+    cuts = chunk_digests(docs, min_span, each_way)
     first = ~((F.col("a_gap") == F.col("b_gap")) & (F.col("a_gap") > 0) & (F.col("a_prev") == F.col("b_prev")))
     met = self_pairs(cuts, "digest", "doc", first).select("a_doc", "b_doc", "a_pos", "b_pos")
     text = docs.select("doc", "text")
@@ -197,7 +200,7 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_s
     every pair of records with the same text. Keys must be unique; null texts and texts below min_span give no rows.
     """
     classes = text_classes(docs, key, text, min_span)
-    runs = shared_runs(_unique_texts(docs, classes, key, text), min_span).select("doc_a", "doc_b").distinct()
+    runs = shared_runs(_unique_texts(docs, classes, key, text), min_span, each_way=False).select("doc_a", "doc_b").distinct()
     members = classes.select("rep", "doc")
     a = runs.join(members.withColumnsRenamed({"rep": "doc_a", "doc": "one"}), "doc_a")
     between = a.join(members.withColumnsRenamed({"rep": "doc_b", "doc": "other"}), "doc_b").select(F.least("one", "other").alias("doc_a"), F.greatest("one", "other").alias("doc_b"))

@@ -103,3 +103,19 @@ def test_large_groups_go_through_blocks(spark):
 def test_any_texts(spark, texts, n):
     df = frame(spark, texts)
     assert sorted((r.doc_a, r.doc_b) for r in spans.shared_pairs(df, min_span=n).collect()) == naive_pairs(texts, n)
+
+
+def test_runs_are_given_each_way(spark):
+    r = random.Random(9)
+
+    def letters(n):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    texts, want = [], set()
+    for k in range(150):
+        passage = letters(150)
+        at = r.randrange(5, 40)
+        texts += ["#" + passage + "!", letters(at) + "+" + passage + "-" + letters(30) + "+" + passage + "-"]
+        want |= {(2 * k, 2 * k + 1, 1, at + 1, 150), (2 * k, 2 * k + 1, 1, at + 183, 150)}
+    docs = frame(spark, texts).selectExpr("doc_id AS doc", "text")
+    assert {tuple(x) for x in spans.shared_runs(docs).collect()} == want
