@@ -1,26 +1,29 @@
-"""Nested JSON documents as an adjacency table, and entity tables pivoted from it.
+"""Nested JSON documents as an adjacency table, and entity tables joined and pivoted from it.
 
-Shredding gives one row per value: its node, parent, label, ordinal and scalar. A node is named by its JSON pointer, so
-a row's links need no numbering across tasks. Entity tables join objects with their scalar children on the parent and
-pivot the labels into columns; the parent's kind travels with the child, so the join is one aggregation on the parent.
+Shredding gives one row per value: node, parent, label, ordinal and scalar. Nodes are numbered within their document, so
+no numbering across tasks is needed. A row also names the labels on its way from the root (``path``, with ``[]`` for an
+element of a list) and the ordinals of the lists it lies in (``at``), which say what kind of thing a node is and which
+one of its kind. Entity tables join container nodes with their scalar children on (document, parent) and pivot the labels.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bodies nested deeper count as invalid, as most JSON parsers have it.
-MAX_DEPTH = 1000
-#: Rows of the adjacency table in one Arrow batch.
-BATCH_ROWS = 20_000
+from terrafold.session import stored
 
-SHRED_SCHEMA = "doc_id long, node string, parent string, parent_kind string, label string, ordinal int, kind string, scalar string"
+#: Rows, and characters of paths, after which an Arrow batch is handed on.
+BATCH_ROWS, BATCH_CHARS = 20_000, 16_000_000
+
+SHRED_SCHEMA = "doc_id long, node long, parent long, label string, ordinal int, kind string, scalar string, path string, at string"
 
 
 class _Number(str):
@@ -32,6 +35,69 @@ def _not_json(text: str) -> None:
 
 
 _decode = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_not_json).decode
+_SPACE, _NUMBER, _WORDS = re.compile(r"[ \t\n\r]*"), re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?", re.ASCII), {"true": True, "false": False, "null": None}
+
+
+def parse_deep(text: str) -> Any:
+    """The value of a JSON text of any depth of nesting, without recursion; ValueError if it is none."""
+    top: list = []
+    stack: list[tuple[Any, str | None]] = [(top, None)]  # open containers, with the key that waits for its value
+    i, want = 0, "value"
+    while True:
+        i = _SPACE.match(text, i).end()
+        c = text[i : i + 1]
+        if want == "value":
+            box, key = stack[-1]
+            if c == "{":
+                new: Any = {}
+            elif c == "[":
+                new = []
+            elif c == '"':
+                new, i = scanstring(text, i + 1, True)
+            elif m := _NUMBER.match(text, i):
+                new, i = _Number(m.group()), m.end()
+            else:
+                word = next((w for w in _WORDS if text.startswith(w, i)), None)
+                if word is None:
+                    raise ValueError("no value")
+                new, i = _WORDS[word], i + len(word)
+            if isinstance(box, dict):
+                box[key] = new
+            else:
+                box.append(new)
+            if c and c in "{[":
+                i = _SPACE.match(text, i + 1).end()
+                if text[i : i + 1] == ("}" if c == "{" else "]"):
+                    i += 1
+                    want = "next"
+                else:
+                    stack.append((new, None))
+                    want = "key" if c == "{" else "value"
+            else:
+                want = "next"
+        elif want == "key":
+            if c != '"':
+                raise ValueError("no key")
+            key, i = scanstring(text, i + 1, True)
+            i = _SPACE.match(text, i).end()
+            if text[i : i + 1] != ":":
+                raise ValueError("no colon")
+            i += 1
+            stack[-1] = (stack[-1][0], key)
+            want = "value"
+        else:
+            box = stack[-1][0]
+            if box is top:
+                if c:
+                    raise ValueError("text goes on")
+                return top[0]
+            if c == ",":
+                want = "key" if isinstance(box, dict) else "value"
+            elif c == ("}" if isinstance(box, dict) else "]"):
+                stack.pop()
+            else:
+                raise ValueError("no end")
+            i += 1
 
 
 def parse(text: str | None) -> tuple[bool, Any]:
@@ -40,11 +106,19 @@ def parse(text: str | None) -> tuple[bool, Any]:
         return False, None
     try:
         return True, _decode(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return False, None
+    try:
+        return True, parse_deep(text)
+    except ValueError:
         return False, None
 
 
 def _clean(text: str) -> str:
+    if text.isascii():
+        return text
     try:
         text.encode()
         return text
@@ -52,152 +126,161 @@ def _clean(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _kind(value: Any) -> str:
-    if isinstance(value, dict):
-        return "object"
-    if isinstance(value, list):
-        return "array"
-    if isinstance(value, _Number):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    return "null" if value is None else "boolean"
+_KINDS = {dict: "object", list: "array", _Number: "number", str: "string", bool: "boolean", type(None): "null"}
 
 
-def shred_value(value: Any) -> list[tuple] | None:
-    """Adjacency rows (without doc_id) of one parsed document; None if it is nested too deep.
+def shred_value(value: Any) -> Iterator[tuple]:
+    """Adjacency rows (without doc_id) of one parsed document, parents before their children.
 
     A string that is itself a JSON object or array is shredded in its place; its text stays as the node's scalar.
     """
-    rows: list[tuple] = []
-    todo: list[tuple] = [(value, "", None, None, None, None, 0)]
+    count = 0
+    step: dict[tuple[str, str], str] = {}  # paths repeat, so each is made once
+    todo: list[tuple] = [(value, None, None, None, "", "")]
     while todo:
-        v, node, parent, parent_kind, label, ordinal, depth = todo.pop()
-        if depth > MAX_DEPTH:
-            return None
-        scalar = None
-        if isinstance(v, str) and not isinstance(v, _Number):
+        v, parent, label, ordinal, path, at = todo.pop()
+        scalar, kind = None, _KINDS[type(v)]
+        if kind == "string":
             scalar = _clean(v)
             if v.lstrip()[:1] in ("{", "["):
                 ok, inner = parse(v)
                 if ok:
-                    v = inner
-        elif isinstance(v, _Number):
-            scalar = str(v)
-        elif isinstance(v, bool):
+                    v, kind = inner, _KINDS[type(inner)]
+        elif kind == "number":
+            scalar = v
+        elif kind == "boolean":
             scalar = "true" if v else "false"
-        kind = _kind(v)
-        rows.append((node, parent, parent_kind, label, ordinal, kind, scalar))
+        node = count
+        count += 1
+        yield node, parent, label, ordinal, kind, scalar, path, at
         if kind == "object":
-            todo.extend((x, f"{node}/{_clean(k).replace('~', '~0').replace('/', '~1')}", node, kind, _clean(k), i, depth + 1) for i, (k, x) in enumerate(v.items()))
+            for i, (k, x) in enumerate(v.items()):
+                way = step.get((path, k))
+                if way is None:
+                    name = _clean(k).replace("~", "~0").replace("/", "~1").replace("[]", "~2")
+                    way = step[path, k] = f"{path}/{name}" if path else name
+                todo.append((x, node, _clean(k), i, way, at))
         elif kind == "array":
-            todo.extend((x, f"{node}/{i}", node, kind, None, i, depth + 1) for i, x in enumerate(v))
-    return rows
+            way = f"{path}[]"
+            before = f"{at}." if at else ""
+            todo.extend((x, node, None, i, way, f"{before}{i}") for i, x in enumerate(v))
 
 
 def shred(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
-    """(doc_id, node, parent, parent_kind, label, ordinal, kind, scalar): one row per JSON value of every valid body.
+    """(doc_id, node, parent, label, ordinal, kind, scalar, path, at): one row per JSON value of every valid body.
 
-    The root's node is the empty pointer; elements of arrays have an ordinal and no label. Null bodies, texts that are
-    not JSON and bodies nested deeper than MAX_DEPTH give no rows. Other columns of ``docs`` are ignored.
+    The root is node 0 and has no parent; elements of lists have an ordinal and no label. In paths a label's ``/`` is
+    ``~1``, its ``~`` ``~0`` and its ``[]`` ``~2``. Null bodies and texts that are not JSON give no rows; depth is not
+    bounded. Other columns of ``docs`` are ignored.
     """
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+    names = [f.split(" ")[0] for f in SHRED_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["doc_id", "node", "parent", "parent_kind", "label", "ordinal", "kind", "scalar"]
-        types = [pa.int64(), *[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
         held: list[tuple] = []
+        chars = 0
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], fields)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
             held.clear()
             return batch
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ok, value = parse(text)
-                rows = shred_value(value) if ok else None
-                for at in range(0, len(rows or ()), BATCH_ROWS):
-                    held.extend((doc, *r) for r in rows[at : at + BATCH_ROWS])
-                    if len(held) >= BATCH_ROWS:
+                for row in shred_value(value) if ok else ():
+                    held.append((doc, *row))
+                    chars += len(row[6]) + len(row[7])
+                    if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
                         yield flush()
+                        chars = 0
         if held:
             yield flush()
 
     return docs.select(F.col(key).cast("long"), F.col(body).cast("string")).mapInArrow(run, SHRED_SCHEMA)
 
 
-PLACE = r"^(/results/\d+(?:/related_places/children/\d+)*)"
+#: The way from the root to a place.
+PLACE = r"^results\[\](?:/related_places/children\[\])*"
 
 
-def _place_path(pointer: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(pointer, r"^/results/", ""), "/related_places/children/", ".")
+def with_children(containers: DataFrame, scalars: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
+    """Container nodes joined with their scalar children and pivoted: columns ``keep``, doc_id, node and one for each label.
 
-
-def pivoted(nodes: DataFrame, labels: list[str], keys: list[Column]) -> DataFrame:
-    """Objects as rows: scalar children joined to their parent (doc_id, parent) and pivoted by label."""
-    scalar = F.col("kind").isin("string", "number", "boolean") | (F.col("scalar").isNotNull())
-    return (
-        nodes.where((F.col("parent_kind") == "object") & F.col("label").isin(labels) & scalar)
-        .groupBy("doc_id", *keys, F.col("parent").alias("node"))
-        .agg(*(F.max(F.when(F.col("label") == x, F.col("scalar"))).alias(x) for x in labels))
-    )
+    ``containers`` and ``scalars`` are rows of the adjacency table. Containers without such children come out with nulls.
+    """
+    child = scalars.where(F.col("label").isin(labels) & F.col("scalar").isNotNull()).select(F.col("doc_id").alias("c_doc"), "parent", F.col("label").alias("c_label"), F.col("scalar").alias("c_scalar"))
+    met = containers.select("doc_id", "node", *keep).join(child, (F.col("doc_id") == F.col("c_doc")) & (F.col("node") == F.col("parent")), "left")
+    return met.groupBy("doc_id", "node").agg(*(F.first(k).alias(k) for k in keep), *(F.max(F.when(F.col("c_label") == x, F.col("c_scalar"))).alias(x) for x in labels))
 
 
 def places(nodes: DataFrame) -> DataFrame:
     """(page_id, place_path, parent_path, fsq_id, name): every place object; parent_path is null for those in results."""
-    place = F.regexp_extract("node", PLACE + "$", 1)
-    own = nodes.where((F.col("kind") == "object") & (place != "")).select("doc_id", "node")
-    members = pivoted(nodes.where(F.regexp_extract("parent", PLACE + "$", 1) != ""), ["fsq_id", "name"], [])
-    path = _place_path(F.col("node"))
-    parent = F.nullif(F.regexp_extract(path, r"^(.*)\.\d+$", 1), F.lit(""))
-    return own.join(members, ["doc_id", "node"], "left").select(F.col("doc_id").alias("page_id"), path.alias("place_path"), parent.alias("parent_path"), "fsq_id", "name")
+    some = nodes.where(F.regexp_like("path", F.lit(PLACE + "(?:/fsq_id|/name)?$")))
+    some = stored(some.select("doc_id", "node", "parent", "label", "kind", "scalar", "path", "at"))
+    place = some.where((F.col("kind") == "object") & F.endswith("path", F.lit("[]")))
+    rows = with_children(place, some, ["fsq_id", "name"], ["at"])
+    parent = F.nullif(F.regexp_extract("at", r"^(.*)\.\d+$", 1), F.lit(""))
+    return rows.select(F.col("doc_id").alias("page_id"), F.col("at").alias("place_path"), parent.alias("parent_path"), "fsq_id", "name")
+
+
+#: Members of the containers of items, by what they are.
+_COORDINATES = {"lat": ("latitude", "lat"), "lon": ("longitude", "lng", "lon")}
+
+
+def _number(text: Column, whole: bool) -> Column:
+    """The number that a text is, or the first in it, with a decimal point; null if none."""
+    body = r"([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)"
+    found = F.regexp_extract(F.trim(text), f"^{body}$" if whole else body, 1)
+    return F.replace(F.nullif(found, F.lit("")), F.lit(","), F.lit("."))
 
 
 def place_items(nodes: DataFrame) -> DataFrame:
     """(page_id, place_path, item_kind, item_key, lat, lon): addresses, geocodes, websites and ratings of all places.
 
     Each row is linked to its place by page_id and place_path. A location, geocode, website or rating counts in any
-    JSON type: as an object, as a list of such, as a text holding either, or as a bare text or number.
+    JSON type: as an object, as a list of such, as a text holding either, or as a bare text or number. Objects among the
+    containers (places, locations, geocodes, lists of them) are joined with their scalar children; what a scalar means
+    follows from its container's path and its own label.
     """
-    rest = F.substring(F.col("node"), F.length("place") + 1, F.length("node"))
-    slots = {
-        "address": r"^/location(?:/\d+)?/(?:address|formatted_address)$",
-        "bare_address": r"^/location(?:/\d+)?$",
-        "geocode": r"^/geocodes/[^/]+/(?:latitude|longitude|lat|lng|lon|type)$",
-        "website": r"^/website(?:/\d+)?(?:/url)?$",
-        "rating": r"^/rating(?:/\d+)?(?:/value)?$",
-    }
-    slot = F.lit(None).cast("string")
-    for name, pattern in slots.items():
-        slot = F.when(F.regexp_like(F.col("rest"), F.lit(pattern)), F.lit(name)).otherwise(slot)
-    some = nodes.where(F.col("kind").isin("string", "number")).withColumn("place", F.regexp_extract("node", PLACE, 1)).where("place <> ''")
-    some = some.withColumn("rest", rest).withColumn("slot", slot).where("slot IS NOT NULL")
-    # an object's members meet at their parent; what stands alone is its own group
-    group = F.when(F.col("slot").isin("address", "geocode"), F.col("parent")).otherwise(F.col("node"))
-    number = F.replace(F.nullif(F.regexp_extract(F.trim("scalar"), r"^([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)$", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-
-    def member(*labels: str, value: Column | None = None) -> Column:
-        return F.max(F.when(F.col("label").isin(*labels), F.col("scalar") if value is None else value))
-
-    joined = some.withColumn("number", number).groupBy("doc_id", "place", group.alias("node"), "slot").agg(
-        F.max(F.when(F.col("slot").isin("bare_address", "website", "rating"), F.col("scalar"))).alias("own"),
-        member("address").alias("address"),
-        member("formatted_address").alias("formatted_address"),
-        member("type").alias("type"),
-        member("latitude", "lat", value=F.col("number")).alias("lat"),
-        member("longitude", "lng", "lon", value=F.col("number")).alias("lon"),
-        F.max(F.when(F.col("slot") == "geocode", F.col("parent_kind"))).alias("parent_kind"),
+    # what follows the place's own path; only the few rows that can matter are stored and shuffled
+    rest = F.regexp_replace("path", PLACE + "/?", "")
+    some = nodes.where(F.startswith("path", F.lit("results[]"))).withColumn("rest", rest)
+    container = F.col("kind").isin("object", "array") & (
+        F.regexp_like("rest", F.lit(r"^(?:location|website|rating)?(?:\[\])?$")) | F.regexp_like("rest", F.lit(r"^geocodes(?:\[\]|/[^/\[\]]+)$"))
+    )
+    scalar = F.col("kind").isin("string", "number") & F.regexp_like(
+        "rest", F.lit(r"^(?:(?:location|website|rating)(?:\[\])?|location(?:\[\])?/(?:address|formatted_address)|website(?:\[\])?/url|rating(?:\[\])?/value|geocodes(?:\[\]|/[^/\[\]]+)/(?:latitude|longitude|lat|lng|lon|type))$")
+    )
+    some = stored(some.where(container | scalar).withColumn("is_container", container).select("doc_id", "node", "parent", "label", "kind", "scalar", "rest", "at", "is_container"))
+    c = some.where("is_container").select("doc_id", "node", F.col("label").alias("c_label"), F.col("rest").alias("c_rest"), F.col("at").alias("c_at"))
+    s = some.where("NOT is_container").select("doc_id", F.col("parent").alias("node"), "label", "scalar", "rest", "at")
+    met = c.join(s, ["doc_id", "node"])
+    # one more list lies between the place and what is an element of a list
+    listed = F.contains("rest", F.lit("[]"))
+    met = met.withColumn("place_path", F.when(listed, F.regexp_extract("at", r"^(.*)\.\d+$", 1)).otherwise(F.col("at")))
+
+    # members of one object are pivoted into one row
+    of_object = F.contains("rest", F.lit("/")) & ~F.regexp_like("rest", F.lit("^(?:website|rating)"))
+
+    def member(*labels: str) -> Column:
+        return F.max(F.when(F.col("label").isin(*labels), F.col("scalar")))
+
+    objects = met.where(of_object).groupBy("doc_id", "node").agg(
+        F.first("place_path").alias("place_path"), F.first("c_label").alias("c_label"), F.first("c_rest").alias("c_rest"),
+        member("address").alias("address"), member("formatted_address").alias("formatted"), member("type").alias("type"),
+        *(F.max(F.when(F.col("label").isin(*labels), _number(F.col("scalar"), True).try_cast("double"))).alias(n) for n, labels in _COORDINATES.items()),
     )
-    last = F.regexp_replace(F.regexp_replace(F.element_at(F.split("node", "/"), -1), "~1", "/"), "~0", "~")
-    code = F.coalesce("type", last)
-    rated = F.replace(F.nullif(F.regexp_extract("own", r"([+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?)", 1), F.lit("")), F.lit(","), F.lit("."))
-    rated = F.round(rated.try_cast("decimal(36,12)"), 1).cast("decimal(30,1)").cast("string")
-    key = (
-        F.when(F.col("slot") == "address", F.coalesce(F.nullif("address", F.lit("")), F.nullif("formatted_address", F.lit(""))))
-        .when(F.col("slot") == "bare_address", F.nullif("own", F.lit("")))
-        .when(F.col("slot") == "geocode", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), code))
-        .when(F.col("slot") == "website", F.when(F.trim("own") != "", F.col("own")))
-        .when(F.col("slot") == "rating", F.when(F.regexp_like("own", F.lit(r"\d")), rated))
+    geocode = F.startswith("c_rest", F.lit("geocodes"))
+    told = F.coalesce(F.nullif("address", F.lit("")), F.nullif("formatted", F.lit("")))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    blank = F.lit(None).cast("double")
+    from_objects = objects.select(
+        F.col("doc_id").alias("page_id"), "place_path", F.when(geocode, "geocode").otherwise("address").alias("item_kind"),
+        F.when(geocode, F.when(placed, F.coalesce("type", "c_label"))).otherwise(told).alias("item_key"), F.when(geocode, F.col("lat")).alias("lat"), F.when(geocode, F.col("lon")).alias("lon"),
     )
-    kind = F.when(F.col("slot") == "bare_address", "address").otherwise(F.col("slot"))
-    return joined.select(F.col("doc_id").alias("page_id"), _place_path(F.col("place")).alias("place_path"), kind.alias("item_kind"), key.alias("item_key"), "lat", "lon").where("item_key IS NOT NULL")
+    rated = F.round(_number(F.col("scalar"), False).try_cast("decimal(36,12)"), 1).cast("decimal(30,1)").cast("string")
+    kind = F.regexp_extract("rest", "^[a-z]+", 0)
+    key = F.when(kind == "location", F.nullif("scalar", F.lit(""))).when(kind == "website", F.when(F.trim("scalar") != "", F.col("scalar"))).otherwise(F.when(F.regexp_like("scalar", F.lit(r"\d")), rated))
+    alone = met.where(~of_object).select(F.col("doc_id").alias("page_id"), "place_path", F.when(kind == "location", "address").otherwise(kind).alias("item_kind"), key.alias("item_key"), blank.alias("lat"), blank.alias("lon"))
+    return from_objects.unionByName(alone).where("item_key IS NOT NULL")

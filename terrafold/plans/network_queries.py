@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import geo, tags
 from terrafold.operators import features, network, osm, search, shred
+from terrafold.plans.problem_queries import P5_FLAT
 from terrafold.plans.registry import Registry
 from terrafold.plans.scalar_queries import _CATEGORY, _CLASS, _LINES, _TAGS, _WAY_USE, MEAN, RADIUS, _r, _tagged_nodes, _way_kinds, dist_sql
 from terrafold.sources.fixtures import view
@@ -85,7 +86,7 @@ def city_lookup(spark: SparkSession, d: str) -> DataFrame:
     return search.cities(spark, "CANADA ")
 
 
-@R.add()
+@R.add(P5_FLAT)
 def json_places(spark: SparkSession, d: str) -> DataFrame:
     """Places of search answers as flat rows: name, address, website, rating to one decimal and main position."""
     nodes = shred.shred(view(spark, d, "place_pages"))

@@ -63,8 +63,8 @@ def p5_geocodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The adjacency table itself."""
-    return _shredded(spark, d).withColumnRenamed("doc_id", "page_id")
+    """The adjacency table itself, nodes named by path and ordinals instead of their numbers."""
+    return _shredded(spark, d).select(F.col("doc_id").alias("page_id"), "path", "at", "label", "kind", "scalar", F.when(F.col("label").isNull(), F.col("ordinal")).alias("ordinal"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_speeds, p4_found, p4_by_period, p4_current, p5_found, p5_places, p5_geocodes, p5_nodes)}
@@ -189,6 +189,28 @@ WHERE item_key IS NOT NULL
 _P5_GEOCODES = _P5[: _P5.index("SELECT DISTINCT page_id")] + f"""
 SELECT page_id, place_path, k AS geocode, {_number("la")} AS lat, {_number("lo")} AS lon FROM gn WHERE {_number("la")} IS NOT NULL AND {_number("lo")} IS NOT NULL"""
 
+_P5_NODES = f"""
+WITH RECURSIVE ok AS (SELECT page_id, CAST(body AS JSON) AS j FROM place_pages WHERE body IS NOT NULL AND json_valid(body)),
+t AS (
+  SELECT page_id, '' AS path, '' AS "at", CAST(NULL AS VARCHAR) AS label, CAST(NULL AS INT) AS ordinal, j AS raw, {_decoded("j")} AS v FROM ok
+  UNION ALL
+  SELECT page_id, path, "at", label, ordinal, raw, {_decoded("raw")} FROM (
+    SELECT page_id, CASE WHEN path = '' THEN '' ELSE path || '/' END || replace(replace(replace(k, '~', '~0'), '/', '~1'), '[]', '~2') AS path, "at", k AS label, CAST(NULL AS INT) AS ordinal, json_extract(v, '$."' || k || '"') AS raw
+    FROM (SELECT page_id, path, "at", v, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')
+    UNION ALL
+    SELECT page_id, path || '[]', CASE WHEN "at" = '' THEN '' ELSE "at" || '.' END || i, NULL, CAST(i AS INT), json_extract(v, '$[' || i || ']')
+    FROM (SELECT page_id, path, "at", v, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM t WHERE json_type(v) = 'ARRAY')))
+SELECT page_id, path, "at", label, ordinal, CASE json_type(v) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind,
+  CASE WHEN json_type(raw) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN raw ->> '$' END AS scalar FROM t
+"""
+
+#: Flat places of the first level, for json_places.
+P5_FLAT = _P5.replace("SELECT DISTINCT page_id", ", items AS (SELECT DISTINCT page_id") + f"""),
+main AS (SELECT page_id, place_path, {_number("la")} AS lat, {_number("lo")} AS lon FROM gn WHERE k = 'main' AND {_number("la")} IS NOT NULL AND {_number("lo")} IS NOT NULL),
+flat AS (SELECT page_id, place_path, min(item_key) FILTER (item_kind = 'address') AS address, min(item_key) FILTER (item_kind = 'website') AS website, min(item_key) FILTER (item_kind = 'rating') AS rating FROM items GROUP BY ALL)
+SELECT p.page_id, p.place_path, p.p ->> '$.name' AS name, f.address, f.website, f.rating, m.lat, m.lon FROM places p LEFT JOIN flat f USING (page_id, place_path)
+LEFT JOIN (SELECT page_id, place_path, min(lat) AS lat, min(lon) AS lon FROM main GROUP BY ALL) m USING (page_id, place_path) WHERE p.parent_path IS NULL AND json_type(p.p) = 'OBJECT'"""
+
 ORACLES: dict[str, str] = {
-    "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_geocodes": _P5_GEOCODES, "p5_places": _P5_PLACES,
+    "p5_nodes": _P5_NODES, "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_geocodes": _P5_GEOCODES, "p5_places": _P5_PLACES,
 }

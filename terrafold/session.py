@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not told and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="terrafold-checkpoint-"))
     return told or sc._jsc.sc().getCheckpointDir().get()
 
@@ -41,3 +45,29 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage as a Parquet table in the shared folder: compressed, and read by column.
+
+    For what several branches of a plan read; rows come back in no order. The folder is removed when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/terrafold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED.append((spark, path))
+    return out
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            return

@@ -86,11 +86,14 @@ def test_odd_bodies(spark):
         '{"results": [{"geocodes": {"a/b~c": {"latitude": "1", "longitude": "2"}, "x": {"latitude": 1}}, "location": [{"address": "", "formatted_address": "F"}]}]}',
         '{"results": [{"related_places": {"children": [{"related_places": {"children": [{"rating": 1}]}}, 5, {"rating": -1.25}]}}]}',
         "[" * 5000 + "]" * 5000, '{"results": [' + "[" * 1500 + "]" * 1500 + "]}", '{"results": [{"rating": 1, "rating": 2}]}',
+        '{"results": [{"website": "http://deep", "x": ' + "[" * 5000 + "]" * 5000 + ', "rating": 7}]}', '{"results": {"0": {"rating": 1}}}',
+        '{"results": [' + '{"related_places": {"children": [' * 60 + '{"rating": 3}' + "]}}" * 60 + "]}",
     ]
     got = spark_items(spark, [(i, b, "n", "l") for i, b in enumerate(bodies)])
     assert got == {
         (8, "3", "rating", "8.5"), (8, "3", "website", "http://x"), (8, "3", "website", "http://y"), (10, "0", "rating", "9.0"), (10, "0", "website", "�"), (10, "0", "address", "Main St 1"),
         (11, "0", "geocode", "a/b~c"), (11, "0", "address", "F"), (12, "0.0.0", "rating", "1.0"), (12, "0.2", "rating", "-1.3"), (15, "0", "rating", "2.0"),
+        (16, "0", "website", "http://deep"), (16, "0", "rating", "7.0"), (18, "0" + ".0" * 60, "rating", "3.0"),
     }
 
 
@@ -101,6 +104,7 @@ def test_adjacency_restores_the_document(spark):
     for r in rows:
         if r.parent is not None:
             kids.setdefault(r.parent, []).append(r)
+    assert {r.path for r in rows} == {"", "a", "a[]", "a[]/b", "a[]/c", "a[]/c[]", "d~1e", "f"} and {r.at for r in rows if r.path == "a[]/c[]"} == {"1.0", "1.1"}
 
     def build(r):
         children = sorted(kids.get(r.node, []), key=lambda x: x.ordinal)
@@ -116,3 +120,20 @@ def test_adjacency_restores_the_document(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, body string")
     assert shred.shred(df).count() == 0 and shred.places(shred.shred(df)).count() == 0
+
+
+def test_deep_texts_parse_like_others():
+    for text in ('{"a": [1, -2.5e3, {"b": "x\\ny", "c": null}], "d": {}, "e": [], "f": [true, false]}', "[]", "7", '"x"', " { } "):
+        assert shred.parse_deep(text) == shred.parse(text)[1]
+    for text in ("", "{", "[1,]", '{"a" 1}', '{"a":}', "[1 2]", "01", "nul", '{"a":1}}', "NaN", "[1", '"x', "{1: 2}", "[,]", '{"a": 1,}'):
+        assert shred.parse(text) == (False, None)
+        try:
+            shred.parse_deep(text)
+        except ValueError:
+            continue
+        raise AssertionError(text)
+    deep = shred.parse("[" * 200_000 + "1" + "]" * 200_000)[1]
+    n = 0
+    while isinstance(deep, list):
+        deep, n = deep[0], n + 1
+    assert n == 200_000 and deep == "1"
