@@ -106,7 +106,7 @@ def way_use(tags: Column) -> Column:
         return F.try_element_at(tags, F.lit(k))
 
     kinds = F.when(tag("railway").isin("tram", "rail", "monorail", "subway"), tag("railway")).when(tag("railway").isNotNull(), "other")
-    return F.coalesce(F.when(tag("tracks").isNotNull(), "tracks"), kinds, F.when(tag("embedded_rails").isNotNull(), "tram"), F.lit("notrail"))
+    return F.coalesce(F.when(tag("tracks").isNotNull(), "tracks"), kinds, F.when(tag("embedded_rails").isNotNull() | tag("embedded_rails:lanes").isNotNull(), "tram"), F.lit("notrail"))
 
 
 def poi_class(kind: Column) -> Column:

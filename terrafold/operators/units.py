@@ -7,6 +7,7 @@ the choice with the smallest one is taken, and choices that come as close as rou
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import product
 
@@ -40,8 +41,6 @@ def resolve_units(df: DataFrame, quantities: list[Quantity], rounding: Column |
     for q in quantities:
         usable = usable & F.coalesce(q.value > 0, F.lit(False))
     choices = list(product(*(q.units for q in quantities)))
-    import math
-
     offsets = [sum(q.exponent * math.log(u[1]) for q, u in zip(quantities, c, strict=True)) for c in choices]
     tried = F.array(*(F.struct(F.abs(F.col("__total") + F.lit(o)).alias("residual"), F.lit(i).alias("i")) for i, o in enumerate(offsets)))
     ranked = df.withColumn("__total", F.when(usable, total)).withColumn("__ranked", F.when(F.col("__total").isNotNull(), F.array_sort(tried)))
@@ -83,10 +82,11 @@ def speed_units(segments: DataFrame, feeds: DataFrame, units: DataFrame) -> Data
     The posted limit is the first number of max_speed_text in the unit the text names, else in the feed's unit at
     edited_at; without a number it is the stored number in the feed's unit. The identity is stored x unit = posted x
     unit, the posted one's unit being known. Rows whose stored number is null or not above 0 come out with nulls.
-    ``units`` (fixed, 6 rows) gives the factors and is read on the driver; feeds (fixed, 12 rows) are joined.
+    ``units`` (fixed, 6 rows in TESTDATA) is configuration: its factors become part of the expression, whole, however
+    many they are. Feeds (fixed, 12 rows) are joined. Of a code with several factors the least counts.
     """
-    # fixed table of 6 rows, see TESTDATA
-    known = [(r.unit_code, float(r.kph_factor)) for r in units.select("unit_code", "kph_factor").dropna().distinct().orderBy("unit_code").limit(64).collect()]
+    factors = units.select("unit_code", "kph_factor").dropna().where("kph_factor > 0").groupBy("unit_code").agg(F.min("kph_factor").alias("kph_factor"))
+    known = sorted((r.unit_code, float(r.kph_factor)) for r in factors.collect())
     factor = F.create_map(*(x for code, f in known for x in (F.lit(code), F.lit(f)))) if known else F.lit(None).cast("map<string,double>")
     says = feed_units(feeds)
     # texts repeat a lot: each is read once
@@ -107,7 +107,7 @@ def speed_units(segments: DataFrame, feeds: DataFrame, units: DataFrame) -> Data
     rows = rows.withColumn("posted_kph", F.col("posted") * F.try_element_at(factor, F.col("posted_unit")))
     solved = resolve_units(
         rows,
-        [Quantity("stored", F.col("stored"), 1.0, tuple(known)), Quantity("posted", F.col("posted_kph"), -1.0, (("kmh", 1.0),))],
+        [Quantity("stored", F.col("stored"), 1.0, tuple(known) or (("kmh", 1.0),)), Quantity("posted", F.col("posted_kph"), -1.0, (("kmh", 1.0),))],
         rounding=F.greatest(F.lit(0.002), F.try_divide(F.lit(0.05), F.col("stored"))),
     )
     positive = F.col("stored") > 0

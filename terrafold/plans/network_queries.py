@@ -415,14 +415,22 @@ def search_top5(spark: SparkSession, d: str) -> DataFrame:
     return search.intersections(view(spark, d, "streets"), view(spark, d, "segments"), "row 1").orderBy("norm_1", "street_1", "intersection_id").limit(5).select("intersection_id", "name")
 
 
-@R.add(f"""WITH {_PREFIX}, {_STREET_X}, t AS (SELECT a.intersection_id, p.street_name || ' & ' || q.street_name AS name, p.norm AS n1, q.norm AS n2, p.street_id AS s1, q.street_id AS s2 FROM sx a JOIN sx b USING (intersection_id) JOIN pf p ON p.street_id = a.street_id JOIN pf q ON q.street_id = b.street_id
-  WHERE starts_with(p.norm, 'row') AND starts_with(q.norm, 'nation') AND p.street_name <> q.street_name AND p.street_name <> '<unknown>' AND q.street_name <> '<unknown>')
-SELECT intersection_id, name FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY n1, s1, n2, s2, intersection_id) = 1""")
+_TWO = f"""t AS (SELECT a.intersection_id, p.street_name || ' & ' || q.street_name AS name, p.norm AS n1, q.norm AS n2, p.street_id AS s1, q.street_id AS s2 FROM sx a JOIN sx b USING (intersection_id) JOIN pf p ON p.street_id = a.street_id JOIN pf q ON q.street_id = b.street_id
+  WHERE starts_with(p.norm, 'row') AND starts_with(q.norm, 'nation') AND p.street_name <> q.street_name AND p.street_name <> '<unknown>' AND q.street_name <> '<unknown>'),
+v AS (SELECT intersection_id, name FROM t QUALIFY row_number() OVER (PARTITION BY name ORDER BY n1, s1, n2, s2, intersection_id) = 1)"""
+
+
+@R.add(f"WITH {_PREFIX}, {_STREET_X}, {_TWO} SELECT intersection_id, name FROM v")
 def search_two_streets(spark: SparkSession, d: str) -> DataFrame:
     return search.intersections(view(spark, d, "streets"), view(spark, d, "segments"), " row  & nation ").select("intersection_id", "name")
 
 
-QUERIES["search_intersections"], ORACLES["search_intersections"] = search_two_streets, ORACLES["search_two_streets"]
+@R.add(f"WITH {_ONE}, {_TWO} SELECT 'row 1' AS text, intersection_id, name FROM u UNION ALL SELECT 'row & nation', intersection_id, name FROM v")
+def search_intersections(spark: SparkSession, d: str) -> DataFrame:
+    """What several search texts find; each text tells whether one street or two are asked for."""
+    found = [search.intersections(view(spark, d, "streets"), view(spark, d, "segments"), t).select(F.lit(t).alias("text"), "intersection_id", "name") for t in ("row 1", "row & nation")]
+    return found[0].unionAll(found[1])
+
 
 
 @R.add("SELECT * FROM (VALUES ('bloor & spadina', 'bloor', 'spadina'), ('  King  St ', 'KingSt', ''), ('& queen', '', 'queen')) AS t(text, street_1, street_2)")

@@ -15,9 +15,30 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 RADIUS = "6371008.8"
 MEAN = "(SELECT radians((min(lat) + max(lat)) / 2) FROM intersections)"
-#: The view that the culling queries look through, in metres.
-LEFT, BOTTOM, RIGHT, TOP = -6_423_000.0, 4_837_500.0, -6_420_500.0, 4_850_000.0
-VIEW = (LEFT, BOTTOM, RIGHT, TOP)
+#: What the camera query shows, in metres: left, bottom, right, top.
+CAMERA = (-6_423_000.0, 4_837_500.0, -6_420_500.0, 4_850_000.0)
+#: The view that the culling queries look through: these shares of the map's extent in degrees, from the lower left.
+VIEW_FROM, VIEW_TO = -0.05, 0.6
+LEFT, BOTTOM, RIGHT, TOP = "v_left", "v_bottom", "v_right", "v_top"
+_VIEW = f"""vb AS (SELECT {RADIUS} * radians(min(lon) + {VIEW_FROM} * (max(lon) - min(lon))) * cos(radians((min(lat) + max(lat)) / 2)) AS v_left,
+  {RADIUS} * radians(min(lon) + {VIEW_TO} * (max(lon) - min(lon))) * cos(radians((min(lat) + max(lat)) / 2)) AS v_right,
+  {RADIUS} * radians(min(lat) + {VIEW_FROM} * (max(lat) - min(lat))) AS v_bottom, {RADIUS} * radians(min(lat) + {VIEW_TO} * (max(lat) - min(lat))) AS v_top FROM intersections)"""
+
+
+def _sides() -> tuple[Column, ...]:
+    return tuple(F.col(f"view.{k}") for k in ("left", "bottom", "right", "top"))
+
+
+def _viewed(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    """Rows with the view in metres."""
+    b = network.bounds(view(spark, d, "intersections"))
+
+    def at(axis: str, share: float) -> Column:
+        return F.col(f"min_{axis}") + share * (F.col(f"max_{axis}") - F.col(f"min_{axis}"))
+
+    x = [geo.lon_to_x(at("lon", k), F.col("mean_lat")) for k in (VIEW_FROM, VIEW_TO)]
+    y = [geo.lat_to_y(at("lat", k)) for k in (VIEW_FROM, VIEW_TO)]
+    return df.join(F.broadcast(b.select(F.struct(x[0].alias("left"), y[0].alias("bottom"), x[1].alias("right"), y[1].alias("top")).alias("view"))))  # one row
 
 
 def _r(c: Column | str, n: int = 6) -> Column:
@@ -157,12 +178,12 @@ def road_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WAY_USE = """CASE WHEN tracks IS NOT NULL THEN 'tracks' WHEN railway IN ('tram', 'rail', 'monorail', 'subway') THEN railway WHEN railway IS NOT NULL THEN 'other'
-  WHEN embedded_rails IS NOT NULL THEN 'tram' ELSE 'notrail' END"""
+  WHEN embedded_rails IS NOT NULL OR embedded_lanes IS NOT NULL THEN 'tram' ELSE 'notrail' END"""
 
 
 def _way_kinds(spark: SparkSession, d: str) -> DataFrame:
     k = view(spark, d, "way_kinds")
-    entries = F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).alias("v")) for c in ("railway", "tracks", "embedded_rails")))
+    entries = F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in {"railway": "railway", "tracks": "tracks", "embedded_rails": "embedded_rails", "embedded_rails:lanes": "embedded_lanes"}.items()))
     return k.select("way_osm_id", F.map_from_entries(F.filter(entries, lambda e: e.v.isNotNull())).alias("tags"))
 
 
@@ -282,11 +303,11 @@ def screen_world(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(f"""WITH p AS (SELECT poi_id, {RADIUS} * radians(lon) * cos({MEAN}) AS x, {RADIUS} * radians(lat) AS y FROM pois),
-k AS (SELECT least(800 / ({RIGHT} - ({LEFT})), 600 / ({TOP} - {BOTTOM})) AS s)
-SELECT poi_id, round(greatest(-10000.0, least(10000.0, (x - ({LEFT})) * s + (800 - ({RIGHT} - ({LEFT})) * s) / 2)), 4) AS sx,
-  round(greatest(-10000.0, least(10000.0, ({TOP} - y) * s + (600 - ({TOP} - {BOTTOM}) * s) / 2)), 4) AS sy FROM p CROSS JOIN k""")
+k AS (SELECT least(800 / ({CAMERA[2]} - ({CAMERA[0]})), 600 / ({CAMERA[3]} - {CAMERA[1]})) AS s)
+SELECT poi_id, round(greatest(-10000.0, least(10000.0, (x - ({CAMERA[0]})) * s + (800 - ({CAMERA[2]} - ({CAMERA[0]})) * s) / 2)), 4) AS sx,
+  round(greatest(-10000.0, least(10000.0, ({CAMERA[3]} - y) * s + (600 - ({CAMERA[3]} - {CAMERA[1]}) * s) / 2)), 4) AS sy FROM p CROSS JOIN k""")
 def camera(spark: SparkSession, d: str) -> DataFrame:
-    p = network.projected(view(spark, d, "pois"), view(spark, d, "intersections")).withColumn("s", geo.camera_point(F.col("x"), F.col("y"), VIEW, (800.0, 600.0)))
+    p = network.projected(view(spark, d, "pois"), view(spark, d, "intersections")).withColumn("s", geo.camera_point(F.col("x"), F.col("y"), CAMERA, (800.0, 600.0)))
     return p.select("poi_id", _r("s.x", 4).alias("sx"), _r("s.y", 4).alias("sy"))
 
 
@@ -310,19 +331,26 @@ def visible_fit(spark: SparkSession, d: str) -> DataFrame:
     return f.select("feature_id", *(_r(f"f.{k}", 9).alias(k) for k in ("left", "bottom", "right", "top")))
 
 
-@R.add()
+@R.add(f"""WITH p AS (SELECT s.street_id, s.segment_id, round(abs({RADIUS} * radians(a.lon) * cos({MEAN}) - {RADIUS} * radians(b.lon) * cos({MEAN})), 3) AS w, round(abs({RADIUS} * radians(a.lat) - {RADIUS} * radians(b.lat)), 3) AS h
+  FROM segments s JOIN intersections a ON a.intersection_id = s.from_id JOIN intersections b ON b.intersection_id = s.to_id),
+l AS (SELECT street_id, list({{'w': w, 'h': h, 'level': 0}} ORDER BY segment_id) AS boxes FROM p GROUP BY 1)
+SELECT street_id, list_reduce(boxes, lambda s, b: CASE WHEN s.w = 0 AND s.h = 0 THEN CASE WHEN b.w <> 0 AND b.h <> 0 THEN {{'w': b.w, 'h': b.h, 'level': s.level + 1}} ELSE s END
+  WHEN b.w <> s.w AND b.h <> s.h AND b.w * s.h <> 0 AND b.h * s.w <> 0 AND b.w / s.w - b.h / s.h > -0.01 THEN {{'w': b.w, 'h': b.h, 'level': CASE WHEN b.w > s.w AND b.h > s.h THEN s.level - 1 ELSE s.level + 1 END}}
+  ELSE s END, {{'w': CAST(0 AS DOUBLE), 'h': CAST(0 AS DOUBLE), 'level': 0}}).level AS level FROM l""")
 def zoom_level(spark: SparkSession, d: str) -> DataFrame:
-    """A zoom level folded over each street's successive boxes: smaller boxes zoom in, larger ones out."""
-    e = _projected_ends(spark, d).select("street_id", "segment_id", F.abs(F.col("x1") - F.col("x2")).alias("w"), F.abs(F.col("y1") - F.col("y2")).alias("h"))
+    """A zoom level folded over each street's successive boxes: boxes larger both ways zoom out, others in.
+
+    A box counts if it differs both ways from the last that did, and is not scaled less along x than along y by 0.01 or more.
+    """
+    e = _projected_ends(spark, d).select("street_id", "segment_id", _r(F.abs(F.col("x1") - F.col("x2")), 3).alias("w"), _r(F.abs(F.col("y1") - F.col("y2")), 3).alias("h"))
     boxes = e.groupBy("street_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "w", "h"))).alias("boxes"))
     start = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("h"), F.lit(0).alias("level"))
 
     def step(s: Column, b: Column) -> Column:
-        fx, fy = F.try_divide(b.w, s.w), F.try_divide(b.h, s.h)
+        fx, fy = F.coalesce(F.try_divide(b.w, s.w), F.lit(0.0)), F.coalesce(F.try_divide(b.h, s.h), F.lit(0.0))
         first = (s.w == 0) & (s.h == 0)
-        alike = first | (F.coalesce(F.abs(fx - fy) < 0.01, F.lit(False)) & (fx != 0) & (fy != 0))
-        moves = (b.w != s.w) & (b.h != s.h) & alike
-        level = F.when((b.w > s.w) & ~first, s.level - 1).otherwise(s.level + 1)
+        moves = (b.w != s.w) & (b.h != s.h) & (fx - fy > -0.01) & (((fx != 0) & (fy != 0)) | first)
+        level = F.when((b.w > s.w) & (b.h > s.h) & ~first, s.level - 1).otherwise(s.level + 1)
         return F.when(moves, F.struct(b.w.alias("w"), b.h.alias("h"), level.alias("level"))).otherwise(s)
 
     return boxes.select("street_id", F.aggregate("boxes", start, step)["level"].alias("level"))
@@ -371,10 +399,10 @@ _POI_XY = f"p AS (SELECT poi_id, poi_type, poi_name, {RADIUS} * radians(lon) * c
 _INSIDE = f"x > {LEFT} AND x < {RIGHT} AND y > {BOTTOM} AND y < {TOP}"
 
 
-@R.add(f"WITH {_POI_XY} SELECT poi_id FROM p WHERE {_INSIDE}")
+@R.add(f"WITH {_VIEW}, {_POI_XY} SELECT poi_id FROM p, vb WHERE {_INSIDE}")
 def viewport_points(spark: SparkSession, d: str) -> DataFrame:
-    p = network.projected(view(spark, d, "pois"), view(spark, d, "intersections"))
-    return p.where(geo.strictly_inside(F.col("x"), F.col("y"), VIEW)).select("poi_id")
+    p = _viewed(spark, d, network.projected(view(spark, d, "pois"), view(spark, d, "intersections")))
+    return p.where(geo.strictly_inside(F.col("x"), F.col("y"), _sides())).select("poi_id")
 
 
 _FBOX = f"f AS (SELECT feature_id, {RADIUS} * radians(min(lon)) * cos({MEAN}) AS x1, {RADIUS} * radians(max(lon)) * cos({MEAN}) AS x2, {RADIUS} * radians(min(lat)) AS y1, {RADIUS} * radians(max(lat)) AS y2 FROM feature_points GROUP BY 1)"
@@ -388,31 +416,31 @@ def _feature_boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select("feature_id", x[0].alias("x1"), x[1].alias("x2"), y[0].alias("y1"), y[1].alias("y2"))
 
 
-def _seen(df: DataFrame) -> DataFrame:
-    return df.where(geo.boxes_overlap(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), VIEW))
+def _seen(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    return _viewed(spark, d, df).where(geo.boxes_overlap(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), _sides()))
 
 
-@R.add(f"WITH {_FBOX} SELECT feature_id FROM f WHERE {_OVERLAP}")
+@R.add(f"WITH {_VIEW}, {_FBOX} SELECT feature_id FROM f, vb WHERE {_OVERLAP}")
 def viewport_rects(spark: SparkSession, d: str) -> DataFrame:
-    return _seen(_feature_boxes(spark, d)).select("feature_id")
+    return _seen(spark, d, _feature_boxes(spark, d)).select("feature_id")
 
 
-@R.add(f"WITH {_FBOX} SELECT f.feature_id FROM f JOIN features USING (feature_id) WHERE {_OVERLAP} AND 3 > {_case(_FTYPE, {k: v[2] for k, v in tags.FEATURE_STYLES.items()}, 'NULL')}")
+@R.add(f"WITH {_VIEW}, {_FBOX} SELECT f.feature_id FROM f JOIN features USING (feature_id) CROSS JOIN vb WHERE {_OVERLAP} AND 3 > {_case(_FTYPE, {k: v[2] for k, v in tags.FEATURE_STYLES.items()}, 'NULL')}")
 def cull_features(spark: SparkSession, d: str) -> DataFrame:
     lod = F.try_element_at(tags.literal_map({k: v[2] for k, v in tags.FEATURE_STYLES.items()}), tags.feature_type(F.col("feature_type_code")))
-    return _seen(_feature_boxes(spark, d)).join(view(spark, d, "features").where(F.lit(3) > lod), "feature_id").select("feature_id")
+    return _seen(spark, d, _feature_boxes(spark, d)).join(view(spark, d, "features").where(F.lit(3) > lod), "feature_id").select("feature_id")
 
 
-@R.add(f"""WITH s AS (SELECT s.segment_id, w.highway, least(a.x, b.x) AS x1, greatest(a.x, b.x) AS x2, least(a.y, b.y) AS y1, greatest(a.y, b.y) AS y2 FROM segments s
+@R.add(f"""WITH {_VIEW}, s AS (SELECT s.segment_id, w.highway, least(a.x, b.x) AS x1, greatest(a.x, b.x) AS x2, least(a.y, b.y) AS y1, greatest(a.y, b.y) AS y2 FROM segments s
   JOIN (SELECT intersection_id, {RADIUS} * radians(lon) * cos({MEAN}) AS x, {RADIUS} * radians(lat) AS y FROM intersections) a ON a.intersection_id = s.from_id
   JOIN (SELECT intersection_id, {RADIUS} * radians(lon) * cos({MEAN}) AS x, {RADIUS} * radians(lat) AS y FROM intersections) b ON b.intersection_id = s.to_id LEFT JOIN way_tags w USING (way_osm_id)),
-r AS (SELECT segment_id, unnest({_WIDTH_SQL}) AS z FROM s WHERE {_OVERLAP})
+r AS (SELECT segment_id, unnest({_WIDTH_SQL}) AS z FROM s, vb WHERE {_OVERLAP})
 SELECT segment_id, max_by(z[2], z[1]) AS width FROM r WHERE 8.5 > z[1] GROUP BY 1""")
 def cull_streets(spark: SparkSession, d: str) -> DataFrame:
     e = _projected_ends(spark, d).join(view(spark, d, "way_tags"), "way_osm_id", "left")
     box = e.select("segment_id", "highway", F.least("x1", "x2").alias("x1"), F.greatest("x1", "x2").alias("x2"), F.least("y1", "y2").alias("y1"), F.greatest("y1", "y2").alias("y2"))
     rules = F.filter(_widths(F.coalesce("highway", F.lit("other"))), lambda z: z[0] < 8.5)
-    return _seen(box).withColumn("rules", F.array_sort(rules)).where(F.size("rules") > 0).select("segment_id", F.element_at("rules", -1)[1].alias("width"))
+    return _seen(spark, d, box).withColumn("rules", F.array_sort(rules)).where(F.size("rules") > 0).select("segment_id", F.element_at("rules", -1)[1].alias("width"))
 
 
 @R.add(f"WITH n AS (SELECT way_osm_id, count(*) AS n FROM way_refs GROUP BY 1) SELECT way_osm_id, {_WAY_USE} AS way_use FROM way_kinds JOIN n USING (way_osm_id) WHERE n >= 2 AND {_WAY_USE} <> 'notrail'")
@@ -427,20 +455,20 @@ def _ranked_pois(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumns({"rank": F.row_number().over(w.orderBy("poi_id")), "n": F.count(F.lit(1)).over(w)})
 
 
-@R.add(f"""WITH {_POI_XY}, r AS (SELECT *, {_CLASS} AS poi_class, row_number() OVER (PARTITION BY poi_type ORDER BY poi_id) AS rank, count(*) OVER (PARTITION BY poi_type) AS n FROM p)
+@R.add(f"""WITH {_VIEW}, {_POI_XY}, r AS (SELECT *, {_CLASS} AS poi_class, row_number() OVER (PARTITION BY poi_type ORDER BY poi_id) AS rank, count(*) OVER (PARTITION BY poi_type) AS n FROM p)
 SELECT poi_id, poi_class, CASE WHEN poi_class = 'entertainment' THEN CASE WHEN greatest(list_position([{_in(tags.ENTERTAINMENT)}], poi_type) - 1, 0) <= 10 THEN 'FOOD' ELSE 'ENTERTAINMENT' END ELSE upper(poi_class) END AS icon
-FROM r WHERE {_INSIDE} AND poi_class IN ('basic', 'entertainment', 'subordinate') AND rank <= ceil(n * 0.058 * 12)""")
+FROM r, vb WHERE {_INSIDE} AND poi_class IN ('basic', 'entertainment', 'subordinate') AND rank <= ceil(n * 0.058 * 12)""")
 def poi_layers(spark: SparkSession, d: str) -> DataFrame:
     """Icons at zoom 12: the first share of each type of the layers shown, inside the view."""
-    r = _ranked_pois(spark, d).where(geo.strictly_inside(F.col("x"), F.col("y"), VIEW) & F.col("poi_class").isin("basic", "entertainment", "subordinate"))
+    r = _viewed(spark, d, _ranked_pois(spark, d)).where(geo.strictly_inside(F.col("x"), F.col("y"), _sides()) & F.col("poi_class").isin("basic", "entertainment", "subordinate"))
     icon = F.when(F.col("poi_class") == "entertainment", F.when(tags.type_code(F.col("poi_type"), tags.ENTERTAINMENT) <= 10, "FOOD").otherwise("ENTERTAINMENT")).otherwise(F.upper("poi_class"))
     return r.where(F.col("rank") <= F.ceil(F.col("n") * (0.058 * 12))).select("poi_id", "poi_class", icon.alias("icon"))
 
 
-@R.add(f"""WITH {_POI_XY}, r AS (SELECT *, {_CLASS} AS poi_class, row_number() OVER (PARTITION BY poi_type ORDER BY poi_id) AS rank, count(*) OVER (PARTITION BY poi_type) AS n FROM p)
-SELECT poi_id, poi_name, round(x, 3) AS x, round(y + 3, 3) AS label_y FROM r WHERE x > {LEFT} AND x < {RIGHT} AND y + 3 > {BOTTOM} AND y + 3 < {TOP} AND (poi_class = 'negligible' OR rank <= ceil(n * 0.3))""")
+@R.add(f"""WITH {_VIEW}, {_POI_XY}, r AS (SELECT *, {_CLASS} AS poi_class, row_number() OVER (PARTITION BY poi_type ORDER BY poi_id) AS rank, count(*) OVER (PARTITION BY poi_type) AS n FROM p)
+SELECT poi_id, poi_name, round(x, 3) AS x, round(y + 3, 3) AS label_y FROM r, vb WHERE x > {LEFT} AND x < {RIGHT} AND y + 3 > {BOTTOM} AND y + 3 < {TOP} AND (poi_class = 'negligible' OR rank <= ceil(n * 0.3))""")
 def poi_labels(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranked_pois(spark, d).withColumn("label_y", F.col("y") + 3).where(geo.strictly_inside(F.col("x"), F.col("label_y"), VIEW))
+    r = _viewed(spark, d, _ranked_pois(spark, d)).withColumn("label_y", F.col("y") + 3).where(geo.strictly_inside(F.col("x"), F.col("label_y"), _sides()))
     return r.where((F.col("poi_class") == "negligible") | (F.col("rank") <= F.ceil(F.col("n") * 0.3))).select("poi_id", "poi_name", _r("x", 3).alias("x"), _r("label_y", 3).alias("label_y"))
 
 

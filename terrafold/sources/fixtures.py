@@ -53,7 +53,8 @@ FROM customer CROSS JOIN (SELECT 'name' AS k UNION ALL SELECT 'amenity' UNION AL
 WHERE (k.k = 'name' AND c_custkey % 7 <> 0) OR (k.k = 'amenity' AND c_custkey % 5 = 0) OR (k.k = 'shop' AND c_custkey % 6 = 1) OR (k.k = 'tourism' AND c_custkey % 4 = 2)
   OR (k.k = 'railway' AND c_custkey % 9 = 3) OR (k.k = 'highway' AND c_custkey % 8 = 4) OR (k.k = 'aeroway' AND c_custkey % 10 = 7) OR (k.k = 'station' AND c_custkey % 50 = 9)""",
     "way_kinds": """SELECT 5000000000 + p_partkey AS way_osm_id, CASE p_partkey % 6 WHEN 0 THEN 'tram' WHEN 1 THEN 'rail' WHEN 2 THEN 'monorail' WHEN 3 THEN 'light_rail' ELSE NULL END AS railway,
-  CASE WHEN p_partkey % 15 = 7 THEN '2' ELSE NULL END AS tracks, CASE WHEN p_partkey % 11 = 4 THEN 'yes' ELSE NULL END AS embedded_rails FROM part""",
+  CASE WHEN p_partkey % 15 = 7 THEN '2' ELSE NULL END AS tracks, CASE WHEN p_partkey % 11 = 4 THEN 'yes' ELSE NULL END AS embedded_rails,
+  CASE WHEN p_partkey % 13 = 6 THEN 'left' ELSE NULL END AS embedded_lanes FROM part""",
     "relation_members": """SELECT 3000000000 + s.s_suppkey AS relation_id, k.idx, CASE WHEN k.idx = 2 THEN 'node' ELSE 'way' END AS member_type, 5000000000 + s.s_suppkey * 2 + k.idx AS ref,
   CASE WHEN k.idx = 3 THEN 'platform' ELSE '' END AS role FROM supplier s CROSS JOIN (SELECT 0 AS idx UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k""",
     "relation_tags": """SELECT 3000000000 + s_suppkey AS relation_id, CASE WHEN s_suppkey % 3 = 0 THEN 'subway' ELSE 'bus' END AS route,

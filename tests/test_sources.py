@@ -104,7 +104,9 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     batch = pings.cell_counts(spark.read.parquet(str(tmp_path / "in")))
-    assert sorted(map(tuple, spark.table("cells").collect())) == sorted(map(tuple, batch.collect()))
+    exact = {tuple(r)[:4]: r.n_users for r in batch.collect()}
+    about = {tuple(r)[:4]: r.n_users_about for r in spark.table("cells").collect()}
+    assert exact.keys() == about.keys() and all(abs(exact[k] - about[k]) <= 1 for k in exact)
 
 
 @pytest.mark.parametrize("again", [False, True])
@@ -116,4 +118,7 @@ def test_counts_kept_by_a_stream(spark, tmp_path, again):
         counts.apply(df, k)
         if again:
             counts.apply(df, k)
+            counts = pings.OrphanCounts(str(tmp_path / f"state{again}"))  # as after a restart
+            counts.apply(df, k)
+    assert counts.batches(spark) == [1, 2]
     assert sorted(map(tuple, counts.state(spark).collect())) == [(1, 2, 0), (2, 1, 0)]
