@@ -50,7 +50,7 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     """Maximal common runs between different texts, one record standing for all with the same text."""
     docs = table(spark, d, "documents")
     classes = spans.text_classes(docs)
-    runs = spans.shared_runs(spans._unique_texts(docs, classes, "doc_id", "text"))
+    runs = spans.shared_runs(spans.unique_texts(docs, classes))
     return runs.select("doc_a", "doc_b", F.col("start_a"), F.col("start_b"), "length")
 
 
@@ -62,6 +62,12 @@ g AS (SELECT doc_id, n, i, substring(text, i + 1, 80) AS gram FROM (SELECT doc_i
 """
 ORACLES: dict[str, str] = {
     "p8_found": _GRAMS + "SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id",
+    "p8_passages": _GRAMS
+    + """, u AS (SELECT text, min(doc_id) AS doc_id FROM t GROUP BY 1),
+w AS (SELECT g.doc_id, g.n, g.i, g.gram, u.text FROM g JOIN u USING (doc_id)),
+s AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.i AS start_a, b.i AS start_b, substring(a.text, a.i + 1) AS x, substring(b.text, b.i + 1) AS y
+  FROM w a JOIN w b ON a.gram = b.gram AND a.doc_id < b.doc_id WHERE a.i = 0 OR b.i = 0 OR substring(a.text, a.i, 1) <> substring(b.text, b.i, 1))
+SELECT doc_a, doc_b, start_a, start_b, coalesce(list_min(list_filter(range(80, least(length(x), length(y))), lambda k: substring(x, k + 1, 1) <> substring(y, k + 1, 1))), least(length(x), length(y))) AS length FROM s""",
     "p8_share": _GRAMS
     + """, s AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) > 1),
 h AS (SELECT DISTINCT g.doc_id, g.i FROM g JOIN s USING (gram)),

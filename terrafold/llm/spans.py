@@ -1,9 +1,12 @@
 """Long exact spans shared between records, by content-defined chunking with a gear rolling hash.
 
-The gear hash h = 2h + G(character) modulo 2^64 depends on the last 64 characters only. A text is cut where h is the
-least within a window of L - 63 positions, so that cuts follow the content, resist shifts, and every run of L characters
-holds a cut whose 64 characters lie within the run: two records that share such a run share a chunk end with an equal
-digest. Digests that occur once are dropped, the others joined, and each common run verified on the texts themselves.
+The gear hash h = 2^8 h + G(character) modulo 2^64 depends on the last 8 characters only. Cuts are the places where it is
+least within a window, so they follow the content and resist shifts from insertions. A chunk goes from a cut of wide
+windows to the first cut of narrow windows at least a set way on; its length varies with the content. The widths are
+such that every run of min_span characters holds a whole chunk, and that whatever lies in the run decides that chunk.
+Chunks are deduplicated by digest: those of one text only are dropped, and only texts that share a chunk with another
+are looked at window by window about it. Windows of min_span characters, named by 128 bits, that several texts hold give
+the shared spans; those where the character before differs are where a common run of two texts begins.
 """
 
 from __future__ import annotations
@@ -12,14 +15,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters that the gear hash covers.
-GEAR = 64
-#: Least length of a shared span, in code points.
-MIN_SPAN = 80
-#: A group of rows with one key is joined with itself in blocks of about so many.
+from terrafold.session import stored
+
+#: Characters that the gear hash covers, and bits that it moves on for each.
+GEAR, SHIFT = 8, 8
+#: Widths of the windows of cuts that begin a chunk, and that end one.
+WIDE, NARROW = 24, 4
+#: Least length of a shared span, in code points; and the least that may be asked for.
+MIN_SPAN, LEAST_SPAN = 80, 48
+#: Members of a group with one key are joined in blocks of about so many.
 BLOCK = 2_000
 
 
@@ -36,7 +43,7 @@ def gear_hashes(points: np.ndarray) -> np.ndarray:
     span = 1
     while span < GEAR:
         older = np.zeros_like(h)
-        older[span:] = h[:-span] << np.uint64(span)
+        older[span:] = h[:-span] << np.uint64(span * SHIFT)
         h = h + older
         span *= 2
     return _mix(h)
@@ -54,240 +61,222 @@ def _sliding(x: np.ndarray, n: int, least: bool) -> np.ndarray:
     return out
 
 
-def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gear hash, index of text, position in it, length of each text) of all characters of the texts."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    text = np.repeat(np.arange(len(texts)), lengths)
-    return gear_hashes(points), text, np.arange(len(points)) - (np.cumsum(lengths) - lengths)[text], lengths
-
+class Texts:
+    """Several texts laid end to end: their code points, the text and the place in it of each, and running digests."""
+
+    #: Odd bases of the digests.
+    BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+    def __init__(self, texts: list[str]):
+        self.points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.text = np.repeat(np.arange(len(texts)), self.lengths)
+        self.local = np.arange(len(self.points)) - (np.cumsum(self.lengths) - self.lengths)[self.text]
+        self._sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def cuts(self, h: np.ndarray, width: int) -> np.ndarray:
+        """Places where the hash is the least of some window of ``width`` hashes that lies within its text."""
+        begins = (self.local >= GEAR - 1) & (self.local + width <= self.lengths[self.text])  # where a whole window begins
+        least = np.where(begins, _sliding(h, width, True), np.uint64(0))
+        return np.flatnonzero((h == _sliding(least, width, False)) & (self.local >= GEAR - 1))
+
+    def chunks(self, min_span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of all chunks, in the joined texts; the end is not in it."""
+        h = gear_hashes(self.points)
+        # a run's first wide window has its cut at most GEAR + WIDE - 2 on, and so far again, and two narrow windows on, it must not be over
+        onward = min_span - GEAR - WIDE - 2 * NARROW + 3
+        first, last = self.cuts(h, WIDE), self.cuts(h, NARROW)
+        at = np.searchsorted(last, first + onward)
+        first, last = first[at < len(last)], last[at[at < len(last)]]
+        whole = self.text[first] == self.text[last]
+        return first[whole] - (GEAR - 1), last[whole] + 1
+
+    def digest(self, starts: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+        """The k-th polynomial digest modulo 2^64 of the characters of each range, from differences of running sums."""
+        if k not in self._sums:
+            base = self.BASES[k]
+            power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(self.points), np.uint64(b))]) for b in (base, pow(base, -1, 1 << 64)))
+            value = _mix(self.points.astype(np.uint64) + np.uint64(k << 32))
+            self._sums[k] = np.r_[np.uint64(0), np.cumsum(value * power[:-1], dtype=np.uint64)], back
+        sums, back = self._sums[k]
+        return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
-def _cuts(h: np.ndarray, text: np.ndarray, local: np.ndarray, lengths: np.ndarray, min_span: int) -> np.ndarray:
-    """Places where the hash is the least of some window of min_span - GEAR + 1 hashes that lies within its text."""
-    width = min_span - GEAR + 1
-    begins = (local >= GEAR - 1) & (local + width <= lengths[text])  # positions where a whole window begins
-    least = np.where(begins, _sliding(h, width, True), np.uint64(0))
-    return np.flatnonzero((h == _sliding(least, width, False)) & (local >= GEAR - 1))
 
+def _pieces(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters together."""
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= most):
+            size += sizes[end]
+            end += 1
+        yield at, end
+        at = end
 
-def chunk_ends(texts: list[str], min_span: int = MIN_SPAN, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index of text, digest, position, digest before, distance to it) of every cut; repeats within a text once.
 
-    Cuts of a text whose surroundings, as far as they can decide on a shared run, are the same count once, unless ``every`` is asked for. Digests are
-    signed; where there is no cut before, the distance is 0. Texts shorter than min_span have no cuts.
-    """
-    h, text, local, lengths = _hashed(texts)
-    cut = _cuts(h, text, local, lengths, min_span)
-    width = min_span - GEAR + 1
-    t, p, d = text[cut], local[cut], h[cut]
-    reach = width - 1
-    before = np.where(p - reach >= GEAR - 1, h[np.maximum(cut - reach, 0)], _mix((p + (t << 40)).astype(np.uint64)))
-    after = np.where(p + reach < lengths[t], h[np.minimum(cut + reach, len(h) - 1)] if len(h) else h[cut], _mix((p + (t << 40)).astype(np.uint64) + np.uint64(1)))
-    same = np.r_[False, t[1:] == t[:-1]] if len(t) else np.zeros(0, bool)
-    previous, gap = np.where(same, np.r_[d[:1], d[:-1]], np.uint64(0)), np.where(same, p - np.r_[p[:1], p[:-1]], 0)
-    if every:
-        return t, d.view(np.int64), p, previous.view(np.int64), gap
-    order = np.lexsort((p, after, before, d, t))
-    first = np.ones(len(order), bool)
-    first[1:] = (np.diff(t[order]) != 0) | (np.diff(d[order]) != 0) | (np.diff(before[order]) != 0) | (np.diff(after[order]) != 0)
-    keep = order[first]
-    return t[keep], d[keep].view(np.int64), p[keep], previous[keep].view(np.int64), gap[keep]
-
-
-def chunk_digests(docs: DataFrame, min_span: int = MIN_SPAN, every: bool = False) -> DataFrame:
-    """(doc, digest, pos, prev, gap) of all cuts of docs (doc, text)."""
+def chunk_digests(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc, digest) of all chunks of docs (doc, text), each digest once for a text."""
+    if min_span < LEAST_SPAN:
+        raise ValueError(f"spans must be at least {LEAST_SPAN} long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
             for at, end in _pieces([len(t) for t in texts]):
-                t, d, p, prev, gap = chunk_ends(texts[at:end], min_span, every)
-                if len(t):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[at:end][t], d, p, prev, gap)], ["doc", "digest", "pos", "prev", "gap"])
-
-    long_enough = docs.where(F.length("text") >= min_span).select("doc", "text")
-    return long_enough.mapInArrow(run, "doc long, digest long, pos long, prev long, gap long")
-
+                t = Texts(texts[at:end])
+                start, stop = t.chunks(min_span)
+                pairs = np.unique(np.c_[t.text[start], t.digest(start, stop, 0)], axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][pairs[:, 0]]), pa.array(pairs[:, 1])], ["doc", "digest"])
 
-def self_pairs(rows: DataFrame, key: str, ident: str, keep: Column | None = None, block: int = BLOCK) -> DataFrame:
-    """Pairs (columns a_*, b_*) of rows that share ``key``, each unordered pair of different ``ident`` once.
-
-    Groups above ``block`` rows are cut into blocks by hash, and every pair of blocks is a join key of its own, so that
-    no task gets a whole group, however large.
-    """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.min(ident).alias("__lo"), F.max(ident).alias("__hi")).where("__lo < __hi")
-    sizes = sizes.select(key, F.ceil(F.col("__n") / block).cast("int").alias("__blocks"))
-    met = rows.join(sizes, key).withColumn("__own", F.pmod(F.xxhash64(ident), F.col("__blocks")).cast("int"))
-    left = met.withColumn("__j", F.explode(F.sequence(F.col("__own"), F.col("__blocks") - 1))).withColumnRenamed("__own", "__i")
-    right = met.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__own")))).withColumnRenamed("__own", "__j")
-    columns = [c for c in rows.columns if c != key]
-    left = left.select(key, "__i", "__j", *(F.col(c).alias(f"a_{c}") for c in columns))
-    right = right.select(key, "__i", "__j", *(F.col(c).alias(f"b_{c}") for c in columns))
-    ordered = (F.col(f"a_{ident}") < F.col(f"b_{ident}")) | ((F.col("__i") < F.col("__j")) & (F.col(f"a_{ident}") != F.col(f"b_{ident}")))
-    pairs = left.join(right, [key, "__i", "__j"]).where(ordered)
-    if keep is not None:
-        pairs = pairs.where(keep)
-    swap = F.col(f"a_{ident}") > F.col(f"b_{ident}")
-    return pairs.select(*(F.when(swap, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"a_{c}") for c in columns), *(F.when(swap, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"b_{c}") for c in columns))
+    return docs.where(F.length("text") >= min_span).select("doc", "text").mapInArrow(run, "doc long, digest long")
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc, rep): records with equal texts share the least id as representative; texts below min_span are left out.
+    """(doc, rep, copies): records with equal texts share the least id as representative; texts below min_span are left out.
 
     Equality is that of a SHA-256 digest, so only digests are shuffled.
     """
     some = docs.where(F.length(text) >= min_span).select(F.col(key).alias("doc"), F.unhex(F.sha2(text, 256)).alias("sha")).where("doc IS NOT NULL")
     reps = some.groupBy("sha").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # texts that stand alone are their own representatives and need no join back
     return some.join(reps, "sha").select("doc", "rep", "copies")
 
 
-def _common(a: str, b: str, i: int, j: int, forward: bool) -> int:
-    """How many characters agree from a[i], b[j] on, or before them."""
-    most = min(len(a) - i, len(b) - j) if forward else min(i, j)
-    low, step = 0, 16
-    while low < most:
-        n = min(step, most - low)
-        same = a[i + low : i + low + n] == b[j + low : j + low + n] if forward else a[i - low - n : i - low] == b[j - low - n : j - low]
-        if same:
-            low += n
-            step *= 2
-        elif n == 1:
-            return low
-        else:
-            step = max(1, n // 2)
-    return low
-
-
-def shared_runs(docs: DataFrame, min_span: int = MIN_SPAN, each_way: bool = True) -> DataFrame:
-    """(doc_a, doc_b, start_a, start_b, length) of maximal common runs of at least min_span, for docs (doc, text).
-
-    ``docs`` should hold each text once. A run is found at its first cut: pairs of cuts whose cuts before are equal too,
-    at the same distance, lie in a run that was already found. A digest only proposes; the texts decide. Runs between two
-    texts are given once for each way that they lie against each other; without ``each_way`` some of these may be missing,
-    but never all.
+def unique_texts(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, text) of the representatives alone."""
+    reps = classes.where("doc = rep").select("rep")
+    return docs.join(reps, docs[key] == reps.rep, "left_semi").select(F.col(key).alias("doc"), F.col(text).alias("text"))
+
+
+def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc, start, d1, d2, before, after): windows of min_span characters about chunks that other texts hold too.
+
+    ``docs`` (doc, text) should hold each text once. before and after are the neighbouring characters; at a text's end a
+    negative number that no other text has. All windows that two texts share are among the rows. A chunk that a third
+    of all texts hold costs its rows: digests are counted by partial aggregation, and no pairs are made.
     """
-    cuts = chunk_digests(docs, min_span, each_way)
-    first = ~((F.col("a_gap") == F.col("b_gap")) & (F.col("a_gap") > 0) & (F.col("a_prev") == F.col("b_prev")))
-    met = self_pairs(cuts, "digest", "doc", first).select("a_doc", "b_doc", "a_pos", "b_pos")
-    text = docs.select("doc", "text")
-    with_a = met.join(text.withColumnsRenamed({"doc": "a_doc", "text": "a_text"}), "a_doc")
-    with_b = with_a.join(text.withColumnsRenamed({"doc": "b_doc", "text": "b_text"}), "b_doc")
+    # a table is read by the count and by the join; making the chunks again would cost more
+    chunks = stored(chunk_digests(docs, min_span))
+    common = chunks.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest")
+    met = chunks.join(common, "digest").groupBy("doc").agg(F.collect_list("digest").alias("digests"))  # of one text, so bounded by it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc", "start", "d1", "d2", "before", "after"]
         for b in batches:
-            out: list[tuple[int, int, int, int, int]] = []
-            for da, db, pa_, pb, ta, tb in zip(*(b.column(c).to_pylist() for c in ("a_doc", "b_doc", "a_pos", "b_pos", "a_text", "b_text")), strict=True):
-                back, on = _common(ta, tb, pa_ + 1, pb + 1, False), _common(ta, tb, pa_ + 1, pb + 1, True)
-                if back >= 1 and back + on >= min_span:
-                    out.append((da, db, pa_ + 1 - back, pb + 1 - back, back + on))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_a", "doc_b", "start_a", "start_b", "length"])
+            ids, texts, wanted = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2)
+            for at, end in _pieces([len(t) for t in texts]):
+                t = Texts(texts[at:end])
+                first, last = t.chunks(min_span)
+                if not len(first):
+                    continue
+                found, bounds = t.digest(first, last, 0), np.searchsorted(t.text[first], np.arange(end - at + 1))
+                some = np.concatenate([np.isin(found[i:j], np.asarray(wanted[at + k].values)) for k, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False))])
+                first, last = first[some], last[some]
+                mark = np.zeros(len(t.points) + 1, np.int64)  # where windows that hold such a chunk may start
+                np.add.at(mark, np.maximum(last - min_span, 0), 1)
+                np.add.at(mark, first + 1, -1)
+                start = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (t.local + min_span <= t.lengths[t.text]))
+                if not len(start):
+                    continue
+                doc, local = ids[at:end][t.text[start]], t.local[start]
+                alone = -1 - doc
+                before = np.where(local > 0, t.points[np.maximum(start - 1, 0)].astype(np.int64), alone)
+                after = np.where(local + min_span < t.lengths[t.text[start]], t.points[np.minimum(start + min_span, len(t.points) - 1)].astype(np.int64), alone)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, local, *(t.digest(start, start + min_span, k) for k in (0, 1)), before, after)], names)
 
-    found = with_b.select("a_doc", "b_doc", "a_pos", "b_pos", "a_text", "b_text").mapInArrow(run, "doc_a long, doc_b long, start_a long, start_b long, length long")
-    return found.distinct()
+    return docs.join(met, "doc").select("doc", "text", "digests").mapInArrow(run, "doc long, start long, d1 long, d2 long, before long, after long")
 
 
-def _unique_texts(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
-    reps = classes.where("doc = rep").select("rep")
-    return docs.join(reps, docs[key] == reps.rep, "left_semi").select(F.col(key).alias("doc"), F.col(text).alias("text"))
+def _edges(windows: DataFrame, side: str) -> DataFrame:
+    """Rows (d1, d2, doc, start, edge) of windows at which runs of two texts begin (side before) or end (after): where that neighbour is not the same in all."""
+    some = windows.groupBy("d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(side).alias("a"), F.max(side).alias("b")).where("lo < hi AND a < b")
+    return windows.select("d1", "d2", "doc", "start", F.col(side).alias("edge")).join(some.select("d1", "d2"), ["d1", "d2"])
 
 
-def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
-    """(doc_a, doc_b), doc_a < doc_b: all pairs of records whose texts share a run of at least min_span code points.
+def _edge_pairs(edges: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """Pairs (a_*, b_*) of rows with the same window and different neighbours.
 
-    Runs are sought between different texts only; the result then names every pair of records with these texts, and
-    every pair of records with the same text. Keys must be unique; null texts and texts below min_span give no rows.
+    Rows are grouped by window and neighbour, groups are paired, and only then joined with their rows, so nothing is made
+    that is not a pair; groups above ``block`` rows are met in parts, each a join key of its own.
     """
-    classes = text_classes(docs, key, text, min_span)
-    runs = shared_runs(_unique_texts(docs, classes, key, text), min_span, each_way=False).select("doc_a", "doc_b").distinct()
-    members = classes.select("rep", "doc")
-    a = runs.join(members.withColumnsRenamed({"rep": "doc_a", "doc": "one"}), "doc_a")
-    between = a.join(members.withColumnsRenamed({"rep": "doc_b", "doc": "other"}), "doc_b").select(F.least("one", "other").alias("doc_a"), F.greatest("one", "other").alias("doc_b"))
-    within = self_pairs(classes.where("copies > 1").select("rep", "doc"), "rep", "doc").select(F.col("a_doc").alias("doc_a"), F.col("b_doc").alias("doc_b"))
-    return between.unionAll(within)
-
+    key = ["d1", "d2"]
+    sizes = edges.groupBy(*key, "edge").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    one, other = (sizes.withColumnsRenamed({"edge": f"{x}_edge", "parts": f"{x}_parts"}) for x in "ab")
+    groups = one.join(other, key).where("a_edge < b_edge")
 
-#: Odd bases of the window digests, and their inverses modulo 2^64.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+    def side(own: str, far: str) -> DataFrame:
+        rows = groups.join(edges.withColumnRenamed("edge", f"{own}_edge"), [*key, f"{own}_edge"])
+        rows = rows.withColumn(f"{own}_part", F.pmod(F.xxhash64("doc", "start"), F.col(f"{own}_parts")).cast("int"))
+        rows = rows.withColumn(f"{far}_part", F.explode(F.sequence(F.lit(0), F.col(f"{far}_parts") - 1)))
+        return rows.select(*key, "a_edge", "b_edge", "a_part", "b_part", *(F.col(c).alias(f"{own}_{c}") for c in columns))
 
+    pairs = side("a", "b").join(side("b", "a"), [*key, "a_edge", "b_edge", "a_part", "b_part"]).where("a_doc <> b_doc")
+    swap = F.col("a_doc") > F.col("b_doc")
+    return pairs.select(*(F.when(swap, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}")).alias(f"{a}_{c}") for a, b in ("ab", "ba") for c in columns))
 
-def window_digests(texts: list[str], starts: np.ndarray, span: int) -> tuple[np.ndarray, ...]:
-    """Two polynomial digests modulo 2^64 of the ``span`` characters from each start (positions in the joined texts).
 
-    The gear hash forgets its oldest characters bit by bit, so equality of whole windows needs digests of its own:
-    differences of running sums of character values times powers of the base, shifted back to a common power.
-    """
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = []
-    for k, base in enumerate(BASES):
-        value = _mix(points + np.uint64(k << 32))
-        power, back = (np.cumprod(np.r_[np.uint64(1), np.full(len(points), np.uint64(b))]) for b in (base, pow(base, -1, 1 << 64)))
-        sums = np.r_[np.uint64(0), np.cumsum(value * power[:-1], dtype=np.uint64)]
-        out.append(((sums[starts + span] - sums[starts]) * back[starts]).view(np.int64))
-    return tuple(out)
+def shared_links(docs: DataFrame, min_span: int = MIN_SPAN, block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: different texts of docs (doc, text; each text once) that share a run of at least min_span."""
+    edges = stored(_edges(stored(shared_windows(docs, min_span)), "before"))
+    return _edge_pairs(edges.select("d1", "d2", "doc", "edge", "start"), ["doc"], block).select(F.col("a_doc").alias("doc_a"), F.col("b_doc").alias("doc_b")).distinct()
 
 
-def _pieces(sizes: list[int], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters together."""
-    at = 0
-    while at < len(sizes):
-        end, size = at, 0
-        while end < len(sizes) and (end == at or size + sizes[end] <= most):
-            size += sizes[end]
-            end += 1
-        yield at, end
-        at = end
+def shared_runs(docs: DataFrame, min_span: int = MIN_SPAN, block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b, start_a, start_b, length) of maximal common runs of at least min_span, for docs (doc, text; each text once).
 
-
-def _windows(docs: DataFrame, met: DataFrame | None, min_span: int) -> DataFrame:
-    """Without ``met``: (doc, digest) of all cuts, each once. With it (doc, digests that others have): (doc, start, d1, d2) of the windows about such cuts.
-
-    A window of min_span characters is named by two digests, 128 bits.
+    Runs between two texts are given once for each way that they lie against each other. Where two texts lie against
+    each other one way, beginnings and ends of runs take turns, so each beginning goes with the end of the same rank.
     """
+    windows = stored(shared_windows(docs, min_span))
+    ends = {}
+    for side in ("before", "after"):
+        p = _edge_pairs(stored(_edges(windows, side)), ["doc", "start"], block)
+        order = Window.partitionBy("a_doc", "b_doc", "shift").orderBy("a_start")
+        p = p.select("a_doc", "b_doc", "a_start", (F.col("b_start") - F.col("a_start")).alias("shift"))
+        ends[side] = p.withColumn("rank", F.row_number().over(order))
+    last = ends["after"].withColumnRenamed("a_start", "a_last")
+    met = ends["before"].join(last, ["a_doc", "b_doc", "shift", "rank"])
+    return met.select(F.col("a_doc").alias("doc_a"), F.col("b_doc").alias("doc_b"), F.col("a_start").alias("start_a"), (F.col("a_start") + F.col("shift")).alias("start_b"), (F.col("a_last") - F.col("a_start") + min_span).alias("length"))
+
+
+def class_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: every pair of records with the same text, in blocks that are join keys of their own."""
+    some = classes.where("copies > 1").withColumn("parts", F.ceil(F.col("copies") / block).cast("int"))
+    some = some.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    a = some.select("rep", F.col("doc").alias("x"), F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("j"))
+    b = some.select("rep", F.col("doc").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    met = a.join(b, ["rep", "i", "j"]).where("x < y OR (i < j AND x <> y)")
+    return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+
+
+def expanded(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b, of all records from links between representatives and the classes of records."""
+    members = classes.select("rep", "doc")
+    a = links.join(members.withColumnsRenamed({"rep": "doc_a", "doc": "one"}), "doc_a")
+    between = a.join(members.withColumnsRenamed({"rep": "doc_b", "doc": "other"}), "doc_b").select(F.least("one", "other").alias("doc_a"), F.greatest("one", "other").alias("doc_b"))
+    return between.unionAll(class_pairs(classes))
 
-    again = met is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
-            wanted = b.column(2).to_pylist() if again else None
-            for at, end in _pieces([len(t) for t in texts]):
-                h, text, local, lengths = _hashed(texts[at:end])
-                cut = _cuts(h, text, local, lengths, min_span)
-                if wanted is None:
-                    pairs = np.unique(np.c_[text[cut], h[cut].view(np.int64)], axis=0)
-                    if len(pairs):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][pairs[:, 0]]), pa.array(pairs[:, 1])], ["doc", "digest"])
-                    continue
-                known = [np.isin(h[cut[text[cut] == k]].view(np.int64), np.array(w, np.int64)) for k, w in enumerate(wanted[at:end])]
-                some = cut[np.concatenate(known)] if len(cut) else cut
-                mark = np.zeros(len(h) + 1, np.int64)  # where windows with such a cut may start
-                np.add.at(mark, np.maximum(some - (min_span - 1), 0), 1)
-                np.add.at(mark, some - (GEAR - 1) + 1, -1)
-                start = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & (local + min_span <= lengths[text]))
-                if len(start):
-                    d1, d2 = window_digests(texts[at:end], start, min_span)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at:end][text[start]]), pa.array(local[start]), pa.array(d1), pa.array(d2)], ["doc", "start", "d1", "d2"])
+def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
+    """(doc_a, doc_b), doc_a < doc_b: all pairs of records whose texts share a run of at least min_span code points.
 
-    if met is None:
-        return docs.select("doc", "text").mapInArrow(run, "doc long, digest long")
-    return docs.join(met, "doc").select("doc", "text", "digests").mapInArrow(run, "doc long, start long, d1 long, d2 long")
+    Runs are sought between different texts only (``text_classes``, ``shared_links``: representatives and membership,
+    which is the form to use where copies are many); only the result names every pair of records with these texts, and
+    every pair of records with the same text. Keys must be unique; null texts and texts below min_span give no rows.
+    """
+    classes = text_classes(docs, key, text, min_span)
+    return expanded(shared_links(unique_texts(docs, classes, key, text), min_span), classes)
 
 
 def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", min_span: int = MIN_SPAN) -> DataFrame:
     """(doc_id, n_chars, shared_chars, shared_share): how much of each text stands in another record, for every record.
 
-    Only texts that share a chunk digest with another are looked at again, window by window about that chunk; no pairs
-    are made, so a passage that a third of all records hold costs no more than its rows. Copies of a text count wholly
-    as shared. Null and empty texts have 0 characters and share 0.
+    Windows that several texts hold are laid over each text; no pairs are made, so a passage that a third of all records
+    hold costs no more than its rows. Copies of a text count wholly as shared. Null and empty texts have 0 characters
+    and share 0.
     """
     classes = text_classes(docs, key, text, min_span)
-    unique = _unique_texts(docs, classes, key, text)
-    cuts = _windows(unique, None, min_span)
-    common = cuts.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("digest")
-    met = cuts.join(common, "digest").groupBy("doc").agg(F.collect_list("digest").alias("digests"))  # of one text, so bounded by it
-    windows = _windows(unique, met, min_span)
+    windows = stored(shared_windows(unique_texts(docs, classes, key, text), min_span).select("doc", "start", "d1", "d2"))
     held = windows.groupBy("d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("d1", "d2")
     starts = windows.join(held, ["d1", "d2"], "left_semi")
     after = F.lead("start").over(Window.partitionBy("doc").orderBy("start"))

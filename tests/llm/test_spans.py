@@ -88,18 +88,36 @@ def test_large_groups_go_through_blocks(spark):
     texts = ["".join(r.choice("ghijk") for _ in range(10)) + shared for _ in range(60)] + [shared] * 40
     df = frame(spark, texts)
     whole = sorted((x.doc_a, x.doc_b) for x in spans.shared_pairs(df).collect())
-    old, spans.BLOCK = spans.BLOCK, 7
-    try:
-        rows = spark.createDataFrame([(1, i) for i in range(100)], "k long, doc long")
-        pairs = [(x.a_doc, x.b_doc) for x in spans.self_pairs(rows, "k", "doc", block=7).collect()]
-    finally:
-        spans.BLOCK = old
     assert whole == naive_pairs(texts, 80)
-    assert sorted(pairs) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+    classes = spans.text_classes(df)
+    links = spans.shared_links(spans.unique_texts(df, classes), block=7)
+    assert links.count() == 61 * 60 // 2
+    assert sorted((x.doc_a, x.doc_b) for x in spans.class_pairs(classes, block=7).collect()) == [(a, b) for a in range(60, 100) for b in range(a + 1, 100)]
+
+
+def test_a_passage_in_many_texts_makes_no_pairs_for_shares(spark):
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdef") for _ in range(90))
+    texts = [f"{i:05d}" + passage + f"{i * 7:05d}" for i in range(3000)]
+    rows = spans.shared_share(frame(spark, texts)).collect()
+    assert len(rows) == 3000 and all(90 <= x.shared_chars <= 100 for x in rows)
+
+
+def test_every_run_holds_a_chunk():
+    r = random.Random(12)
+    for alphabet in ("ab", "abcdefgh ", "xyzäöü漢字"):
+        for n in (48, 66, 80, 120):
+            run = "".join(r.choice(alphabet) for _ in range(n))
+            found = []
+            for _ in range(3):
+                text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 90))) + run + "".join(r.choice(alphabet) for _ in range(r.randint(0, 90)))
+                t, at = spans.Texts([text]), text.index(run)
+                found.append({text[i:j] for i, j in zip(*t.chunks(n), strict=True) if at <= i and j <= at + n})
+            assert set.intersection(*found)
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text("ab", max_size=200), max_size=8), st.integers(66, 100))
+@given(st.lists(st.text("ab", max_size=200), max_size=8), st.integers(48, 100))
 def test_any_texts(spark, texts, n):
     df = frame(spark, texts)
     assert sorted((r.doc_a, r.doc_b) for r in spans.shared_pairs(df, min_span=n).collect()) == naive_pairs(texts, n)
