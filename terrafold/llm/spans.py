@@ -188,9 +188,9 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
 
 def _edges(windows: DataFrame, side: str) -> DataFrame:
-    """Rows (d1, d2, doc, start, edge) of windows at which runs of two texts begin (side before) or end (after): where that neighbour is not the same in all."""
+    """Rows (d1, d2, doc, edge; and start if there) of windows at which runs of two texts begin (side before) or end (after): where that neighbour is not the same in all."""
     some = windows.groupBy("d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(side).alias("a"), F.max(side).alias("b")).where("lo < hi AND a < b")
-    return windows.select("d1", "d2", "doc", "start", F.col(side).alias("edge")).join(some.select("d1", "d2"), ["d1", "d2"])
+    return windows.drop("before", "after").withColumn("edge", windows[side]).join(some.select("d1", "d2"), ["d1", "d2"])
 
 
 def _edge_pairs(edges: DataFrame, columns: list[str], block: int) -> DataFrame:
@@ -206,7 +206,7 @@ def _edge_pairs(edges: DataFrame, columns: list[str], block: int) -> DataFrame:
 
     def side(own: str, far: str) -> DataFrame:
         rows = groups.join(edges.withColumnRenamed("edge", f"{own}_edge"), [*key, f"{own}_edge"])
-        rows = rows.withColumn(f"{own}_part", F.pmod(F.xxhash64("doc", "start"), F.col(f"{own}_parts")).cast("int"))
+        rows = rows.withColumn(f"{own}_part", F.pmod(F.xxhash64("doc"), F.col(f"{own}_parts")).cast("int"))
         rows = rows.withColumn(f"{far}_part", F.explode(F.sequence(F.lit(0), F.col(f"{far}_parts") - 1)))
         return rows.select(*key, "a_edge", "b_edge", "a_part", "b_part", *(F.col(c).alias(f"{own}_{c}") for c in columns))
 
@@ -217,8 +217,9 @@ def _edge_pairs(edges: DataFrame, columns: list[str], block: int) -> DataFrame:
 
 def shared_links(docs: DataFrame, min_span: int = MIN_SPAN, block: int = BLOCK) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: different texts of docs (doc, text; each text once) that share a run of at least min_span."""
-    edges = stored(_edges(stored(shared_windows(docs, min_span)), "before"))
-    return _edge_pairs(edges.select("d1", "d2", "doc", "edge", "start"), ["doc"], block).select(F.col("a_doc").alias("doc_a"), F.col("b_doc").alias("doc_b")).distinct()
+    windows = stored(shared_windows(docs, min_span).select("doc", "d1", "d2", "before"))
+    edges = stored(_edges(windows, "before").distinct())  # few: runs begin at few of all windows
+    return _edge_pairs(edges, ["doc"], block).select(F.col("a_doc").alias("doc_a"), F.col("b_doc").alias("doc_b")).distinct()
 
 
 def shared_runs(docs: DataFrame, min_span: int = MIN_SPAN, block: int = BLOCK) -> DataFrame:
