@@ -190,7 +190,7 @@ def shared_windows(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 def _edges(windows: DataFrame, side: str) -> DataFrame:
     """Rows (d1, d2, doc, edge; and start if there) of windows at which runs of two texts begin (side before) or end (after): where that neighbour is not the same in all."""
     some = windows.groupBy("d1", "d2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(side).alias("a"), F.max(side).alias("b")).where("lo < hi AND a < b")
-    return windows.drop("before", "after").withColumn("edge", windows[side]).join(some.select("d1", "d2"), ["d1", "d2"])
+    return windows.withColumn("edge", F.col(side)).drop("before", "after").join(some.select("d1", "d2"), ["d1", "d2"])
 
 
 def _edge_pairs(edges: DataFrame, columns: list[str], block: int) -> DataFrame:
