@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.operators.sweep import sweep
-from terrafold.session import checkpointed
+from terrafold.session import checkpointed, stored
 
 EARTH_RADIUS_M = 6371008.8
 #: Height of the strips of the near join, in degrees (about 1.1 km); the distance must not exceed it.
 STRIP_DEG = 0.01
 #: A cell with more rows of one side than this is split into salted parts, one more for each multiple.
 CELL_ROWS = 200_000
-#: Cells that are split are read on the driver, the fullest first; beyond so many, cells stay whole, which costs time only.
+#: Full cells up to which their list is broadcast.
 SPLIT_CELLS = 10_000
 #: Rows of an outline that are ordered together; longer outlines are ordered in parts that are then linked.
 OUTLINE_PART = 4096
@@ -118,32 +118,32 @@ def _overlapping(items: DataFrame, metres: float) -> DataFrame:
     return df.select("id", "lat", (F.col("lon") + turn).alias("lon"), (F.col("strip").cast("long") * BLOCK_BASE + F.pmod("block", "blocks")).alias("cell"))
 
 
-def _salted(points: DataFrame, items: DataFrame, cell_rows: int, sizes_of: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt. A full cell becomes parts: rows of one side are dealt out, those of the other are repeated.
+def salted(points: DataFrame, items: DataFrame, cell_rows: int, sizes_of: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides (cell, id, ...) with a salt. A full cell becomes parts: rows of one side are dealt out, those of the other are repeated.
 
     The counts (of ``sizes_of``, cells of rows that need not be deduplicated yet) are aggregated before they are
-    shuffled; the list of full cells is bounded by SPLIT_CELLS.
+    shuffled. Full cells are few, and are broadcast up to SPLIT_CELLS of them; beyond, they are joined by shuffle.
     """
+    sizes_of = sizes_of or (points, items)
     sizes = (
         sizes_of[0].select("cell", F.lit(1).alias("p"), F.lit(0).alias("i"))
         .unionAll(sizes_of[1].select("cell", F.lit(0).alias("p"), F.lit(1).alias("i")))
         .groupBy("cell")
         .agg(F.sum("p").alias("p"), F.sum("i").alias("i"))
         .where((F.col("p") > cell_rows) | (F.col("i") > cell_rows))
-        .orderBy(F.greatest("p", "i").desc())
-        .limit(SPLIT_CELLS)
-        .collect()
     )
-    if not sizes:
+    by = {f"by_{x}": F.greatest(F.lit(1), F.ceil(F.col(x) / cell_rows)).cast("int") for x in ("p", "i")}
+    parts = stored(sizes.select("cell", *(c.alias(n) for n, c in by.items())))
+    n = parts.count()
+    if not n:
         return points.withColumn("salt", F.lit(0)), items.withColumn("salt", F.lit(0))
-    spark = points.sparkSession
-    parts = spark.createDataFrame([(r.cell, -(-r.p // cell_rows) or 1, -(-r.i // cell_rows) or 1) for r in sizes], "cell long, by_p int, by_i int")
-    whole = {"by_p": F.coalesce("by_p", F.lit(1)), "by_i": F.coalesce("by_i", F.lit(1))}
+    if n <= SPLIT_CELLS:
+        parts = F.broadcast(parts)  # a checked bound
+    whole = {name: F.coalesce(name, F.lit(1)) for name in by}
     own = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    # at most SPLIT_CELLS rows are broadcast
-    p = points.join(F.broadcast(parts), "cell", "left").withColumns(whole)
+    p = points.join(parts, "cell", "left").withColumns(whole)
     p = p.withColumn("salt", F.explode(F.transform(F.sequence(F.lit(0), F.col("by_i") - 1), lambda k: (F.pmod(own, F.col("by_p")) * F.col("by_i") + k).cast("int"))))
-    i = items.join(F.broadcast(parts), "cell", "left").withColumns(whole)
+    i = items.join(parts, "cell", "left").withColumns(whole)
     i = i.withColumn("salt", F.explode(F.transform(F.sequence(F.lit(0), F.col("by_p") - 1), lambda k: (k * F.col("by_i") + F.pmod(own, F.col("by_i"))).cast("int"))))
     return p.drop("by_p", "by_i"), i.drop("by_p", "by_i")
 
@@ -162,7 +162,7 @@ def near_pairs(points: DataFrame, items: DataFrame, metres: float, cell_rows: in
     if not 0 <= reach_deg(metres) <= STRIP_DEG:
         raise ValueError("the distance must be at most the height of a strip")
     p, i = _owned(points, metres), _overlapping(items, metres)
-    p, i = _salted(p, i, cell_rows, (p, i) if sizes_of is None else (_owned(sizes_of[0], metres), _owned(sizes_of[1], metres)))
+    p, i = salted(p, i, cell_rows, None if sizes_of is None else (_owned(sizes_of[0], metres), _owned(sizes_of[1], metres)))
     rows = p.withColumn("is_item", F.lit(False)).unionByName(i.withColumn("is_item", F.lit(True)))
     rows = rows.select("id", "lat", "lon", "cell", "salt", "is_item")
     limit = math.sin(min(metres / EARTH_RADIUS_M / 2, math.pi / 2)) ** 2
@@ -262,7 +262,7 @@ def _level_shape(level: Column) -> tuple[Column, Column]:
     return height, F.when(blocks < 3, F.lit(1)).otherwise(blocks).cast("long")
 
 
-def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFrame:
+def containing_outlines(points: DataFrame, outline_points: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(point_id, feature_id): the closed outlines that contain each point, edges being straight in degrees.
 
     points: (id, lat, lon), usable and with unique ids. Boxes of outlines are swept against the points on the level of
@@ -281,12 +281,13 @@ def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFra
     turn = F.when(F.col("block") >= blocks, -360.0).otherwise(0.0)
 
     def cell(strip: Column, block: Column) -> Column:
-        return (strip * LEVELS * 2 + level) * (1 << 32) + block
+        return (strip * LEVELS * 2 + level) * BLOCK_BASE + block
 
     items = items.select(
         F.col("feature_id").cast("long").alias("id"), F.col("south").alias("lat"), (F.col("west") + turn).alias("lon"), "north", "width", "bands",
         cell(F.col("strip"), F.pmod("block", "blocks")).alias("cell"), F.lit(True).alias("is_item"),
     )
+    # on the coarse levels a cell may hold half of all points, so full cells are split
     levels = [r.level for r in boxes.select("level").distinct().collect()]  # at most LEVELS + 1 rows
     lon = F.when(F.col("lon") >= 180, F.col("lon") - 360).otherwise(F.col("lon"))
     own = points.select("id", "lat", lon.alias("lon"), F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("array()").cast("array<int>")).alias("level"))
@@ -295,7 +296,8 @@ def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFra
         "id", "lat", "lon", F.lit(0.0).alias("north"), F.lit(0.0).alias("width"), F.lit(0).alias("bands"),
         cell(F.floor((F.col("lat") + 90) / height), F.least(F.floor((F.col("lon") + 180) * blocks / 360), blocks - 1)).alias("cell"), F.lit(False).alias("is_item"),
     )
-    rows = own.unionByName(items)
+    own, items = salted(own, items, cell_rows)
+    rows = own.unionByName(items).withColumn("key", F.col("cell") * SALTS + F.col("salt")).drop("cell", "salt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def keep(a: dict, b: dict) -> np.ndarray:
@@ -308,11 +310,11 @@ def containing_outlines(points: DataFrame, outline_points: DataFrame) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (a["id"], a["lat"], a["lon"], b["id"], band)], ["point_id", "lat", "lon", "feature_id", "band"])
 
         def window(key: int) -> tuple[float, float]:
-            return min(STRIP_DEG * 4 ** ((key >> 32) % (LEVELS * 2)), 360.0) * (1 + 1e-9), 0.0
+            return min(STRIP_DEG * 4 ** ((key // SALTS // BLOCK_BASE) % (LEVELS * 2)), 360.0) * (1 + 1e-9), 0.0
 
-        yield from sweep(batches, "cell", ["id", "lat", "north", "width", "bands"], window, keep, result)
+        yield from sweep(batches, "key", ["id", "lat", "north", "width", "bands"], window, keep, result)
 
-    swept = rows.repartitionByRange("cell").sortWithinPartitions("cell", "lon")
+    swept = rows.repartitionByRange("key").sortWithinPartitions("key", "lon")
     pairs = swept.mapInArrow(run, "point_id long, lat double, lon double, feature_id long, band long")
 
     b = edges.join(boxes, "feature_id").withColumn("x1", F.pmod(F.col("lon1") - F.col("west") + 1e-9, F.lit(360.0)) - 1e-9)

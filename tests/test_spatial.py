@@ -63,10 +63,10 @@ def test_node_positions(spark):
     assert sorted(map(tuple, df.collect())) == [(1, 2.0, 2.0), (7, 3.0, 180.0)]
 
 
-def inside(spark, points, outlines):
+def inside(spark, points, outlines, cell_rows=spatial.CELL_ROWS):
     rows = [(f, i, la, lo, "x") for f, ring in outlines.items() for i, (la, lo) in enumerate(ring)]
     o = spark.createDataFrame(rows, "feature_id int, idx int, lat double, lon double, name string")
-    return sorted((r.point_id, r.feature_id) for r in spatial.containing_outlines(spark.createDataFrame(points, P), o).collect())
+    return sorted((r.point_id, r.feature_id) for r in spatial.containing_outlines(spark.createDataFrame(points, P), o, cell_rows).collect())
 
 
 def holds(p, ring):
@@ -107,6 +107,7 @@ def test_inside_is_brute_force(spark):
     want = sorted((p[0], f) for p in points for f, ring in outlines.items() if f != 102 and holds(p, ring))
     assert len(want) > 300
     assert inside(spark, points, outlines) == want
+    assert inside(spark, points, outlines, cell_rows=15) == want  # full cells of one outline around half the globe and of a crowded spot
 
 
 def test_inside_dirty(spark):
