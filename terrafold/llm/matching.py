@@ -1,17 +1,21 @@
-"""Matching of places across sources without keys, by an inverted index, mutual nearness and a calibrated confidence.
-
-Records of one table are queries to an index of the other. Name grams weighted as in BM25, position, town and category
-all score. Postings are kept per cell, or per town for records without a trustworthy position, and pruned exactly: a
-pair whose shared weight reaches the share TAU of both names' weights must share a gram among the rarest ones that carry the
-rest, so only these are posted (the upper-bound argument of MaxScore), and no cap on lists or partners is needed. Pairs
-that are near the best of both their sides are kept, and a logistic model of score and gap, fitted against decoys (the
-same queries, moved away), gives the confidence.
+"""Matching of places across sources without keys: BM25 retrieval over an inverted index, mutual nearness, calibrated confidence.
+
+Records of one table are queries to an index of the other. Terms are grams of names; a query has two fields for them, its
+name and the host of its website, which often spells the name out. Position, town and category take part as attributes:
+the index is sharded by cell, and by town for records without a trustworthy position, nearness and category add to the
+score. In each shard the top of every query is exact: a pair that reaches the share FLOOR of the document's weight
+must share one of its heaviest terms that carry the rest, so only these are posted (the upper bound of MaxScore), all that
+are met are scored in full, and the TOP best and all within MARGIN of the best are returned.
+
+Two logistic models, fitted against decoys (the same queries, moved away), turn features into a score and the score and
+its gap to the best of another spot into a confidence.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,150 +23,117 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.operators.spatial import EARTH_RADIUS_M, usable_position, wrapped
+from terrafold.operators.spatial import EARTH_RADIUS_M, salted, usable_position, wrapped
+from terrafold.session import stored
 
 #: Size of the space that grams are hashed to, which bounds the table of weights that is broadcast.
-BUCKETS = 1 << 18
-#: Weights are packed beside the gram in steps of 1/WEIGHT_STEP.
-WEIGHT_STEP, WEIGHT_BITS = 16, 10
-#: Length of the grams of names; pairs that have this share of both names' weight in common, with the words as they stand
-#: or in alphabetical order, are sure to be compared.
-GRAM, TAU = 3, 0.25
-#: In names of so few letters an edit leaves few grams, so half of TAU is enough.
-SHORT_LETTERS = 10
+BITS = 18
+BUCKETS = 1 << BITS
+GRAM = 3
+#: BM25: saturation of repeats, and how much the length of a name counts; repeats above MOST_TF count as so many.
+K1, B, MOST_TF = 1.2, 0.75, 3
+#: Share of a document's weight that a query must have to be looked at; how many pairs of a query are kept at least, and down to which share of the best all are.
+FLOOR, TOP, MARGIN = 0.12, 8, 0.6
 #: Records farther apart are not near.
 NEAR_M = 180.0
 CELL_DEG = 0.004
 TOWN_DEG = 0.1
+#: Records of one side of a shard that are worked on together; rows of a block of shards.
+SHARD_ROWS, BLOCK_ROWS = 20_000, 20_000
 #: A cell belongs to a town that at least this share of the town's records are in.
 TOWN_SHARE = 0.01
-#: Most queries that the calibration looks at, and how far the decoys are moved.
+#: Most queries that a calibration looks at, and how far the decoys are moved.
 CALIBRATION_ROWS = 20_000
 DECOY_DEG = 0.02
-#: Least likeness of names that is looked at.
-NAME_FLOOR = 0.45
-#: A pair is near the best of a side if its names are as alike but for this: of the place (rivals from the index, whose
-#: names are cleaner) and of the POI (rivals are the noisy queries, several of which may be one place).
-PLACE_GAP, POI_GAP = 0.12, 0.35
-#: Least gap to the best of another spot of a place that is looked for among all POIs.
+#: Least likeness of names that is looked at, and likeness above which each bit says more.
+NAME_FLOOR, CLOSE = 0.45, 0.8
+#: POIs are twins to a place if their names are so alike, they are so near, and no less like it than the best by so much; places are to a POI if no less like it by TWIN_GAP.
+TWIN_NAMES, TWIN_M, TOP_GAP, TWIN_GAP = 0.75, 120.0, 0.15, 0.35
+#: What the best of all POIs must be ahead of the next for a place that neither town nor position tells where to look.
 WHOLE_GAP = 1.0
 #: A position that so many places of different names share to the last digit stands for a town and not for a place.
 SHARED_POSITION = 3
 
-_FOLD = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ı": "i", "ł": "l", "đ": "d", "ß": "ss", "þ": "th", "ð": "d", "’": "'", "`": "'"})
-_LOOKALIKE = str.maketrans("0134578", "oleastb")
+# Letters that Unicode does not take apart.
+_FOLD = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ı": "i", "ł": "l", "đ": "d", "ß": "ss", "þ": "th", "ð": "d"})
 
 
 def fold(text: str) -> str:
-    """Case, accents, ligatures and digits that stand for letters folded away."""
-    text = unicodedata.normalize("NFKD", text.casefold().translate(_FOLD))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    """Case, accents and ligatures folded away."""
+    text = text.casefold().translate(_FOLD)
+    if text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 #: The town that a source adds to a name: in brackets or after an at sign.
 SAID_TOWN = r"[(@]\s*([^()@]+?)\s*\)?\s*(?:,[^,]*)?$"
+_WORD, _HOST = re.compile(r"[^\W_]+"), re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*://)?([^/?#:\s]+)", re.IGNORECASE)
 
 
 def name_words(name: str | None, town: str | None = None) -> list[str]:
-    """Words of a name without what sources add to it: articles, towns, years, marks."""
-    if not name:
-        return []
-    text = fold(name)
-    text = re.sub(r",?\s*\b(since|est\.?|seit|depuis|desde)\s+\d{4}\b", " ", text)
-    text = re.sub(r"'s\b", " ", text)
-    text = re.sub(r"(?<=[^\W\d_])[0134578](?=[^\W\d_])", lambda m: m.group().translate(_LOOKALIKE), text)
-    words = re.findall(r"[^\W_]+", text)
-    gone = {"the", "new", "co", "and", "und", "et"} if len(words) > 2 else {"and"}
+    """Words of a name, without those of the record's own town if others are left."""
+    words = _WORD.findall(fold(name)) if name else []
     if town:
-        gone |= set(re.findall(r"[^\W_]+", fold(town)))
-    left = [w for i, w in enumerate(words) if not (w in gone and (w not in ("new",) or i == len(words) - 1))]
-    return left or words
-
-
-def gram_buckets(words: list[str], n: int) -> np.ndarray:
-    """Distinct buckets of the n-grams of the joined words, with marks of start and end."""
-    if not any(words):
-        return np.zeros(0, np.int64)
-    text = "^^" + "".join(words) + "$$"
-    grams = {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
-    return np.unique(np.array([_bucket(g) for g in grams], np.int64))
+        gone = set(_WORD.findall(fold(town)))
+        return [w for w in words if w not in gone] or words
+    return words
 
 
-def _bucket(gram: str) -> int:
-    h = 1469598103934665603
-    for b in gram.encode():
-        h = ((h ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return (h ^ (h >> 29)) % BUCKETS
+def host_word(url: str | None) -> str:
+    """The longest part of the host of a web address, its last part aside; empty if there is none."""
+    m = _HOST.match(url) if url else None
+    return max(_WORD.findall(fold(m[1]).rpartition(".")[0]), key=len, default="") if m else ""
 
 
-def gram_frequencies(names: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """(document frequency of every bucket, number of names) of names (name, town); at most BUCKETS rows reach the driver."""
+def name_terms(words: list[str]) -> list[int]:
+    """Terms of a name, bucket and frequency packed: grams of each word with marks of its start and end, and those of the joined words that lie across words.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, size = np.zeros(BUCKETS, np.int64), 0
-        for b in batches:
-            for name, town in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = name_words(name, town)
-                found = np.union1d(gram_buckets(words, n), gram_buckets(sorted(words), n))
-                df[found] += 1
-                size += len(found) > 0
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[df[some], size])], ["bucket", "df"])
-
-    rows = names.select("name", "town").mapInArrow(run, "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
-    df, size = np.zeros(BUCKETS, np.int64), 0
-    for r in rows:
-        if r.bucket < 0:
-            size = r.df
-        else:
-            df[r.bucket] = r.df
-    return df, size
-
-
-def bm25_weights(df: np.ndarray, size: int) -> np.ndarray:
-    """Inverse document frequency, in packed steps."""
-    idf = np.log1p((size - df + 0.5) / (np.minimum(df, size) + 0.5))
-    return np.clip(np.rint(idf * WEIGHT_STEP), 1, (1 << WEIGHT_BITS) - 1).astype(np.int64)
-
-
-def rare_grams(found: np.ndarray, own: np.ndarray, tau: float) -> np.ndarray:
-    """Places in ``found`` of the rarest grams without which the rest falls short of the share tau of the weight."""
-    order = np.lexsort((found, -own))
-    left = own.sum() - np.cumsum(own[order])
-    # the shortest prefix after which less than the share tau is left
-    return order[: int(np.searchsorted(-left, -tau * own.sum(), "right")) + 1]
-
-
-def named_grams(records: DataFrame, weights, n: int, tau: float) -> DataFrame:
-    """``records`` with key (the joined words), grams (bucket and weight packed), weight (their sum) and rare, and the same of the words in alphabetical order (sorted_...).
-
-    rare are the rarest of the grams, as of ``rare_grams``. ``weights`` is a broadcast array of BUCKETS weights.
+    So neither another order of words, nor words run together, nor words beside the name change many of them.
     """
-    made = ["key string", "grams array<int>", "weight long", "rare array<int>"]
-    made += [f"sorted_{m}" for m in made]
-    new_names = [m.split(" ")[0] for m in made]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema] + made)
+    found: dict[int, int] = {}
+    for w in words:
+        w = f"^{w}$"
+        for i in range(len(w) - GRAM + 1):
+            g = zlib.crc32(w[i : i + GRAM].encode("utf-8", "replace")) % BUCKETS
+            found[g] = found.get(g, 0) + 1
+    joined = "".join(words)
+    for i in range(len(joined) - GRAM + 1):
+        found.setdefault(zlib.crc32(joined[i : i + GRAM].encode("utf-8", "replace")) % BUCKETS, 1)
+    return sorted(g * (MOST_TF + 1) + min(n, MOST_TF) for g, n in found.items())
+
+
+def with_terms(records: DataFrame) -> DataFrame:
+    """``records`` (with name, town and website) with key (the joined words), sorted_key, terms, and host_key and host, those of the website's host."""
+    made = {"key": pa.string(), "sorted_key": pa.string(), "terms": pa.list_(pa.int32()), "host_key": pa.string(), "host": pa.list_(pa.int32())}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema]) + ", key string, sorted_key string, terms array<int>, host_key string, host array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
         for b in batches:
-            out = {m: [] for m in new_names}
-            for name, town in zip(b.column("name").to_pylist(), b.column("town").to_pylist(), strict=True):
-                in_order = name_words(name, town)
-                for prefix, words in (("", in_order), ("sorted_", sorted(in_order))):
-                    found = gram_buckets(words, n)
-                    own = w[found]
-                    packed = (found << WEIGHT_BITS) | own
-                    out[prefix + "key"].append("".join(words))
-                    out[prefix + "grams"].append(packed)
-                    out[prefix + "weight"].append(int(own.sum()))
-                    out[prefix + "rare"].append(packed[rare_grams(found, own, tau / 2 if len(out[prefix + "key"][-1]) <= SHORT_LETTERS else tau)])
-            new = [pa.array(out[m.split(" ")[0]], {"string": pa.string(), "long": pa.int64()}.get(m.split(" ")[1], pa.list_(pa.int32()))) for m in made]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *new_names])
+            words = [name_words(n, t) for n, t in zip(b.column("name").to_pylist(), b.column("town").to_pylist(), strict=True)]
+            hosts = [host_word(u) for u in b.column("website").to_pylist()]
+            new = [["".join(w) for w in words], ["".join(sorted(w)) for w in words], [name_terms(w) for w in words], hosts, [name_terms([h]) if h else [] for h in hosts]]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, t) for c, t in zip(new, made.values(), strict=True))], [*b.schema.names, *made])
 
     return records.mapInArrow(run, schema)
 
 
+class Weights:
+    """Inverse document frequencies of all buckets and the mean length of names: BM25's statistics of a whole index."""
+
+    def __init__(self, pois: DataFrame):
+        rows = pois.select(F.explode("terms").alias("t")).groupBy(F.floor(F.col("t") / (MOST_TF + 1)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("t") % (MOST_TF + 1)).alias("n"))
+        counted = rows.toPandas()  # at most BUCKETS rows
+        n = pois.where(F.size("terms") > 0).count()
+        df = np.zeros(BUCKETS)
+        df[counted["bucket"].to_numpy(np.int64)] = counted["df"]
+        self.idf = np.where(df > 0, np.log1p((n - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+        self.mean_length = float(counted["n"].sum() / n) if n else 1.0
+
+    def of_terms(self, tf: np.ndarray, bucket: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.idf[bucket] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean_length))
+
+
 def repaired(lat: Column, lon: Column) -> tuple[Column, Column]:
     """The position if it is usable; that with both exchanged, or scaled by 1e-7, if only so it is; else nulls."""
     ways = [(lat, lon), (lon, lat), (lat / 1e7, lon / 1e7)]
@@ -188,6 +159,14 @@ def one_record(rows: DataFrame, key: str, attributes: list[str], at: str) -> Dat
     return out.select("id", *attributes, F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
+def copies(records: DataFrame, attributes: list[str]) -> DataFrame:
+    """``records`` with rep: those that no attribute tells apart share the least id as representative."""
+    same = [F.xxhash64(F.lit(k), *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in attributes)).alias(f"__h{k}") for k in (1, 2)]
+    keyed = records.select("*", *same)
+    reps = keyed.groupBy("__h1", "__h2").agg(F.min("id").alias("rep"))
+    return keyed.join(reps, ["__h1", "__h2"]).drop("__h1", "__h2")
+
+
 def _cell(lat: Column, lon: Column, deg: float) -> Column:
     """A cell of about deg x deg as a number; its width in longitude follows the latitude."""
     strip = F.floor((lat + 90) / deg)
@@ -215,137 +194,207 @@ def distance_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column
     return EARTH_RADIUS_M * F.sqrt(x * x + F.pow(F.radians(lat2 - lat1), 2))
 
 
-def copies(records: DataFrame) -> DataFrame:
-    """(id, rep): records that no attribute tells apart share the least id as representative."""
-    same = F.sha2(F.concat_ws("\x00", *(F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in (c for c in ("key", "sorted_key", "lat", "lon", "turned_lat", "turned_lon", "town", "asks", "category") if c in records.columns))), 256)
-    keyed = records.select("id", same.alias("same"))
-    return keyed.join(keyed.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep")
-
-
-def _representatives(records: DataFrame, of: DataFrame) -> DataFrame:
-    return records.join(of.where("id = rep").select("id"), "id", "left_semi")
-
-
 def towns_of_cells(places: DataFrame) -> DataFrame:
     """(town, tcell): the coarse cells that a share of at least TOWN_SHARE of a town's positioned records lies in."""
     n = places.where("town IS NOT NULL AND lat IS NOT NULL").groupBy("town", _cell(F.col("lat"), F.col("lon"), TOWN_DEG).alias("tcell")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("all", F.sum("n").over(Window.partitionBy("town"))).where((F.col("n") >= TOWN_SHARE * F.col("all")) & (F.col("n") >= 2)).select("town", "tcell")
-
-
-def _shared_weight(a: Column, b: Column) -> Column:
-    """Sum of the weights of grams in both packed arrays."""
-    return F.aggregate(F.array_intersect(a, b), F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1)))
+    whole = n.groupBy("town").agg(F.sum("n").alias("all"))
+    return n.join(whole, "town").where((F.col("n") >= TOWN_SHARE * F.col("all")) & (F.col("n") >= 2)).select("town", "tcell")
 
 
 def like_towns(pois: DataFrame, towns: DataFrame) -> DataFrame:
-    """(town, next): the next smaller town by POIs, for the smallest the next larger; chance likeness grows with the POIs a name is put to."""
+    """(town, next): another town of about as many POIs, since chance likeness grows with the POIs a name is put to.
+
+    Towns are in classes by the power of two of their POIs, and of one class in order; none for one that is alone.
+    """
     cells = pois.where("lat IS NOT NULL").groupBy(_cell(F.col("lat"), F.col("lon"), TOWN_DEG).alias("tcell")).agg(F.count(F.lit(1)).alias("n"))
     size = towns.join(cells, "tcell").groupBy("town").agg(F.sum("n").alias("n"))
-    by_size = Window.orderBy(F.desc("n"), "town")  # one row a town
-    own = F.struct("town", "n")
-    near = size.withColumn("other", F.coalesce(F.lead(own).over(by_size), F.lag(own).over(by_size))).where("other IS NOT NULL")
-    return near.select("town", F.col("other.town").alias("next"))
+    by_size = Window.partitionBy(F.floor(F.log2("n"))).orderBy(F.desc("n"), "town")
+    return size.select("town", F.coalesce(F.lead("town").over(by_size), F.lag("town").over(by_size)).alias("next")).where("next IS NOT NULL")
+
+
+# retrieval within shards
+
+_SHIP = ["id", "lat", "lon", "key", "sorted_key", "host_key", "category"]
+PAIRS = (
+    "place long, decoy boolean, poi long, bm25 double, covered_place double, covered_poi double, metres double, "
+    "qkey string, qsorted string, qhost string, dkey string, dsorted string, qcat string, dcat string, dlat double, dlon double"
+)
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all elements of a list column."""
+    lengths = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    return np.repeat(np.arange(len(column)), lengths), np.asarray(column.flatten()).astype(np.int64)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of range, position) of all positions in the ranges [lo, hi)."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+
+
+class Index:
+    """Postings of the POIs of a block of shards, by (shard, term); ``shards`` are small numbers."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table, shards: np.ndarray, weights: Weights):
+        doc, packed = _flat(rows["terms"].combine_chunks())
+        bucket, tf = packed // (MOST_TF + 1), packed % (MOST_TF + 1)
+        length = np.bincount(doc, tf, len(shards))
+        weight = weights.of_terms(tf, bucket, length[doc])
+        self.whole = np.bincount(doc, weight, len(shards))
+        self.weights = weights
+        # heaviest terms first in each document; those after which less than FLOOR of its weight is left need no posting
+        order = np.lexsort((bucket, -weight, doc))
+        before = np.cumsum(weight[order]) - weight[order]
+        begins = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(shards)))][doc[order]]
+        left = self.whole[doc[order]] - (before - before[begins]) if len(doc) else before
+        posted = order[left >= FLOOR * self.whole[doc[order]] * (1 - 1e-9)]
+        posted = posted[np.argsort((shards[doc[posted]] << BITS) | bucket[posted], kind="stable")]
+        self.posted, self.posted_doc = (shards[doc[posted]] << BITS) | bucket[posted], doc[posted]
+        order = np.argsort((doc << BITS) | bucket, kind="stable")
+        self.held, self.held_weight = ((doc << BITS) | bucket)[order], weight[order]
+
+    def candidates(self, shards: np.ndarray, query: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, doc) of all pairs of a shard that share at least FLOOR of the document's weight, and some others."""
+        key = (shards[query] << BITS) | bucket
+        which, at = _ranges(np.searchsorted(self.posted, key), np.searchsorted(self.posted, key, "right"))
+        pair = np.unique((query[which] << 32) | self.posted_doc[at])
+        return pair >> 32, pair & 0xFFFFFFFF
+
+    def scores(self, q: np.ndarray, d: np.ndarray, query: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(BM25 score, share of the query's weight, share of the document's) of pairs, over all their terms."""
+        order = np.argsort(query, kind="stable")
+        bucket, ends = bucket[order], np.r_[0, np.cumsum(np.bincount(query, minlength=n))]
+        idf = self.weights.idf[bucket]
+        pair, at = _ranges(ends[q], ends[q + 1])
+        key = (d[pair] << BITS) | bucket[at]
+        place = np.minimum(np.searchsorted(self.held, key), max(len(self.held) - 1, 0))
+        hit = self.held[place] == key
+        score = np.bincount(pair, np.where(hit, self.held_weight[place], 0), len(q))
+        shared, whole = np.bincount(pair, np.where(hit, idf[at], 0), len(q)), np.bincount(pair, idf[at], len(q))
+        return score, shared / np.maximum(whole, 1e-9), score / np.maximum(self.whole[d], 1e-9)
+
+
+def _block(rows: pa.Table, weights: Weights) -> pa.Table | None:
+    """The best pairs of all queries of a block of whole shards."""
+    is_doc = np.asarray(rows["is_doc"])
+    _, shard = np.unique(np.asarray(rows["shard"]), return_inverse=True)
+    docs, asked = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc))
+    if not len(docs) or not len(asked):
+        return None
+    index, own = Index(docs, shard[is_doc], weights), shard[~is_doc]
+    found = []
+    for field in ("terms", "host"):
+        query, packed = _flat(asked[field].combine_chunks())
+        bucket = packed // (MOST_TF + 1)
+        # queries of about so many looked-up postings together
+        for part in np.array_split(np.arange(len(asked)), max(1, len(asked) // 4_000)):
+            some = (query >= part[0]) & (query <= part[-1])
+            q, d = index.candidates(own, query[some], bucket[some])
+            if len(q):
+                found.append((q, d, *index.scores(q, d, query[some], bucket[some], len(asked))))
+    if not found:
+        return None
+    q, d, score, of_query, of_doc = (np.concatenate(c) for c in zip(*found, strict=True))
+    # of the two fields of a query the one that fits the document better counts
+    order = np.lexsort((-(of_query + of_doc), d, q))
+    q, d, score, of_query, of_doc = (c[order] for c in (q, d, score, of_query, of_doc))
+    first = np.r_[True, (np.diff(q) != 0) | (np.diff(d) != 0)]
+    at = [np.asarray(t[c]).astype(np.float64) for t, c in ((asked, "lat"), (docs, "lat"), (asked, "lon"), (docs, "lon"))]
+    y, x = at[1][d] - at[0][q], (at[3][d] - at[2][q] + 180) % 360 - 180
+    metres = EARTH_RADIUS_M * np.hypot(np.radians(y), np.radians(x) * np.cos(np.radians((at[1][d] + at[0][q]) / 2)))
+    keep = first & (of_doc >= FLOOR) & ~(metres > NEAR_M)  # without a position the distance is not a number
+    q, d, score, of_query, of_doc, metres = (c[keep] for c in (q, d, score, of_query, of_doc, metres))
+    if not len(q):
+        return None
+    total = score + np.nan_to_num(2 * np.log(NEAR_M / np.clip(metres, 15, NEAR_M)))
+    order = np.lexsort((d, -total, q))
+    start = np.searchsorted(q[order], q[order])
+    top = order[(np.arange(len(order)) - start < TOP) | (total[order] >= MARGIN * total[order][start])]
+    q, d = pa.array(q[top]), pa.array(d[top])
+    a, b = asked.take(q), docs.take(d)
+    far = pa.array(metres[top], mask=np.isnan(metres[top]))
+    columns = [a["id"], a["decoy"], b["id"], pa.array(score[top]), pa.array(of_query[top]), pa.array(of_doc[top]), far, a["key"], a["sorted_key"], a["host_key"], b["key"], b["sorted_key"], a["category"], b["category"], b["lat"], b["lon"]]
+    return pa.table(columns, [f.strip().split(" ")[0] for f in PAIRS.split(",")])
+
+
+def retrieved(queries: DataFrame, docs: DataFrame, weights, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The pairs (see PAIRS) of queries and docs of a shard, the best of each query exactly.
+
+    queries: the columns of _SHIP, terms, host, cell (the shard) and decoy; docs: the same without host_key, host and decoy. Full
+    shards are split on both sides. ``weights`` is a broadcast of Weights.
+    """
+    d, q = salted(docs, queries, shard_rows)
+    shard = F.xxhash64("cell", "salt").alias("shard")
+    none = {"host": F.lit(None).cast("array<int>"), "host_key": F.lit("")}
+    rows = d.withColumns(none).select(shard, F.lit(True).alias("is_doc"), F.lit(False).alias("decoy"), *_SHIP, "terms", "host").unionByName(q.select(shard, F.lit(False).alias("is_doc"), "decoy", *_SHIP, "terms", "host"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-def _weight(gram: Column) -> Column:
-    return gram.bitwiseAND(F.lit((1 << WEIGHT_BITS) - 1))
+        def worked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = _block(pa.Table.from_batches(parts), weights.value) if parts else None
+            if out is not None:
+                yield from out.combine_chunks().to_batches()
 
+        for b in batches:
+            key = np.asarray(b.column(0))
+            if sum(map(len, held)) + len(b) >= BLOCK_ROWS:  # what lies before the last shard is whole
+                cut = int(np.searchsorted(key, key[-1])) if len(b) else 0
+                if cut or (held and len(b) and held[-1].column(0)[-1].as_py() != key[-1]):
+                    yield from worked([*held, b.slice(0, cut)] if cut else held)
+                    held, b = [], b.slice(cut)
+            if len(b):
+                held.append(b)
+        yield from worked(held)
 
-def _candidates_near(places: DataFrame, pois: DataFrame) -> DataFrame:
-    """Pairs (place, poi) of positioned records that share a cell and a rare gram in either order of words, with the weight (met) of those shared."""
-    posted = pois.where("lat IS NOT NULL").select(F.col("id").alias("poi"), F.array(_cell(F.col("lat"), F.col("lon"), CELL_DEG))[0].alias("cell"), F.explode(F.array_union("rare", "sorted_rare")).alias("gram"))
-    own, turned = (_cells_within(F.col(y), F.col(x), CELL_DEG, NEAR_M) for y, x in (("lat", "lon"), ("turned_lat", "turned_lon")))
-    cells = F.when(F.col("turned_lat").isNull(), own).otherwise(F.array_union(own, turned))
-    asked = places.where("lat IS NOT NULL").select(F.col("id").alias("place"), F.explode(cells).alias("cell"), F.array_union("rare", "sorted_rare").alias("rare"))
-    asked = asked.select("place", "cell", F.explode("rare").alias("gram"))
-    return asked.join(posted.hint("merge"), ["cell", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, PAIRS)
 
 
-def _candidates_town(places: DataFrame, pois: DataFrame, towns: DataFrame) -> DataFrame:
-    """Pairs of records that share a town and a rare gram in either order of words, for places without a trustworthy position.
+# scores
 
-    Places whose towns (asks) are empty ask the index over all POIs, with or without a position.
-    """
-    rare = F.explode(F.array_union("rare", "sorted_rare")).alias("gram")
-    posted = pois.where("lat IS NOT NULL").withColumn("tcell", _cell(F.col("lat"), F.col("lon"), TOWN_DEG)).select(F.col("id").alias("poi"), "tcell", "rare", "sorted_rare")
-    posted = posted.join(towns, "tcell").select("poi", "town", rare)
-    posted = posted.unionByName(pois.select(F.col("id").alias("poi"), F.lit("").alias("town"), rare))
-    asked = places.select(F.col("id").alias("place"), F.explode(F.when(F.size("asks") > 0, F.col("asks")).otherwise(F.array(F.lit("")))).alias("town"), "rare", "sorted_rare")
-    asked = asked.select("place", "town", rare)
-    return asked.join(posted.hint("merge"), ["town", "gram"]).groupBy("place", "poi").agg(F.sum(_weight(F.col("gram"))).alias("met"))
+FEATURES = ["alike", "close", "edited", "covered_place", "covered_poi", "geo", "far_off", "lift"]
 
 
-def _scored(pairs: DataFrame, places: DataFrame, pois: DataFrame) -> DataFrame:
-    """Pairs with the likeness of their names, their distance and both categories.
+def scored(pairs: DataFrame) -> DataFrame:
+    """Pairs with the likeness of their names: the mean share of weight in common, or one less the share of letters to edit, if that is more.
 
-    The likeness is the share of the BM25 weight in common or, if that is greater, one less the share of letters to edit,
-    with the words as they stand or in alphabetical order.
-    Pairs below the likeness NAME_FLOOR are left out.
+    Words count as they stand or in alphabetical order. geo is the information in being within the distance found rather
+    than anywhere near, the logarithm of the ratio of both areas, 0 without a distance. Below NAME_FLOOR pairs go.
     """
 
-    def side(df: DataFrame, who: str, x: str, names: dict[str, str]) -> DataFrame:
-        return df.select(F.col("id").alias(who), *(F.col(c).alias(x + n) for c, n in names.items()))
-
-    # rows with grams are large once unpacked, whatever their compressed size says, so neither side is broadcast; they
-    # come last, to pairs that can still reach the floor
-    small = {"lat": "lat", "lon": "lon", "turned_lat": "turned_lat", "turned_lon": "turned_lon", "key": "key", "sorted_key": "sorted", "weight": "weight", "sorted_weight": "sorted_weight", "category": "cat"}
-    met = pairs.join(side(places, "place", "q", small).hint("merge"), "place").join(side(pois, "poi", "d", small).hint("merge"), "poi")
-    # of a place with two positions the nearer counts
-    metres = F.least(*(distance_m(F.col(y), F.col(x), F.col("dlat"), F.col("dlon")) for y, x in (("qlat", "qlon"), ("qturned_lat", "qturned_lon"))))
-    met = met.withColumn("metres", metres).where(F.col("metres").isNull() | (F.col("metres") <= NEAR_M))
-    edits = F.least(F.levenshtein("qkey", "dkey"), F.levenshtein("qsorted", "dsorted"))
-    met = met.withColumn("edited", 1 - edits / F.greatest(F.length("qkey"), F.length("dkey"), F.lit(1)))
-    # what is shared beside the rare grams is less than the share TAU of the greater weight
-    reach = [2 * (F.col("met") + TAU * F.greatest("q" + w, "d" + w)) >= NAME_FLOOR * (F.col("q" + w) + F.col("d" + w)) for w in ("weight", "sorted_weight")]
-    met = met.where((F.col("edited") >= NAME_FLOOR) | reach[0] | reach[1])
-    grams = {"grams": "grams", "sorted_grams": "sorted_grams"}
-    met = met.join(side(places, "place", "q", grams).hint("merge"), "place").join(side(pois, "poi", "d", grams).hint("merge"), "poi")
-    met = met.withColumns({"shared": _shared_weight(F.col("qgrams"), F.col("dgrams")), "sorted_shared": _shared_weight(F.col("qsorted_grams"), F.col("dsorted_grams"))})
-
-    def most(of) -> Column:
-        return F.greatest(*(F.coalesce(of(F.col(p + "shared"), F.col(f"q{p}weight"), F.col(f"d{p}weight")), F.lit(0.0)) for p in ("", "sorted_")))
-
-    return met.select(
-        "place", "poi", "qcat", "dcat", "dlat", "dlon", "metres",
-        most(lambda s, q, d: F.try_divide(2 * s, q + d)).alias("grams"), "edited", most(lambda s, q, d: F.try_divide(s, F.least(q, d))).alias("covered"),
-    ).withColumn("alike", F.greatest("grams", "edited")).where(F.col("alike") >= NAME_FLOOR)
-
-
-def category_lift(scored: DataFrame) -> DataFrame:
-    """(qcat, dcat, lift): how much oftener two categories meet in pairs of near-equal names at one spot than by chance, as a logarithm."""
-    seeds = scored.where("alike >= 0.9 AND metres <= 60")
-    n = seeds.groupBy("qcat", "dcat").agg(F.count(F.lit(1)).alias("n"))
-    rows, cols, all_ = Window.partitionBy("qcat"), Window.partitionBy("dcat"), Window.partitionBy(F.lit(1))  # one row a pair of categories
-    n = n.withColumns({"a": F.sum("n").over(rows), "b": F.sum("n").over(cols), "c": F.sum("n").over(all_)})
-    lift = F.log((F.col("n") + 0.5) * (F.col("c") + 1) / ((F.col("a") + 1) * (F.col("b") + 1)))
-    return n.select("qcat", "dcat", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), lift)).alias("lift"))
+    def edited(a: str, b: str) -> Column:
+        return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
+    s = pairs.withColumn("edited", F.greatest(edited("qkey", "dkey"), edited("qsorted", "dsorted"), edited("qhost", "dkey")))
+    s = s.withColumn("alike", F.greatest((F.col("covered_place") + F.col("covered_poi")) / 2, F.col("edited"))).where(F.col("alike") >= NAME_FLOOR)
+    geo = F.coalesce(2 * F.log(NEAR_M / F.greatest(F.least("metres", F.lit(NEAR_M)), F.lit(15.0))), F.lit(0.0))
+    s = s.withColumn("geo", geo).withColumns({"far_off": (1 - F.col("alike")) * F.col("geo"), "close": F.greatest(F.lit(0.0), F.col("alike") - CLOSE)})
+    # a place asks in several cells and, without a city, at two positions: its best score for a POI counts
+    best = Window.partitionBy("place", "decoy", "poi").orderBy(F.desc("geo"), F.desc("alike"))
+    return s.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "qkey", "qsorted", "qhost", "dkey")
 
-def _ranked(scored: DataFrame, lift: DataFrame) -> DataFrame:
-    """Scored pairs with a score, the best of either side and the gap to the best of another spot.
 
-    geo is the information in being within the distance found rather than anywhere near: the logarithm of the ratio of
-    both areas. Pairs without distances (places without a trustworthy position) have 0.
-    """
-    geo = F.coalesce(2 * F.log(NEAR_M / F.greatest(F.least("metres", F.lit(NEAR_M)), F.lit(15.0))), F.lit(0.0))
-    s = scored.join(lift, ["qcat", "dcat"], "left").withColumns({"geo": geo, "lift": F.coalesce("lift", F.when(F.col("qcat").isNull() | F.col("dcat").isNull(), 0.0).otherwise(-1.0))})
-    s = s.withColumn("far_off", (1 - F.col("alike")) * F.col("geo"))
-    s = s.withColumn("score", 12 * F.col("alike") + F.col("covered") + 0.7 * F.col("geo") + 0.5 * F.col("lift"))
-    of_place, of_poi = Window.partitionBy("place"), Window.partitionBy("poi")
-    at_best = F.struct("score", "poi", "dlat", "dlon")
-    s = s.withColumns({"place_best": F.max(at_best).over(of_place), "place_name": F.max("alike").over(of_place), "poi_name": F.max("alike").over(of_poi)})
-    apart = distance_m(F.col("dlat"), F.col("dlon"), F.col("place_best.dlat"), F.col("place_best.dlon"))
-    s = s.withColumn("apart", F.when(F.col("poi") == F.col("place_best.poi"), 0.0).otherwise(F.coalesce(apart, F.lit(float("inf")))))
-    other = F.max(F.when(F.col("apart") > 120, F.col("score"))).over(of_place)
-    return s.withColumn("gap", F.least(F.lit(5.0), F.coalesce(F.col("place_best.score") - other, F.lit(5.0)))).withColumn("place_best", F.col("place_best.score"))
+def category_lift(pairs: DataFrame) -> DataFrame:
+    """(qcat, dcat, lift): how much oftener two categories meet in pairs of near-equal names at one spot than by chance, as a logarithm."""
+    n = pairs.where("NOT decoy AND alike >= 0.9 AND metres <= 60").groupBy("qcat", "dcat").agg(F.count(F.lit(1)).alias("n"))
+    rows, cols = n.groupBy("qcat").agg(F.sum("n").alias("a")), n.groupBy("dcat").agg(F.sum("n").alias("b"))
+    n = n.join(rows, "qcat").join(cols, "dcat").join(F.broadcast(n.agg(F.sum("n").alias("c"))))  # one row
+    lift = F.log((F.col("n") + 0.5) * (F.col("c") + 1) / ((F.col("a") + 1) * (F.col("b") + 1)))
+    return n.select("qcat", "dcat", F.greatest(F.lit(-2.0), F.least(F.lit(2.0), lift)).alias("lift"))
 
 
-FEATURES = ["alike", "grams", "edited", "covered", "geo", "far_off", "lift", "gap"]
+def with_lift(pairs: DataFrame, lift: DataFrame) -> DataFrame:
+    unknown = F.col("qcat").isNull() | F.col("dcat").isNull()
+    return pairs.join(lift, ["qcat", "dcat"], "left").withColumn("lift", F.coalesce("lift", F.when(unknown, 0.0).otherwise(-1.0)))
 
 
-def _best_rows(ranked: DataFrame) -> DataFrame:
-    """The best pair of each place, as features."""
-    return ranked.where("score = place_best").groupBy("place").agg(*(F.max(f).alias(f) for f in FEATURES))
+def _odds(weights: np.ndarray, features: list[str]) -> Column:
+    z = F.lit(float(weights[0]))
+    for w, f in zip(weights[1:], features, strict=True):
+        z = z + F.lit(float(w)) * F.col(f)
+    return F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -363,10 +412,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return np.r_[w[0] - (w[1:] * mean / sd).sum(), w[1:] / sd]
 
 
-def fit_upward(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``fit_logistic`` on those of FEATURES alone that speak for a match where they should; the worst of the others goes first."""
-    sign = np.array([-1.0 if f == "far_off" else 1.0 for f in FEATURES])
-    used = np.ones(len(FEATURES))
+def fit_upward(x: np.ndarray, y: np.ndarray, features: list[str]) -> np.ndarray:
+    """``fit_logistic`` on those features alone that speak for a match where they should; the worst of the others goes first."""
+    sign = np.array([-1.0 if f == "far_off" else 1.0 for f in features])
+    used = np.ones(len(features))
     while True:
         w = fit_logistic(x * used, y)
         w[1:] *= used
@@ -376,102 +425,132 @@ def fit_upward(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         used[against.argmin()] = 0
 
 
-def calibrate(real: DataFrame, decoys: DataFrame, rows: int = CALIBRATION_ROWS, upward: bool = False) -> np.ndarray:
-    """Logistic weights that tell the best pairs of real queries from those of as many decoys, on at most ``rows`` of each.
+def calibrate(best: DataFrame, features: list[str]) -> np.ndarray:
+    """Logistic weights that tell the best pairs of a sample of queries from those of the same queries as decoys.
 
-    upward: few samples are expected, so no feature may count against what it speaks for.
+    ``best`` (decoy and features) has at most a row for each of the CALIBRATION_ROWS queries of the sample and its decoy.
+    No feature may count against what it speaks for, as it might where few rows are to be told apart.
     """
-    x, y = [], []
-    for label, df in ((1.0, real), (0.0, decoys)):
-        for r in df.select(*FEATURES).limit(rows).collect():
-            x.append([float(v) for v in r])
-            y.append(label)
+    rows = best.select("decoy", *features).toPandas()
+    x, y = rows[features].to_numpy(float), (~rows["decoy"].to_numpy(bool)).astype(float)
     if len(set(y)) < 2:  # nothing to tell apart: any pair that comes so far is as good as its name
-        return np.array([-8.0, 12.0, *[0.0] * (len(FEATURES) - 1)])
-    return (fit_upward if upward else fit_logistic)(np.array(x), np.array(y))
+        return np.array([-8.0, *[12.0 if f in ("alike", "score") else 0.0 for f in features]]) if "alike" in features else np.array([0.0, *[1.0 if f == "score" else 0.0 for f in features]])
+    return fit_upward(x, y, features)
 
 
-def confidence(weights: np.ndarray) -> Column:
-    """1 - decoys / real queries at the same score, from the odds of the logistic model."""
-    z = F.lit(float(weights[0]))
-    for w, f in zip(weights[1:], FEATURES, strict=True):
-        z = z + F.lit(float(w)) * F.col(f)
-    return F.greatest(F.lit(0.0), 1 - F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+def with_gap(pairs: DataFrame) -> DataFrame:
+    """Pairs with a score, with those of the best of either side and the gap to the best of another spot.
+
+    A POI is a place's nearest if it is the best, or a twin of it: at the same spot with nearly the same name.
+    """
+    of_place, of_poi = Window.partitionBy("place", "decoy"), Window.partitionBy("poi", "decoy")
+    s = pairs.withColumns({"top": F.max(F.struct("score", "poi", "dlat", "dlon", "dsorted", "alike")).over(of_place), "poi_alike": F.max("alike").over(of_poi)})
+    apart = distance_m(F.col("dlat"), F.col("dlon"), F.col("top.dlat"), F.col("top.dlon"))
+    s = s.withColumn("apart", F.when(F.col("poi") == F.col("top.poi"), 0.0).otherwise(F.coalesce(apart, F.lit(float("inf")))))
+    other = F.max(F.when(F.col("apart") > TWIN_M, F.col("score"))).over(of_place)
+    named = 1 - F.levenshtein("dsorted", "top.dsorted") / F.greatest(F.length("dsorted"), F.length("top.dsorted"), F.lit(1))
+    twin = (F.col("apart") <= TWIN_M) & (named >= TWIN_NAMES) & (F.col("alike") >= F.col("top.alike") - TOP_GAP)
+    s = s.withColumns({"gap": F.least(F.lit(5.0), F.coalesce(F.col("top.score") - other, F.lit(5.0))), "is_nearest": (F.col("poi") == F.col("top.poi")) | twin, "is_top": F.col("poi") == F.col("top.poi")})
+    return s.drop("top", "dsorted")
+
+
+def decided(pairs: DataFrame, sampled: DataFrame, threshold: float, route: str) -> DataFrame:
+    """Mutually nearest pairs whose confidence reaches the threshold. ``sampled`` (place): the queries that have decoys.
+
+    The first model ranks: it is fitted on the pair of each query with the best BM25 score. The second is fitted on the
+    best pairs of that ranking, with their gap. The confidence is 1 - decoys / real queries at the same odds.
+    """
+    first = Window.partitionBy("place", "decoy").orderBy(F.desc("rank_by"), "poi")
+    sample = pairs.join(sampled, "place", "left_semi").withColumn("rank_by", F.col("bm25") * F.col("alike") + F.col("geo"))
+    best = sample.withColumn("__r", F.row_number().over(first)).where("__r = 1")
+    score = _odds(calibrate(best, FEATURES), FEATURES)
+    ranked = stored(with_gap(pairs.withColumn("score", score)))
+    odds = _odds(calibrate(ranked.where("is_top").join(sampled, "place", "left_semi"), ["score", "gap"]), ["score", "gap"])
+    sure = F.greatest(F.lit(0.0), 1 - F.exp(-odds))
+    mutual = F.col("is_nearest") & (F.col("alike") >= F.col("poi_alike") - TWIN_GAP)
+    out = ranked.where(~F.col("decoy") & mutual).withColumn("confidence", F.round(sure, 6)).where(F.col("confidence") >= threshold)
+    return out.select(F.col("place").alias("place_id"), F.col("poi").alias("poi_id"), "confidence", *FEATURES, "gap", "metres", "apart", F.lit(route).alias("route"))
 
 
 def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(place_id, poi_id, confidence, route and features): records of both tables that stand for one real place.
 
-    web: place_id, name, category, city, lat, lon, fetched_at; poi: osm_id, name, category, lat, lon, loaded_at. Of
-    several rows with a key the latest filled values count; keys, names and positions may be null, and records without a
-    name match nothing. A place or a POI may be in several pairs: all whose names are nearly as alike as the best of both sides.
-    route tells whether the pair was found by position (near) or by town; places that have neither are looked for among
-    all POIs, which counts as town.
+    web: place_id, name, category, city, website, lat, lon, fetched_at; poi: osm_id, name, category, lat, lon, loaded_at.
+    Of several rows with a key the latest filled values count; keys, names and positions may be null, and records without
+    a name match nothing. A place or a POI may be in several pairs: with all records that stand for its nearest.
+    Records that no attribute tells apart are matched through one. route tells whether the pair was found by position
+    (near) or by town; places that have neither are looked for among all POIs, which counts as town.
     """
-    from terrafold.session import checkpointed
-
-    sc = web.sparkSession.sparkContext
     town = F.nullif(F.lower(F.trim("city")), F.lit(""))
-    places = one_record(web, "place_id", ["name", "category", "city"], "fetched_at").where("name IS NOT NULL").withColumn("town", town).drop("city")
-    pois = one_record(poi, "osm_id", ["name", "category"], "loaded_at").where("name IS NOT NULL").withColumn("town", F.lit(None).cast("string"))
+    places = one_record(web, "place_id", ["name", "category", "city", "website"], "fetched_at").where("name IS NOT NULL").withColumn("city", town)
+    pois = one_record(poi, "osm_id", ["name", "category"], "loaded_at").where("name IS NOT NULL")
+    places, pois = (stored(copies(r, [c for c in r.columns if c != "id"])) for r in (places, pois))
+    all_places, all_pois = places.select("id", "rep"), pois.select("id", "rep")
+    places, pois = places.where("id = rep").drop("rep"), pois.where("id = rep").drop("rep")
     # without a city, a town that the name ends with is as good, to find the place by but not to doubt its position
     told = F.lower(F.regexp_extract("name", SAID_TOWN, 1))
-    cities = places.where("town IS NOT NULL").select(F.col("town").alias("said")).distinct()
-    places = places.withColumn("told", F.when(F.col("town").isNull(), told)).join(cities, F.col("told") == F.col("said"), "left").drop("told")
-    places = places.withColumnsRenamed({"town": "city"}).withColumn("town", F.coalesce("city", "said"))
-    places, pois = checkpointed(places), checkpointed(pois)
-    weights = sc.broadcast(bm25_weights(*gram_frequencies(pois, GRAM)))  # BUCKETS numbers
-    places, pois = named_grams(places, weights, GRAM, TAU), named_grams(pois, weights, GRAM, TAU)
-    towns = towns_of_cells(places)
+    cities = places.where("city IS NOT NULL").select(F.col("city").alias("said")).distinct()
+    places = places.withColumn("told", F.when(F.col("city").isNull(), told)).join(cities, F.col("told") == F.col("said"), "left").drop("told").withColumn("town", F.coalesce("city", "said"))
+    places = stored(with_terms(places))
+    pois = stored(with_terms(pois.withColumns({"town": F.lit(None).cast("string"), "website": F.lit(None).cast("string")})).drop("town", "website", "host", "host_key"))
+    weights = web.sparkSession.sparkContext.broadcast(Weights(pois))  # BUCKETS numbers
+    towns = stored(towns_of_cells(places))
+    places = stored(_located(places, towns))
+
+    # queries by position, at up to two of them, and some again as decoys beside where they are
+    at = ["id", "key", "sorted_key", "host_key", "category", "terms", "host"]
+    near = places.where("lat IS NOT NULL").select(*at, "lat", "lon").unionByName(places.where("turned_lat IS NOT NULL").select(*at, F.col("turned_lat").alias("lat"), F.col("turned_lon").alias("lon")))
+    sampled = stored(places.where("lat IS NOT NULL").orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).select(F.col("id").alias("place")))
+    moved = near.join(sampled.withColumnRenamed("place", "id"), "id", "left_semi").withColumn("lat", F.col("lat") + F.when(F.col("lat") > 0, -DECOY_DEG).otherwise(DECOY_DEG))
+    asked = near.withColumn("decoy", F.lit(False)).unionByName(moved.withColumn("decoy", F.lit(True)))
+    asked = asked.withColumn("cell", F.explode(_cells_within(F.col("lat"), F.col("lon"), CELL_DEG, NEAR_M)))
+    posted = pois.where("lat IS NOT NULL").withColumn("cell", _cell(F.col("lat"), F.col("lon"), CELL_DEG))
+    found = stored(scored(retrieved(asked, posted, weights)))
+    lift = stored(category_lift(found))
+    by_position = decided(with_lift(found, lift), sampled, threshold, "near")
+
+    # the others by town, some again as decoys in another town
+    lost = places.where("lat IS NULL")
+    asks = lost.select(*at, "town", F.explode(F.when(F.size("asks") > 0, F.col("asks")).otherwise(F.array(F.lit("")))).alias("ask"), (F.size("asks") == 0).alias("whole"))
+    sampled = stored(lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).select(F.col("id").alias("place"), "town"))
+    elsewhere = lost.join(sampled.withColumnRenamed("place", "id").drop("town"), "id", "left_semi").join(like_towns(pois, towns), "town").select(*at, "town", F.col("next").alias("ask"), F.lit(False).alias("whole"))
+    none = F.lit(None).cast("double")
+    asked = asks.withColumn("decoy", F.lit(False)).unionByName(elsewhere.withColumn("decoy", F.lit(True))).withColumns({"lat": none, "lon": none, "cell": F.xxhash64("ask")})
+    wanted = stored(asks.select("ask").union(elsewhere.select("ask")).distinct())
+    posted = pois.where("lat IS NOT NULL").withColumn("tcell", _cell(F.col("lat"), F.col("lon"), TOWN_DEG)).join(towns, "tcell").drop("tcell").withColumnRenamed("town", "ask")
+    posted = posted.unionByName(pois.withColumn("ask", F.lit(""))).join(wanted, "ask", "left_semi").withColumn("cell", F.xxhash64("ask"))
+    found = stored(with_lift(scored(retrieved(asked, posted, weights)), lift))
+    by_town = decided(found, sampled.where("town IS NOT NULL").select("place"), threshold, "town")
+    # decoys are put to one town, so of the index over all POIs only what has no rival elsewhere is taken
+    everywhere = asks.where("whole").select(F.col("id").alias("place_id"), "whole").distinct()
+    by_town = by_town.join(everywhere, "place_id", "left").where(F.col("whole").isNull() | (F.col("gap") >= WHOLE_GAP)).drop("whole")
+
+    pairs = by_position.unionByName(by_town)
+    pairs = pairs.join(all_places.withColumnsRenamed({"id": "own_place", "rep": "place_id"}), "place_id").drop("place_id").withColumnRenamed("own_place", "place_id")
+    return pairs.join(all_pois.withColumnsRenamed({"id": "own_poi", "rep": "poi_id"}), "poi_id").drop("poi_id").withColumnRenamed("own_poi", "poi_id")
+
+
+def _located(places: DataFrame, towns: DataFrame) -> DataFrame:
+    """Places with the position to look at (lat, lon; null if it can't be trusted), a second one (turned_lat, turned_lon), and the towns to ask instead.
+
+    A position is doubted if it is not in the record's city, or if records of several names have it to the last digit.
+    One that is in the city once exchanged is exchanged; without a city it is looked for both ways.
+    """
     own = towns.select(F.col("town").alias("t1"), F.col("tcell").alias("c1"))
     turned = towns.select(F.col("town").alias("t2"), F.col("tcell").alias("c2"))
     swapped_ok = usable_position(F.col("lon"), F.col("lat"))
     places = places.join(own, (F.col("town") == F.col("t1")) & (_cell(F.col("lat"), F.col("lon"), TOWN_DEG) == F.col("c1")), "left")
     places = places.join(turned, (F.col("town") == F.col("t2")) & (F.when(swapped_ok, _cell(F.col("lon"), F.col("lat"), TOWN_DEG)) == F.col("c2")), "left")
-    crowd = places.where("lat IS NOT NULL").groupBy(F.col("lat").alias("y"), F.col("lon").alias("x")).agg(F.count_distinct("key").alias("names")).where(F.col("names") >= SHARED_POSITION)
+    crowd = places.where("lat IS NOT NULL").groupBy(F.col("lat").alias("y"), F.col("lon").alias("x")).agg(F.min("key").alias("k1"), F.max("key").alias("k2"), F.approx_count_distinct("key").alias("names")).where("k1 <> k2")
+    crowd = crowd.where(F.col("names") >= SHARED_POSITION).select("y", "x", "names")
     places = places.join(crowd, (F.col("lat") == F.col("y")) & (F.col("lon") == F.col("x")), "left")
     trusted = F.col("lat").isNotNull() & F.col("names").isNull() & (F.col("city").isNull() | F.col("t1").isNotNull())
     lat = F.when(trusted, F.col("lat")).when(F.col("t2").isNotNull(), F.col("lon"))
     lon = F.when(trusted, F.col("lon")).when(F.col("t2").isNotNull(), F.col("lat"))
-    # no city tells whether the position of such a place is exchanged, so it is looked for at both
     both = trusted & F.col("city").isNull() & swapped_ok
-    turned_at = {"turned_lat": F.when(both, F.col("lon")), "turned_lon": F.when(both, F.col("lat"))}
     # a crowded position still tells the towns around
     around = towns.groupBy(F.col("tcell").alias("c3")).agg(F.array_sort(F.collect_set("town")).alias("around"))  # bounded by the towns of a cell
     places = places.join(around, _cell(F.col("lat"), F.col("lon"), TOWN_DEG) == F.col("c3"), "left")
     asks = F.when(F.col("town").isNotNull(), F.array("town")).otherwise(F.coalesce("around", F.array().cast("array<string>")))
-    places = places.withColumns({"lat": lat, "lon": lon, **turned_at, "asks": F.when(lat.isNull(), asks)})
-    places = checkpointed(places.drop("t1", "c1", "t2", "c2", "y", "x", "names", "c3", "around", "city", "said"))
-    pois = pois.withColumns({"turned_lat": F.lit(None).cast("double"), "turned_lon": F.lit(None).cast("double")})
-    pois = checkpointed(pois)
-    # only different records are compared; what holds for one holds for its copies
-    all_places, all_pois = copies(places), copies(pois)
-    places, pois = checkpointed(_representatives(places, all_places)), checkpointed(_representatives(pois, all_pois))
-
-    near = checkpointed(_scored(_candidates_near(places, pois), places, pois))
-    lift = checkpointed(category_lift(near))
-    ranked = checkpointed(_ranked(near, lift))
-    sample = places.where("lat IS NOT NULL").orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS)
-    moved = sample.withColumns({y: F.col(y) + F.when(F.col(y) > 0, -DECOY_DEG).otherwise(DECOY_DEG) for y in ("lat", "turned_lat")})
-    decoys = _ranked(_scored(_candidates_near(moved, pois), moved, pois), lift)
-    real = _best_rows(ranked.join(sample.select(F.col("id").alias("place")), "place", "left_semi"))
-    sure = checkpointed(_accepted(ranked, calibrate(real, _best_rows(decoys)), threshold).withColumn("route", F.lit("near")))
-
-    lost = places.where("lat IS NULL")
-    by_town = checkpointed(_ranked(_scored(_candidates_town(lost, pois, towns), lost, pois), lift))
-    ring = like_towns(pois, towns)
-    elsewhere = lost.orderBy(F.xxhash64("id")).limit(CALIBRATION_ROWS).join(ring, "town").drop("town").withColumn("asks", F.array("next")).withColumnRenamed("next", "town")
-    strayed = _ranked(_scored(_candidates_town(elsewhere, pois, towns), elsewhere, pois), lift)
-    whole = lost.where(F.size("asks") == 0).select(F.col("id").alias("place"), F.lit(True).alias("whole"))
-    # decoys are put to one town, so of the index over all POIs only what has no rival elsewhere is taken
-    told_apart = by_town.join(whole, "place", "left").where(F.col("whole").isNull() | (F.col("gap") >= WHOLE_GAP)).drop("whole")
-    found = _accepted(told_apart, calibrate(_best_rows(by_town), _best_rows(strayed), upward=True), threshold).withColumn("route", F.lit("town"))
-    pairs = sure.unionByName(found)
-    pairs = pairs.join(all_places.withColumnsRenamed({"id": "own_place", "rep": "place_id"}), "place_id").drop("place_id").withColumnRenamed("own_place", "place_id")
-    return pairs.join(all_pois.withColumnsRenamed({"id": "own_poi", "rep": "poi_id"}), "poi_id").drop("poi_id").withColumnRenamed("own_poi", "poi_id")
-
-
-def _accepted(ranked: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
-    """Mutually near-best pairs whose confidence reaches the threshold."""
-    mutual = (F.col("alike") >= F.col("place_name") - PLACE_GAP) & (F.col("alike") >= F.col("poi_name") - POI_GAP)
-    return ranked.where(mutual).select(F.col("place").alias("place_id"), F.col("poi").alias("poi_id"), F.round(confidence(weights), 6).alias("confidence"), *FEATURES, "metres", "apart").where(F.col("confidence") >= threshold)
+    new = {"lat": lat, "lon": lon, "turned_lat": F.when(both, F.col("lon")), "turned_lon": F.when(both, F.col("lat")), "asks": F.when(lat.isNull(), asks)}
+    return places.withColumns(new).drop("t1", "c1", "t2", "c2", "y", "x", "names", "c3", "around", "city", "said", "name", "website")

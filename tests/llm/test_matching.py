@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from terrafold.llm import matching
 
@@ -119,33 +120,81 @@ def test_near_route_meets_short_and_reordered_names(spark):
     assert {(5000 + k, 5000 + k) for k, _, _ in odd} <= got
 
 
-def test_pruning_loses_no_pair_above_the_share():
+def frame_of(pool):
+    terms = [matching.name_terms(matching.name_words(n)) for n in pool]
+    n = len(pool)
+    return pa.table({"terms": pa.array(terms, pa.list_(pa.int32())), "id": pa.array(range(n), pa.int64())}), terms
+
+
+def weights_of(terms):
+    w = object.__new__(matching.Weights)
+    df = np.zeros(matching.BUCKETS)
+    for t in terms:
+        df[np.array(t) // (matching.MOST_TF + 1)] += 1
+    w.idf = np.where(df > 0, np.log1p((len(terms) - df + 0.5) / (df + 0.5)), 0).astype(np.float32)
+    w.mean_length = float(np.mean([sum(x % (matching.MOST_TF + 1) for x in t) for t in terms]))
+    return w
+
+
+def test_postings_lose_no_pair_above_the_floor_and_scores_are_bm25():
     r = random.Random(5)
-    pool = names(6, 80)
-    grams = [matching.gram_buckets(matching.name_words(n), 3) for n in pool]
-    df = np.zeros(matching.BUCKETS, np.int64)
-    for g in grams:
-        df[g] += 1
-    w = matching.bm25_weights(df, len(pool))
-
-    def rare(g, tau):
-        own = w[g]
-        order = np.lexsort((g, -own))
-        k = int(np.searchsorted(-(own.sum() - np.cumsum(own[order])), -tau * own.sum(), "right")) + 1
-        return set(g[order[:k]].tolist())
-
-    for tau in (0.25, 0.4, 0.7):
-        for _ in range(800):
-            a, b = r.choice(grams), r.choice(grams)
-            shared = w[np.intersect1d(a, b)].sum()
-            if shared >= tau * max(w[a].sum(), w[b].sum()):
-                assert rare(a, tau) & rare(b, tau)
+    pool = names(6, 120) + ["Bobobobobo Bobo", "Aa", "x"]
+    table, terms = frame_of(pool)
+    w = weights_of(terms)
+    shards = np.array([r.randrange(3) for _ in pool])
+    index = matching.Index(table, shards, w)
+    bucket = np.concatenate([np.array(t) // (matching.MOST_TF + 1) for t in terms])
+    query = np.repeat(np.arange(len(pool)), [len(t) for t in terms])
+    q, d = index.candidates(shards, query, bucket)
+    score, of_query, of_doc = index.scores(q, d, query, bucket, len(pool))
+    got = {(a, b): s for a, b, s in zip(q.tolist(), d.tolist(), score.tolist())}
+    for a in range(len(pool)):
+        for b in range(len(pool)):
+            parts = {}
+            length = sum(x % 4 for x in terms[b])
+            for x in terms[b]:
+                g, tf = divmod(x, 4)
+                parts[g] = float(w.idf[g]) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / w.mean_length))
+            shared = sum(v for g, v in parts.items() if g in {x // 4 for x in terms[a]})
+            if shards[a] == shards[b] and shared >= matching.FLOOR * sum(parts.values()):
+                assert abs(got[a, b] - shared) < 1e-4
+            if (a, b) in got:
+                assert shards[a] == shards[b] and abs(got[a, b] - shared) < 1e-4
+    assert all(abs(x - 1) < 1e-6 for x, a, b in zip(of_doc, q, d) if a == b) and all(abs(x - 1) < 1e-6 for x, a, b in zip(of_query, q, d) if a == b)
+
+
+def test_split_shards_find_the_same(spark):
+    real, r = town(41, 300)
+    pois = [poi(i, n, la, lo) for i, n, la, lo in real]
+    places = [web(i - 1000, noisy(n, r), la, lo) for i, n, la, lo in real[:150]] + [web(i - 1000, n, None, None) for i, n, _, _ in real[200:240]]
+    w, p = spark.createDataFrame(places, W), spark.createDataFrame(pois, P)
+    whole = {(x.place_id, x.poi_id) for x in matching.match_places(w, p).collect()}
+    retrieved, block = matching.retrieved, matching.BLOCK_ROWS
+    try:
+        matching.retrieved = lambda q, d, weights: retrieved(q, d, weights, shard_rows=7)
+        matching.BLOCK_ROWS = 11
+        assert {(x.place_id, x.poi_id) for x in matching.match_places(w, p).collect()} == whole and len(whole) > 150
+    finally:
+        matching.retrieved, matching.BLOCK_ROWS = retrieved, block
+
+
+def test_a_website_spells_the_name(spark):
+    real, r = town(51, 200)
+    pois = [poi(i, n, la, lo) for i, n, la, lo in real]
+    places = [web(i - 1000, n, la, lo) for i, n, la, lo in real[:100]]
+    cut = [(i, "".join(n.split()).lower().replace("é", "e"), la, lo) for i, n, la, lo in real[150:180]]
+    places += [(i - 1000, "Our Shop", "shops", "Town", "X", None, f"https://www.{h}77.example/menu", la, lo, None, NOW, 1, "k") for i, h, la, lo in cut]
+    got = {(x.place_id, x.poi_id) for x in matching.match_places(spark.createDataFrame(places, W), spark.createDataFrame(pois, P)).collect()}
+    assert sum((i - 1000, i) in got for i, *_ in cut) >= 28
 
 
 def test_words():
-    assert matching.name_words("The Rusty   Kettle, since 1907 (Oldtown)", "Oldtown") == ["rusty", "kettle"]
-    assert matching.name_words("R0kbund CAFÉ's") == ["rokbund", "cafe"] and matching.name_words(None) == [] and matching.name_words("The") == ["the"]
-    assert matching.name_words("L'Œuf Doré") == ["l", "oeuf", "dore"]
+    assert matching.name_words("The Rusty   Kettle (Oldtown)", "Oldtown") == ["the", "rusty", "kettle"]
+    assert matching.name_words("R_kbund CAFÉ's") == ["r", "kbund", "cafe", "s"] and matching.name_words(None) == [] and matching.name_words("The") == ["the"]
+    assert matching.name_words("L'Œuf Doré") == ["l", "oeuf", "dore"] and matching.name_words("Oldtown", "Oldtown") == ["oldtown"]
+    assert matching.host_word("https://www.lufdore.example/menu") == "lufdore" and matching.host_word(" HTTP://a.b-long.co:80") == "long"
+    assert matching.host_word(None) == matching.host_word("") == matching.host_word("///") == ""
+    assert len(set(matching.name_terms(["rusty", "kettle"])) ^ set(matching.name_terms(["kettle", "rusty"]))) <= 4
 
 
 def test_logistic():
