@@ -36,10 +36,14 @@ K1, B, MOST_TF = 1.2, 0.75, 3
 FLOOR, TOP, MARGIN = 0.12, 8, 0.6
 #: Records farther apart are not near.
 NEAR_M = 180.0
+#: Nearness adds up to so much to a score: the logarithm of the ratio of the area of NEAR_M to that of 15 m.
+NEARNESS = 2 * float(np.log(NEAR_M / 15))
 CELL_DEG = 0.004
 TOWN_DEG = 0.1
 #: Records of one side of a shard that are worked on together; rows of a block of shards.
 SHARD_ROWS, BLOCK_ROWS = 20_000, 20_000
+#: Sums and postings that are worked on together.
+LOT = 2_000_000
 #: A cell belongs to a town that at least this share of the town's records are in.
 TOWN_SHARE = 0.01
 #: Most queries that a calibration looks at, and how far the decoys are moved.
@@ -237,42 +241,72 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Postings of the POIs of a block of shards, by (shard, term); ``shards`` are small numbers."""
 
-    def __init__(self, rows: pa.RecordBatch | pa.Table, shards: np.ndarray, weights: Weights):
+    def __init__(self, rows: pa.Table, shards: np.ndarray, weights: Weights, n_shards: int):
         doc, packed = _flat(rows["terms"].combine_chunks())
         bucket, tf = packed // (MOST_TF + 1), packed % (MOST_TF + 1)
         length = np.bincount(doc, tf, len(shards))
         weight = weights.of_terms(tf, bucket, length[doc])
         self.whole = np.bincount(doc, weight, len(shards))
         self.weights = weights
+        # documents of a shard lie together: where each shard begins, and the place of a document in it
+        self.member = np.argsort(shards, kind="stable")
+        self.begin = np.r_[0, np.cumsum(np.bincount(shards, minlength=n_shards))]
+        self.local = np.empty(len(shards), np.int64)
+        self.local[self.member] = np.arange(len(shards)) - self.begin[shards[self.member]]
         # heaviest terms first in each document; those after which less than FLOOR of its weight is left need no posting
         order = np.lexsort((bucket, -weight, doc))
         before = np.cumsum(weight[order]) - weight[order]
         begins = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(shards)))][doc[order]]
         left = self.whole[doc[order]] - (before - before[begins]) if len(doc) else before
         posted = order[left >= FLOOR * self.whole[doc[order]] * (1 - 1e-9)]
+        self.unposted = self.whole - np.bincount(doc[posted], weight[posted], len(shards))
         posted = posted[np.argsort((shards[doc[posted]] << BITS) | bucket[posted], kind="stable")]
-        self.posted, self.posted_doc = (shards[doc[posted]] << BITS) | bucket[posted], doc[posted]
+        self.posted, self.posted_doc, self.posted_weight = (shards[doc[posted]] << BITS) | bucket[posted], doc[posted], weight[posted]
         order = np.argsort((doc << BITS) | bucket, kind="stable")
         self.held, self.held_weight = ((doc << BITS) | bucket)[order], weight[order]
 
-    def candidates(self, shards: np.ndarray, query: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, doc) of all pairs of a shard that share at least FLOOR of the document's weight, and some others."""
+    def candidates(self, shards: np.ndarray, query: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, doc) of all pairs of a shard that can be among the best of a query, in lots of bounded size.
+
+        The weights of the terms posted are summed; what is not posted is at most the rest. A pair is left out if with
+        that rest, and the most that nearness adds, it is below both the TOP-th best and MARGIN of the best.
+        """
         key = (shards[query] << BITS) | bucket
-        which, at = _ranges(np.searchsorted(self.posted, key), np.searchsorted(self.posted, key, "right"))
-        pair = np.unique((query[which] << 32) | self.posted_doc[at])
-        return pair >> 32, pair & 0xFFFFFFFF
+        lo, hi = np.searchsorted(self.posted, key), np.searchsorted(self.posted, key, "right")
+        size = self.begin[shards + 1] - self.begin[shards]  # documents that a query may meet
+        work = np.cumsum(size + np.bincount(query, hi - lo, len(shards)))
+        lot = np.searchsorted(work, np.arange(LOT, (work[-1] if len(work) else 0) + LOT, LOT))  # the last query of each lot
+        of_query = np.argsort(query, kind="stable")
+        ends = np.searchsorted(query[of_query], np.arange(len(shards) + 1))
+        at = 0
+        for end in np.unique(np.minimum(lot + 1, len(shards))):
+            terms = of_query[ends[at] : ends[end]]
+            offset = np.r_[0, np.cumsum(size[at:end])]
+            which, post = _ranges(lo[terms], hi[terms])
+            asked = query[terms][which]
+            sums = np.bincount(offset[asked - at] + self.local[self.posted_doc[post]], self.posted_weight[post], offset[-1])
+            cell = np.flatnonzero(sums)
+            if len(cell):
+                q = np.searchsorted(offset, cell, "right") - 1
+                order = np.argsort(q - sums[cell] / (sums.max() * 1.001), kind="stable")
+                q, part, cell = q[order], sums[cell[order]], cell[order]
+                first = np.searchsorted(q, q)
+                last = np.searchsorted(q, q, "right")
+                doc = self.member[self.begin[shards[at + q]] + cell - offset[q]]
+                least = np.where(last - first < TOP, 0.0, np.minimum(part[np.minimum(first + TOP, last) - 1], MARGIN * part[first]))
+                keep = part + self.unposted[doc] + NEARNESS >= least
+                yield at + q[keep], doc[keep]
+            at = end
 
     def scores(self, q: np.ndarray, d: np.ndarray, query: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(BM25 score, share of the query's weight, share of the document's) of pairs, over all their terms."""
-        order = np.argsort(query, kind="stable")
-        bucket, ends = bucket[order], np.r_[0, np.cumsum(np.bincount(query, minlength=n))]
-        idf = self.weights.idf[bucket]
+        """(BM25 score, share of the query's weight, share of the document's) of pairs, over all their terms; ``query`` is sorted."""
+        ends = np.searchsorted(query, np.arange(n + 1))
         pair, at = _ranges(ends[q], ends[q + 1])
-        key = (d[pair] << BITS) | bucket[at]
+        key, idf = (d[pair] << BITS) | bucket[at], self.weights.idf[bucket[at]]
         place = np.minimum(np.searchsorted(self.held, key), max(len(self.held) - 1, 0))
         hit = self.held[place] == key
         score = np.bincount(pair, np.where(hit, self.held_weight[place], 0), len(q))
-        shared, whole = np.bincount(pair, np.where(hit, idf[at], 0), len(q)), np.bincount(pair, idf[at], len(q))
+        shared, whole = np.bincount(pair, np.where(hit, idf, 0), len(q)), np.bincount(pair, idf, len(q))
         return score, shared / np.maximum(whole, 1e-9), score / np.maximum(self.whole[d], 1e-9)
 
 
@@ -283,22 +317,20 @@ def _block(rows: pa.Table, weights: Weights) -> pa.Table | None:
     docs, asked = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc))
     if not len(docs) or not len(asked):
         return None
-    index, own = Index(docs, shard[is_doc], weights), shard[~is_doc]
+    index, own = Index(docs, shard[is_doc], weights, int(shard.max()) + 1), shard[~is_doc]
     found = []
     for field in ("terms", "host"):
         query, packed = _flat(asked[field].combine_chunks())
         bucket = packed // (MOST_TF + 1)
-        # queries of about so many looked-up postings together
-        for part in np.array_split(np.arange(len(asked)), max(1, len(asked) // 4_000)):
-            some = (query >= part[0]) & (query <= part[-1])
-            q, d = index.candidates(own, query[some], bucket[some])
-            if len(q):
-                found.append((q, d, *index.scores(q, d, query[some], bucket[some], len(asked))))
+        for q, d in index.candidates(own, query, bucket):
+            for at in range(0, len(q), LOT // 32):
+                some = slice(at, at + LOT // 32)
+                found.append((q[some], d[some], *index.scores(q[some], d[some], query, bucket, len(asked))))
     if not found:
         return None
     q, d, score, of_query, of_doc = (np.concatenate(c) for c in zip(*found, strict=True))
-    # of the two fields of a query the one that fits the document better counts
-    order = np.lexsort((-(of_query + of_doc), d, q))
+    # of the two fields of a query the one that says more counts
+    order = np.lexsort((-score, d, q))
     q, d, score, of_query, of_doc = (c[order] for c in (q, d, score, of_query, of_doc))
     first = np.r_[True, (np.diff(q) != 0) | (np.diff(d) != 0)]
     at = [np.asarray(t[c]).astype(np.float64) for t, c in ((asked, "lat"), (docs, "lat"), (asked, "lon"), (docs, "lon"))]

@@ -136,19 +136,24 @@ def weights_of(terms):
     return w
 
 
-def test_postings_lose_no_pair_above_the_floor_and_scores_are_bm25():
+def test_postings_lose_none_of_the_best_and_scores_are_bm25(monkeypatch):
     r = random.Random(5)
     pool = names(6, 120) + ["Bobobobobo Bobo", "Aa", "x"]
     table, terms = frame_of(pool)
     w = weights_of(terms)
     shards = np.array([r.randrange(3) for _ in pool])
-    index = matching.Index(table, shards, w)
+    index = matching.Index(table, shards, w, 3)
     bucket = np.concatenate([np.array(t) // (matching.MOST_TF + 1) for t in terms])
     query = np.repeat(np.arange(len(pool)), [len(t) for t in terms])
-    q, d = index.candidates(shards, query, bucket)
+    lots = list(index.candidates(shards, query, bucket))
+    monkeypatch.setattr(matching, "LOT", 300)
+    small = list(index.candidates(shards, query, bucket))
+    assert len(small) > 20 and {(a, b) for q, d in lots for a, b in zip(q, d)} == {(a, b) for q, d in small for a, b in zip(q, d)}
+    q, d = (np.concatenate(c) for c in zip(*lots))
     score, of_query, of_doc = index.scores(q, d, query, bucket, len(pool))
     got = {(a, b): s for a, b, s in zip(q.tolist(), d.tolist(), score.tolist())}
     for a in range(len(pool)):
+        full = []
         for b in range(len(pool)):
             parts = {}
             length = sum(x % 4 for x in terms[b])
@@ -157,9 +162,13 @@ def test_postings_lose_no_pair_above_the_floor_and_scores_are_bm25():
                 parts[g] = float(w.idf[g]) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / w.mean_length))
             shared = sum(v for g, v in parts.items() if g in {x // 4 for x in terms[a]})
             if shards[a] == shards[b] and shared >= matching.FLOOR * sum(parts.values()):
-                assert abs(got[a, b] - shared) < 1e-4
+                full.append((shared, b))
             if (a, b) in got:
                 assert shards[a] == shards[b] and abs(got[a, b] - shared) < 1e-4
+        full.sort(reverse=True)
+        for k, (shared, b) in enumerate(full):
+            if k < matching.TOP or shared >= matching.MARGIN * full[0][0]:
+                assert (a, b) in got
     assert all(abs(x - 1) < 1e-6 for x, a, b in zip(of_doc, q, d) if a == b) and all(abs(x - 1) < 1e-6 for x, a, b in zip(of_query, q, d) if a == b)
 
 
