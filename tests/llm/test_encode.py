@@ -45,3 +45,26 @@ def test_column(spark):
     assert by[1] == [[]] and by[2] == [[]] and sorted(map(len, by[3])) == [1, 40001] and by[None] == [ENC.core.encode_ordinary("y")]
     assert encode.encode_column(df.limit(0)).collect() == []
     assert {r.n_tokens for r in encode.token_counts(df, ["doc_id"]).collect()} == {0, 1, 40001}
+
+
+def test_long_texts_are_encoded_by_many_tasks(spark):
+    r = random.Random(8)
+    texts = [
+        "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "a" * 2500, "漢字かな交じり文" * 120, " " * 700 + "x", "word and word, " * 90, "'" * 300 + "s" * 300,
+        "".join(r.choice(["ab", "'s ", "12", "漢", "  ", "\n"]) for _ in range(900)), "ACGT" * 400, "short", "", None,
+    ]
+    df = spark.createDataFrame([(i % 9, t, i) for i, t in enumerate(texts)], "doc_id long, text string, uid long")
+    got = sorted((x.doc_id, x.ids) for x in encode.encode_column(df, spread=120, far_leaf=64).collect())
+    assert got == sorted((i % 9, ENC.core.encode_ordinary(t or "")) for i, t in enumerate(texts))
+    back = encode.decode_column(encode.encode_column(df.where("uid >= 0 AND text IS NOT NULL"), spread=120, far_leaf=64)).collect()
+    assert sorted((x.doc_id, x.text) for x in back) == sorted((i % 9, t) for i, t in enumerate(texts) if t is not None)
+
+
+def test_a_window_grows_until_tokens_stay():
+    r = random.Random(2)
+    for alphabet in ("a", "ab", "the", "漢字"):
+        text = "".join(r.choice(alphabet) for _ in range(4000))
+        pieces = [ENC.piece(text[i : i + 500], i > 0, i < 3500) for i in range(0, 4000, 500)]
+        while len(pieces) > 1:
+            pieces = [ENC.join(a, b, True) for a, b in zip(pieces[::2], pieces[1::2], strict=True)]
+        assert pieces[0].ids.tolist() == ENC.core.encode_ordinary(text) and pieces[0].single
