@@ -10,6 +10,8 @@ from terrafold.operators import features, network, osm, search, shred
 from terrafold.plans.problem_queries import P5_FLAT
 from terrafold.plans.registry import Registry
 from terrafold.plans.scalar_queries import _CATEGORY, _CLASS, _LINES, _TAGS, _WAY_USE, MEAN, RADIUS, _r, _tagged_nodes, _way_kinds, dist_sql
+from terrafold.session import local_path, shared_dir
+from terrafold.sources import pbf
 from terrafold.sources.fixtures import view
 
 R = Registry()
@@ -67,13 +69,21 @@ def missing_refs(spark: SparkSession, d: str) -> DataFrame:
 SELECT (SELECT count(*) FROM n WHERE osm_node_id IN (SELECT node_id FROM hw)) AS n_nodes, (SELECT count(*) FROM s) AS n_segments, (SELECT count(category) FROM c) AS n_pois,
   (SELECT count(DISTINCT node_id) FROM hw WHERE node_id NOT IN (SELECT osm_node_id FROM n)) AS n_missing""")
 def pbf_read(spark: SparkSession, d: str) -> DataFrame:
-    """What a whole conversion of raw nodes and ways comes to."""
-    return osm.summary(_nodes(spark, d), _ways(spark, d))
+    """What a whole conversion of nodes and ways comes to that are written as PBF extracts and read again."""
+    path = f"{local_path(shared_dir(spark))}/pbf_read"
+    pbf.write_pbf(_nodes(spark, d), _ways(spark, d), path)
+    read = pbf.read_pbf(spark, path)
+    return osm.summary(pbf.nodes(read), pbf.ways(read))
 
 
 @R.add("""SELECT way_osm_id AS osm_id, k AS tag_key, v AS tag_value FROM (SELECT way_osm_id, 'highway' AS k, highway AS v FROM way_tags UNION ALL SELECT way_osm_id, 'maxspeed', maxspeed FROM way_tags) WHERE v IS NOT NULL""")
 def csv_tags(spark: SparkSession, d: str) -> DataFrame:
-    return _ways(spark, d).select("osm_id", F.explode("tags").alias("tag_key", "tag_value"))
+    """All tags of ways, dumped as CSV lines to the shared folder and read again."""
+    path = f"{shared_dir(spark)}/csv_tags"
+    form = {"quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "nullValue": "\\N"}
+    tags_ = _ways(spark, d).select("osm_id", F.explode("tags").alias("tag_key", "tag_value"))
+    tags_.write.mode("overwrite").options(**form).csv(path)
+    return spark.read.schema(tags_.schema).options(**form).csv(path)
 
 
 @R.add("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}', '{p}')" for c, t, p in search.CATALOG) + ") AS t(country, city, path)")

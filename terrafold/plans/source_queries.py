@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrafold.plans.network_queries import _nodes, _ways
 from terrafold.plans.registry import Registry
-from terrafold.session import shared_dir
+from terrafold.session import local_path, shared_dir
 from terrafold.sources import binary
 from terrafold.sources.fixtures import view
 from terrafold.sources.mapstore import MapStore
@@ -20,7 +20,7 @@ _SEGMENTS = "SELECT row_id AS osm_id, category, max_speed_kph, coalesce(name, ''
 
 
 def _folder(spark: SparkSession) -> str:
-    return shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    return local_path(shared_dir(spark))
 
 
 def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

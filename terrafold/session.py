@@ -41,6 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return told or sc._jsc.sc().getCheckpointDir().get()
 
 
+def local_path(path: str) -> str:
+    """A path of the local file system without its scheme; others as they are."""
+    return path.removeprefix("file://").removeprefix("file:")
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

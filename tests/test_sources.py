@@ -24,8 +24,23 @@ def test_round_trip_and_store(spark, tmp_path):
     assert not store.load(str(tmp_path / "none.streets.bin")) and store.path == path
     store.close()
     assert not spark.catalog.tableExists("map_places")
-    open(path, "wb").write(b"nonsense" * 8)
-    assert not store.load(path)
+    one = str(tmp_path / "one.streets.bin")
+    binary.joined(path, one)
+    binary.joined(binary.places_path(path), binary.places_path(one))
+    assert sorted(map(tuple, binary.read_nodes(spark, one).collect())) == [(1, 1.5, -2.5), (2, 0.0, 180.0)]
+    assert binary.read_segments(spark, one).count() == 3 and binary.read_places(spark, binary.places_path(one)).count() == 2 and store.load(one)
+    open(one, "wb").write(b"nonsense" * 8)
+    assert not MapStore(spark).load(one)
+
+
+def test_many_files_of_a_map(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(binary, "RECORDS_PER_FILE", 7)
+    n = spark.range(100).selectExpr("id AS osm_id", "id / 2D AS lat", "0D AS lon").repartition(3)
+    s = spark.range(50).selectExpr("id AS osm_id", "1 AS category", "CAST(2 AS FLOAT) AS max_speed_kph", "'x' AS name", "array(id, id + 1) AS node_refs").repartition(2)
+    path = str(tmp_path / "m.streets.bin")
+    assert binary.write_streets(n, s, path) == (100, 50) == binary.write_streets(n, s, path)
+    assert binary.read_nodes(spark, path).rdd.getNumPartitions() > 5
+    assert sorted(r.osm_id for r in binary.read_nodes(spark, path).collect()) == list(range(100)) and sorted(r.node_refs[1] for r in binary.read_segments(spark, path).collect()) == list(range(1, 51))
 
 
 def test_empty_files(spark, tmp_path):
@@ -122,3 +137,15 @@ def test_counts_kept_by_a_stream(spark, tmp_path, again):
             counts.apply(df, k)
     assert counts.batches(spark) == [1, 2]
     assert sorted(map(tuple, counts.state(spark).collect())) == [(1, 2, 0), (2, 1, 0)]
+
+
+def test_pbf_is_written_and_read_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pbf, "BLOCK_ENTITIES", 3)
+    n = spark.createDataFrame([(i, i / 8 - 3, -i / 4, {"name": f"n{i}", "": "x"} if i % 3 else {}) for i in range(20)] + [(99, None, 1.0, {"a": "b"}), (-5, 89.5, -179.25, None)], "osm_id long, lat double, lon double, tags map<string,string>")
+    w = spark.createDataFrame([(7, [5, 2, 9], {"highway": "primary", "name": "Ü"}), (8, None, None), (9, [1, None, 3], {})], "osm_id long, node_refs array<long>, tags map<string,string>")
+    path = str(tmp_path / "x")
+    assert pbf.write_pbf(n, w, path) >= 2 and pbf.write_pbf(n, w, path) >= 2
+    read = pbf.read_pbf(spark, path)
+    got = {r.osm_id: (round(r.lat, 6), round(r.lon, 6), r.tags) for r in pbf.nodes(read).collect()}
+    assert got == {i: (i / 8 - 3, -i / 4, {"name": f"n{i}"} if i % 3 else {}) for i in range(20)} | {-5: (89.5, -179.25, {})}
+    assert sorted((r.osm_id, r.node_refs, r.tags) for r in pbf.ways(read).collect()) == [(7, [5, 2, 9], {"highway": "primary", "name": "Ü"}), (8, [], {}), (9, [1, 3], {})]
