@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import geo
-from terrafold.session import checkpointed
+from terrafold.session import stored
 
 
 def bounds(intersections: DataFrame) -> DataFrame:
@@ -134,37 +134,70 @@ def path_times(routes: DataFrame, metrics: DataFrame, penalty: float, requests:
     return requests.join(cost, "request_id", "left").select("request_id", F.coalesce("seconds", F.lit(math.inf)).alias("seconds"))
 
 
-def nearest(probes: DataFrame, targets: DataFrame, cell_deg: float = 0.004) -> DataFrame:
-    """probes (probe_id, lat, lon) each with the nearest of targets (target_id, lat, lon); of equals the least id.
+#: Cells of the nearest search: so many degrees on the first level, a share of that on each further one, and how many levels.
+NEAREST_DEG, NEAREST_SPLIT, NEAREST_LEVELS = 45.0, 8, 7
 
-    Both are cut into cells and met within the surrounding ring. A hit is final if it lies nearer than the ring's edge;
-    the probes left go through rings four times as wide, until few enough cells remain to hold all targets, so that the
-    answer is exact whatever the density. Probes without a target come out with nulls.
+
+def _bounds_to(lat: Column, lon: Column, box: Column) -> tuple[Column, Column]:
+    """(least, most) metres from a position to any point in a box (south, north, west, east)."""
+    cos = [F.cos(F.radians((lat + box[k]) / 2)) for k in ("south", "north")]
+    mean_crosses = (lat + box["south"] < 0) & (lat + box["north"] > 0)
+    zero = F.lit(0.0)
+
+    def metres(dlat: Column, dlon: Column, c: Column) -> Column:
+        return geo.EARTH_RADIUS_M * F.hypot(F.radians(dlat), F.radians(dlon) * c)
+
+    least = metres(F.greatest(box["south"] - lat, lat - box["north"], zero), F.greatest(box["west"] - lon, lon - box["east"], zero), F.least(*cos))
+    most = metres(
+        F.greatest(F.abs(lat - box["south"]), F.abs(lat - box["north"])), F.greatest(F.abs(lon - box["west"]), F.abs(lon - box["east"])), F.when(mean_crosses, 1.0).otherwise(F.greatest(*cos))
+    )
+    return least, most
+
+
+def nearest(probes: DataFrame, targets: DataFrame, by: str | None = None, levels: int = NEAREST_LEVELS) -> DataFrame:
+    """(probe_id, target_id, metres): probes (probe_id, lat, lon) each with the nearest of targets (target_id, lat, lon); of equals the least id.
+
+    With ``by`` only targets with the probe's value of that column count. The search goes down a tree of cells, each with
+    the box of its targets: of the cells that a probe has left, those go whose box begins beyond where another one ends,
+    and the rest are replaced by their parts. So few cells stay for each probe on every level, however dense or far away
+    the targets are, and the answer is exact. Targets at one position count as one. Probes without a target come out
+    with nulls.
     """
-    left = checkpointed(probes.select("probe_id", "lat", "lon"))
-    found = left.limit(0).select("probe_id", F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("double").alias("metres"))
-    deg = cell_deg
-    while not left.isEmpty():
-        last = deg >= 45
-        size = 400.0 if last else deg
-
-        def cell(lat: Column, lon: Column, size: float = size) -> Column:
-            return F.floor((lat + 90) / size) * 1_000_000 + F.floor((lon + 180) / size)
-
-        around = F.array(*(F.lit(a * 1_000_000 + b) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-        own = cell(F.col("lat"), F.col("lon"))
-        p = left.withColumn("cell", F.explode(F.transform(around, lambda k: k + own)))  # noqa: B023
-        t = targets.select("target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")).withColumn("cell", cell(F.col("t_lat"), F.col("t_lon")))
-        d = geo.geo_distance(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
-        # to the micrometre, so that equal distances are equal however they were computed
-        met = p.join(t, "cell").groupBy("probe_id").agg(F.min(F.struct(F.round(d, 6).alias("d"), "target_id")).alias("best"))
-        # within the ring every target nearer than a cell's height is seen; a cell's width shrinks with latitude
-        safe = geo.EARTH_RADIUS_M * math.radians(size) * F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9)))) * 0.99
-        sure = F.lit(True) if last else F.coalesce(F.col("best.d") < safe, F.lit(False))
-        best = checkpointed(left.join(met, "probe_id", "left").withColumn("sure", sure))
-        found = found.unionByName(best.where("sure").select("probe_id", F.col("best.target_id").alias("target_id"), F.col("best.d").alias("metres")))
-        left = best.where("NOT sure").select("probe_id", "lat", "lon")
-        if last:
-            break
-        deg *= 8
-    return found
+    group = F.col(by) if by else F.lit(0)
+    p = probes.select("probe_id", "lat", "lon", group.alias("g"))
+    t = targets.select("target_id", "lat", "lon", group.alias("g")).where("lat IS NOT NULL AND lon IS NOT NULL AND g IS NOT NULL").groupBy("g", "lat", "lon").agg(F.min("target_id").alias("target_id"))
+
+    def cell(level: int) -> Column:
+        size = NEAREST_DEG / NEAREST_SPLIT**level
+        return F.floor((F.col("lat") + 90) / size) * (1 << 31) + F.floor((F.col("lon") + 180) / size)
+
+    # boxes of the finest cells, then of each coarser level from those of the next
+    boxes = stored(t.groupBy("g", *(cell(k).alias(f"c{k}") for k in range(levels))).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")))
+    extent = [F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east")]
+    lat, lon = F.col("lat"), F.col("lon")
+    left = None
+    for k in range(levels):
+        above = F.col(f"c{k - 1}") if k else F.lit(0)
+        parts = boxes.groupBy("g", above.alias("above"), F.col(f"c{k}").alias("cell")).agg(*extent)
+        # at most NEAREST_SPLIT^2 parts of a cell; on the first level the cells of the globe
+        parts = parts.groupBy("g", "above").agg(F.collect_list(F.struct("cell", "south", "north", "west", "east")).alias("parts"))
+        asked = p.withColumns({"above": F.lit(0), "far": F.lit(float("inf"))}) if left is None else left
+        met = asked.join(parts, ["g", "above"])
+
+        def judged(x: Column) -> Column:
+            least, most = _bounds_to(lat, lon, x)
+            return F.struct(x["cell"].alias("cell"), least.alias("least"), most.alias("most"))
+
+        met = met.withColumn("parts", F.transform("parts", judged))
+        met = met.withColumn("far", F.least("far", F.array_min(F.transform("parts", lambda x: x["most"]))))
+        # a few micrometres of slack, so that equals stay in
+        met = met.withColumn("parts", F.filter("parts", lambda x: x["least"] <= F.col("far") + 1e-5))
+        if k:  # a probe has one row before
+            met = met.withColumn("far", F.min("far").over(Window.partitionBy("probe_id")))
+        met = met.select("probe_id", "lat", "lon", "g", "far", F.explode("parts").alias("x")).where(F.col("x.least") <= F.col("far") + 1e-5)
+        left = met.select("probe_id", "lat", "lon", "g", "far", F.col("x.cell").alias("above"))
+    ends = t.select("g", cell(levels - 1).alias("above"), "target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    # to the micrometre, so that equal distances are equal however they were computed
+    d = F.round(geo.geo_distance(lat, lon, F.col("t_lat"), F.col("t_lon")), 6)
+    best = left.join(ends, ["g", "above"]).groupBy("probe_id").agg(F.min(F.struct(d.alias("d"), "target_id")).alias("best"))
+    return probes.select("probe_id").join(best, "probe_id", "left").select("probe_id", F.col("best.target_id").alias("target_id"), F.col("best.d").alias("metres"))

@@ -77,10 +77,9 @@ def intersections(streets: DataFrame, segments: DataFrame, text: str) -> DataFra
 
 def nearest_named(probes: DataFrame, pois: DataFrame) -> DataFrame:
     """probes (intersection_id, lat, lon, wanted) each with the nearest POI of just that name; of equals the least id, null if none."""
-    p = pois.select(F.col("poi_name").alias("wanted"), "poi_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    metres = F.round(geo.geo_distance(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")), 6)
-    best = probes.join(p, "wanted").groupBy("intersection_id").agg(F.min(F.struct(metres.alias("metres"), "poi_id")).alias("best"))
-    return probes.join(best, "intersection_id", "left").select("intersection_id", F.col("best.poi_id").alias("poi_id"))
+    p = pois.select(F.col("poi_name").alias("wanted"), F.col("poi_id").alias("target_id"), "lat", "lon")
+    found = network.nearest(probes.withColumnRenamed("intersection_id", "probe_id"), p, by="wanted")
+    return found.select(F.col("probe_id").alias("intersection_id"), F.col("target_id").alias("poi_id"))
 
 
 def picked(probes: DataFrame, food: DataFrame, shops: DataFrame, crossings_: DataFrame, limit: float = 150.0) -> DataFrame:
