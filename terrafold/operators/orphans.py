@@ -113,6 +113,36 @@ def signed_counts(segments: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def current_references(segments: DataFrame) -> DataFrame:
+    """(segment, node_id): references of the newest row of each segment (osm_id), by edited_at, then row_id.
+
+    A segment that is delivered again replaces its older rows, and their references end. Rows without osm_id stand for
+    themselves. Rows meet by partial aggregation, so a segment with very many deliveries is no hot task.
+    """
+    refs = F.array_distinct(F.filter("node_refs", lambda x: x.isNotNull()))
+    newest = F.max(F.struct(F.coalesce(F.col("edited_at").cast("timestamp_ntz"), _ntz(ALWAYS)).alias("edited_at"), "row_id", refs.alias("refs"))).alias("now")
+    key = F.struct(F.col("osm_id").isNotNull().alias("has_id"), F.coalesce("osm_id", "row_id").alias("id"))
+    return segments.groupBy(key.alias("segment")).agg(newest).select("segment", F.explode("now.refs").alias("node_id"))
+
+
+def reference_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(node_id, n_refs, n_exists): signed changes of references between two states of ``current_references``.
+
+    A reference that a replaced or removed segment no longer makes counts -1, a new one +1; unchanged keys give no row.
+    To be merged into the maintained state with ``merge_counts``; of a batch both states need only hold the segments
+    that it touches.
+    """
+    signed = before.select("node_id", F.lit(-1).alias("n")).unionAll(after.select("node_id", F.lit(1).alias("n")))
+    return signed.groupBy("node_id").agg(F.sum("n").alias("n_refs")).where("n_refs <> 0").select("node_id", "n_refs", F.lit(0).cast("long").alias("n_exists"))
+
+
+def live_counts(segments: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, n_refs, n_exists): as ``signed_counts``, but only the newest row of each segment refers."""
+    refs = current_references(segments)
+    live = existence_deltas(nodes).groupBy("node_id").agg(F.sum("delta").alias("e"))
+    return merge_counts(reference_deltas(refs.limit(0), refs), live.select("node_id", F.lit(0).cast("long").alias("n_refs"), F.col("e").cast("long").alias("n_exists")))
+
+
 def merge_counts(state: DataFrame, deltas: DataFrame) -> DataFrame:
     """The maintained state after one more batch of signed deltas (both: node_id, n_refs, n_exists).
 

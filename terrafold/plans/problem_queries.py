@@ -46,6 +46,11 @@ def p4_current(spark: SparkSession, d: str) -> DataFrame:
     return orphans.current_orphans(orphans.signed_counts(table(spark, d, "street_segment_records"), table(spark, d, "node_records")))
 
 
+def p4_live(spark: SparkSession, d: str) -> DataFrame:
+    """Orphans now, references of replaced segment rows being taken back."""
+    return orphans.current_orphans(orphans.live_counts(table(spark, d, "street_segment_records"), table(spark, d, "node_records")))
+
+
 def _shredded(spark: SparkSession, d: str) -> DataFrame:
     return shred.shred(table(spark, d, "place_pages"))
 
@@ -67,7 +72,7 @@ def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _shredded(spark, d).select(F.col("doc_id").alias("page_id"), "path", "at", "label", "kind", "scalar", F.when(F.col("label").isNull(), F.col("ordinal")).alias("ordinal"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_speeds, p4_found, p4_by_period, p4_current, p5_found, p5_places, p5_geocodes, p5_nodes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p3_speeds, p4_found, p4_by_period, p4_current, p4_live, p5_found, p5_places, p5_geocodes, p5_nodes)}
 
 _USABLE = "isfinite(lat) AND isfinite(lon) AND abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)"
 
@@ -138,6 +143,14 @@ live AS (SELECT osm_id FROM node_records GROUP BY 1 HAVING max_by(is_visible, ve
 SELECT node_id, CAST(count(*) AS BIGINT) AS n_refs FROM r WHERE node_id IS NOT NULL AND node_id NOT IN (SELECT osm_id FROM live) GROUP BY 1
 """
 
+_P4_LIVE = """
+WITH newest AS (SELECT osm_id, max_by(node_refs, {'e': coalesce(edited_at, TIMESTAMP '0001-01-01'), 'r': row_id}) AS refs FROM street_segment_records WHERE osm_id IS NOT NULL GROUP BY 1
+  UNION ALL SELECT NULL, node_refs FROM street_segment_records WHERE osm_id IS NULL),
+r AS (SELECT unnest(list_distinct(refs)) AS node_id FROM newest),
+live AS (SELECT osm_id FROM node_records GROUP BY 1 HAVING max_by(is_visible, version))
+SELECT node_id, CAST(count(*) AS BIGINT) AS n_refs FROM r WHERE node_id IS NOT NULL AND node_id NOT IN (SELECT osm_id FROM live) GROUP BY 1
+"""
+
 _P5_PLACES = """
 WITH RECURSIVE ok AS (SELECT page_id, CAST(body AS JSON) AS j FROM place_pages WHERE body IS NOT NULL AND json_valid(body)),
 arr AS (SELECT page_id, j -> '$.results' AS r FROM ok WHERE json_type(j -> '$.results') = 'ARRAY'),
@@ -212,5 +225,5 @@ SELECT p.page_id, p.place_path, p.p ->> '$.name' AS name, f.address, f.website,
 LEFT JOIN (SELECT page_id, place_path, min(lat) AS lat, min(lon) AS lon FROM main GROUP BY ALL) m USING (page_id, place_path) WHERE p.parent_path IS NULL AND json_type(p.p) = 'OBJECT'"""
 
 ORACLES: dict[str, str] = {
-    "p5_nodes": _P5_NODES, "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p5_found": _P5, "p5_geocodes": _P5_GEOCODES, "p5_places": _P5_PLACES,
+    "p5_nodes": _P5_NODES, "p2_found": _P2, "p3_found": _P3, "p3_speeds": _P3_SPEEDS, "p4_found": _P4, "p4_by_period": _P4_PERIOD, "p4_current": _P4_CURRENT, "p4_live": _P4_LIVE, "p5_found": _P5, "p5_geocodes": _P5_GEOCODES, "p5_places": _P5_PLACES,
 }

@@ -62,3 +62,14 @@ def test_periods(spark):
     o = orphans.orphan_references(spark.createDataFrame([(1, [5, 6], day(0), 0, 0), (2, [5], day(40), 0, 0), (3, [5], None, 0, 0)], SEG), spark.createDataFrame([], NODE))
     got = sorted(map(tuple, orphans.orphans_by_period(o, "t").collect()))
     assert got == [("t", "2024-01", "missing", 2, 1), ("t", "2024-02", "missing", 1, 1), ("t", "none", "missing", 1, 1)]
+
+
+def test_replaced_and_removed_segments_take_references_back(spark):
+    kinds = "osm_id long, row_id long, node_refs array<long>, edited_at timestamp_ntz, x int"
+    old = spark.createDataFrame([(1, 10, [5, 6, None], day(0), 0), (2, 11, [6], day(0), 0), (None, 12, [7], day(0), 0), (3, 13, None, day(0), 0)], kinds)
+    new = spark.createDataFrame([(1, 20, [6, 8, 8], day(2), 0), (1, 19, [9], day(1), 0), (None, 12, [7], day(0), 0), (3, 13, None, day(0), 0)], kinds)  # 2 is gone
+    before, after = orphans.current_references(old), orphans.current_references(old.where("osm_id <> 2 OR osm_id IS NULL").unionAll(new).dropDuplicates(["row_id"]))
+    deltas = orphans.reference_deltas(before, after)
+    assert sorted(map(tuple, deltas.collect())) == [(5, -1, 0), (6, -1, 0), (8, 1, 0)]
+    state = orphans.merge_counts(orphans.reference_deltas(before.limit(0), before), deltas)
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, orphans.reference_deltas(after.limit(0), after).collect())) == [(6, 1, 0), (7, 1, 0), (8, 1, 0)]
