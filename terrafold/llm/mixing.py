@@ -7,18 +7,25 @@ part of a weight is so many certain uses, the rest a probability, drawn systemat
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.llm.encode import LEAF, TOKENIZERS, token_counts
+from terrafold.llm.encode import LEAF, TOKENIZERS, encoder
+from terrafold.session import stored
 
 #: Most sources with a target; the cells of the raking, which the driver holds, are at most this x 677 languages x topics.
-MAX_TARGETS = 1_000
+MAX_TARGETS = 10_000
 #: Topic words of each language.
 TOPICS = 8
+#: Counters of a sketch of a language's words, and candidates for its topic words.
+SKETCH, CANDIDATES = 2_000, 64
 #: Records of a source that are drawn from together.
 STRATUM = 10_000
 ROUNDS = 200
@@ -42,23 +49,90 @@ def language_code(lang: Column) -> Column:
     return F.coalesce(named, F.when(F.length(base) == 2, base), F.lit("und"))
 
 
-def sized_records(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, leaf: int = LEAF, topics: int = TOPICS) -> DataFrame:
+_RUN, _IDEOGRAPHS = re.compile(r"[^\W\d_]+"), re.compile(r"[\u3041-\u30ff\u3400-\u9fff]")
+
+
+def topic_words(text: str | None) -> set[str]:
+    """Words of a text that may name a topic: of six letters or more; in scripts without spaces, every two characters."""
+    out: set[str] = set()
+    for run in _RUN.findall((text or "").lower()):
+        if _IDEOGRAPHS.search(run):
+            out.update(run[i : i + 2] for i in range(len(run) - 1))
+        elif len(run) >= 6:
+            out.add(run)
+    return out
+
+
+def pruned(counts: dict[str, int], most: int) -> dict[str, int]:
+    """A sketch of at most ``most`` counters: all are lowered by the greatest that has to go, so none is off by more than n / most."""
+    if len(counts) <= most:
+        return counts
+    least = sorted(counts.values(), reverse=True)[most]
+    return {w: n - least for w, n in counts.items() if n > least}
+
+
+def frequent_words(rows: DataFrame, candidates: int = CANDIDATES, sketch: int = SKETCH) -> DataFrame:
+    """(lang, word): of each language the words that most of the records (lang, text) hold, by mergeable sketches of bounded size.
+
+    A task sends at most ``sketch`` counters a language; every word that more than a share 1 / sketch of the records
+    hold is among them. Counts here are near enough to choose candidates by, and are counted exactly afterwards.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {}
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts = held.setdefault(lang, {})
+                for w in topic_words(text):
+                    counts[w] = counts.get(w, 0) + 1
+                if len(counts) > 8 * sketch:
+                    held[lang] = pruned(counts, sketch)
+        for lang, counts in held.items():
+            some = pruned(counts, sketch)
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(list(some)), pa.array(list(some.values()), pa.int64())], ["lang", "word", "n"])
+
+    n = rows.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return n.withColumn("r", rank).where(F.col("r") <= candidates).select("lang", "word")
+
+
+def sized_records(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, topics: int = TOPICS, leaf: int = LEAF) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of the records whose source has a target and whose text has tokens.
 
-    The topic is the rarest topic word that a text holds; a language's topic words are its ``topics`` most frequent words of
-    six letters or more that stand in at most 3 of 10 of its records. Texts without one have the topic ``-``.
+    The topic is the rarest topic word that a text holds; a language's topic words are its ``topics`` most frequent words
+    (see ``topic_words``) that stand in at most 3 of 10 of its records. Texts without one have the topic ``-``. If ``docs``
+    has a column topic, that is taken instead, null as ``-``.
     """
     wanted = targets.select(source_name(F.col("source")).alias("source")).where("source IS NOT NULL").distinct()
-    rows = docs.select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), "text").join(wanted, "source", "left_semi")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) >= 6))
-    each = rows.select("doc_id", "lang", F.explode(words).alias("word"))
-    n_docs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    df = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")).join(n_docs, "lang").where(F.col("df") <= 0.3 * F.col("n"))
-    # the most frequent per language: a bounded sort by rank, with partial limits before the shuffle
-    ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))).where(F.col("r") <= topics).select("lang", "word", "df")
-    topic = each.join(ranked, ["lang", "word"]).groupBy("doc_id").agg(F.min_by("word", F.struct("df", "word")).alias("topic"))
-    sized = token_counts(rows, ["doc_id", "source", "lang"], tokenizers=tokenizers, leaf=leaf).where("n_tokens > 0")
-    return sized.join(topic, "doc_id", "left").withColumn("topic", F.coalesce("topic", F.lit("-")))
+    given = "topic" in docs.columns
+    told = F.coalesce(F.col("topic").cast("string"), F.lit("-")) if given else F.lit("-")
+    rows = docs.select("doc_id", source_name(F.col("source")).alias("source"), language_code(F.col("lang")).alias("lang"), told.alias("topic"), "text").join(wanted, "source", "left_semi")
+    # at most CANDIDATES words for each of 677 languages
+    known: dict[str, set[str]] = {}
+    for r in [] if given else frequent_words(rows).collect():
+        known.setdefault(r.lang, set()).add(r.word)
+    path = os.path.join(tokenizers, "byte_bpe_50k.tiktoken")
+    ids = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            sizes = pa.array([len(enc.encode(t or "", leaf)) for t in texts], pa.int64())
+            held = [sorted(topic_words(t) & known[lang]) if lang in known else [] for t, lang in zip(texts, b.column("lang").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "lang", "topic")), sizes, pa.array(held, pa.list_(pa.string()))], ["doc_id", "source", "lang", "topic", "n_tokens", "held"])
+
+    # read for the counts of words, for the cells and for the draw
+    sized = stored(rows.select("doc_id", "source", "lang", "topic", "text").mapInArrow(run, f"{ids}, source string, lang string, topic string, n_tokens long, held array<string>").where("n_tokens > 0"))
+    if given:
+        return sized.drop("held")
+    n_docs = sized.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    df = sized.select("lang", F.explode("held").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")).join(n_docs, "lang").where("df <= 0.3 * n")
+    df = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))).where(F.col("r") <= topics)
+    of_lang = stored(df.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("df")))  # ``topics`` words a language
+    rarest = F.array_min(F.transform(F.filter("held", lambda w: F.map_contains_key("df", w)), lambda w: F.struct(F.try_element_at("df", w).alias("df"), w.alias("word"))))["word"]
+    return sized.join(F.broadcast(of_lang), "lang", "left").select("doc_id", "source", "lang", F.coalesce(rarest, F.lit("-")).alias("topic"), "n_tokens")
 
 
 @dataclass
@@ -69,17 +143,22 @@ class Plan:
     total: float
 
 
-def _scaled(w: np.ndarray, tokens: np.ndarray, cap: np.ndarray, goal: float) -> np.ndarray:
-    """w times a factor, cut off at the caps, so that the tokens come to the goal, or all at the cap."""
-    if not len(w) or (cap * tokens).sum() <= goal:
-        return cap.copy()
-    low, high = 0.0, 1.0
-    while (np.minimum(cap, w * high) * tokens).sum() < goal:
-        high *= 2
-    for _ in range(100):
+def _scaled(w: np.ndarray, tokens: np.ndarray, cap: np.ndarray, group: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """w times a factor for each group, cut off at the caps, so that its tokens come to its goal, or all at the cap."""
+    n = len(goals)
+
+    def reached(factor: np.ndarray) -> np.ndarray:
+        return np.bincount(group, np.minimum(cap, w * factor[group]) * tokens, n)
+
+    full = np.bincount(group, cap * tokens, n) <= goals
+    low, high = np.zeros(n), np.ones(n)
+    while (short := ~full & (reached(high) < goals)).any():
+        high[short] *= 2
+    for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if (np.minimum(cap, w * middle) * tokens).sum() < goal else (low, middle)
-    return np.minimum(cap, w * high)
+        less = reached(middle) < goals
+        low, high = np.where(less, middle, low), np.where(less, high, middle)
+    return np.where(full[group], cap, np.minimum(cap, w * high[group]))
 
 
 def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], caps: dict[str, int], marginals: dict[int, dict[str, float]] | None = None, rounds: int = ROUNDS) -> Plan:
@@ -97,19 +176,19 @@ def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], cap
     scale = sum(shares.values())
     tokens = np.array([c[3] for c in cells], float)
     cap = np.array([caps[c[0]] for c in cells], float)
-    by = [{v: np.array([i for i, c in enumerate(cells) if c[k] == v]) for v in sorted({c[k] for c in cells})} for k in range(3)]
-    total = min((cap * tokens)[i].sum() * scale / shares[s] for s, i in by[0].items())
-    goals: list[dict[str, float]] = [{s: total * shares[s] / scale for s in by[0]}]
+    values, codes = zip(*(np.unique(np.array([c[k] for c in cells], object), return_inverse=True) for k in range(3)), strict=True)
+    share = np.array([shares[v] for v in values[0]]) / scale
+    total = (np.bincount(codes[0], cap * tokens) / share).min()
+    goals = [total * share]
     for k in (1, 2):
-        told = (marginals or {}).get(k) or {v: tokens[i].sum() for v, i in by[k].items()}
-        whole = sum(told.get(v, 0.0) for v in by[k]) or 1.0
-        goals.append({v: total * told.get(v, 0.0) / whole for v in by[k]})
+        told = (marginals or {}).get(k)
+        parts = np.array([told.get(v, 0.0) for v in values[k]]) if told else np.bincount(codes[k], tokens)
+        goals.append(total * parts / (parts.sum() or 1.0))
     w = np.ones(len(cells))
     for _ in range(rounds):
         before = w.copy()
         for k in (1, 2, 0):
-            for v, i in by[k].items():
-                w[i] = _scaled(np.maximum(w[i], 1e-12), tokens[i], cap[i], goals[k][v])
+            w = _scaled(np.maximum(w, 1e-12), tokens, cap, codes[k], goals[k])
         if np.abs(w - before).max() < 1e-9:
             break
     return Plan({c[:3]: float(x) for c, x in zip(cells, w, strict=True)}, float(total))
@@ -126,9 +205,7 @@ def mixture(docs: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, m
     config = told.limit(MAX_TARGETS + 1).collect()
     if len(config) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} sources with a target")
-    from terrafold.session import checkpointed
-
-    sized = checkpointed(sized_records(docs, targets, tokenizers))
+    sized = sized_records(docs, targets, tokenizers)
     cells = sized.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # bounded, see MAX_TARGETS
     plan = rake([(c.source, c.lang, c.topic, float(c.tokens)) for c in cells], {r.source: r.target_share for r in config}, {r.source: int(r.max_repeats or 0) for r in config}, marginals)
     spark = docs.sparkSession

@@ -62,3 +62,26 @@ def test_languages(spark):
     rows = spark.createDataFrame([(x,) for x in ("en", "EN-gb", "de_AT", "ger", " jp ", "es-419", None, "", "English", "x")], "l string")
     got = [r.c for r in rows.select(mixing.language_code(F.col("l")).alias("c")).collect()]
     assert got == ["en", "en", "de", "de", "ja", "es", "und", "und", "und", "und"]
+
+
+def test_topics_are_the_rarest_of_frequent_words(spark):
+    targets = spark.createDataFrame([("alpha", 1.0, 1)], T)
+    texts = ["common words here"] * 4 + ["common harbour"] * 3 + ["common harbour station"] * 2 + ["nothing"] * 21 + [None, "", "x"]
+    rows = spark.createDataFrame([(i, t, "alpha", "en", 0, "") for i, t in enumerate(texts)], D)
+    got = {r.doc_id: r.topic for r in mixing.sized_records(rows, targets, topics=2).collect()}
+    assert got[0] == "common" and got[4] == got[7] == "harbour" and got[9] == "-" and got[32] == "-" and 30 not in got and 31 not in got
+    given = {r.doc_id: r.topic for r in mixing.sized_records(rows.selectExpr("*", "nullif(doc_id % 3, 2) AS topic"), targets).collect()}
+    assert given[0] == "0" and given[1] == "1" and given[2] == "-"
+    assert mixing.topic_words("Die Brücken und 東京都です") == {"brücken", "東京", "京都", "都で", "です"} and mixing.topic_words(None) == set()
+
+
+def test_sketches_keep_what_is_frequent():
+    r = random.Random(3)
+    counts, exact = {}, {}
+    for k in range(30_000):
+        w = "often" if r.random() < 0.05 else f"w{r.randrange(20_000)}"
+        counts[w] = counts.get(w, 0) + 1
+        exact[w] = exact.get(w, 0) + 1
+        if len(counts) > 400:
+            counts = mixing.pruned(counts, 50)
+    assert 0 <= exact["often"] - counts["often"] <= 30_000 / 50
