@@ -129,10 +129,11 @@ def _clean(text: str) -> str:
 _KINDS = {dict: "object", list: "array", _Number: "number", str: "string", bool: "boolean", type(None): "null"}
 
 
-def shred_value(value: Any) -> Iterator[tuple]:
+def shred_value(value: Any, wanted: dict[str, bool] | None = None, pattern: re.Pattern | None = None) -> Iterator[tuple]:
     """Adjacency rows (without doc_id) of one parsed document, parents before their children.
 
-    A string that is itself a JSON object or array is shredded in its place; its text stays as the node's scalar.
+    A string that is itself a JSON object or array is shredded in its place; its text stays as the node's scalar. With
+    ``pattern`` only rows whose path it matches come out; ``wanted`` remembers what was found of paths.
     """
     count = 0
     step: dict[tuple[str, str], str] = {}  # paths repeat, so each is made once
@@ -152,7 +153,14 @@ def shred_value(value: Any) -> Iterator[tuple]:
             scalar = "true" if v else "false"
         node = count
         count += 1
-        yield node, parent, label, ordinal, kind, scalar, path, at
+        if pattern is None:
+            yield node, parent, label, ordinal, kind, scalar, path, at
+        else:
+            keep = wanted.get(path)
+            if keep is None:
+                keep = wanted[path] = bool(pattern.search(path))
+            if keep:
+                yield node, parent, label, ordinal, kind, scalar, path, at
         if kind == "object":
             for i, (k, x) in enumerate(v.items()):
                 way = step.get((path, k))
@@ -166,18 +174,21 @@ def shred_value(value: Any) -> Iterator[tuple]:
             todo.extend((x, node, None, i, way, f"{before}{i}") for i, x in enumerate(v))
 
 
-def shred(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFrame:
+def shred(docs: DataFrame, key: str = "page_id", body: str = "body", paths: str | None = None) -> DataFrame:
     """(doc_id, node, parent, label, ordinal, kind, scalar, path, at): one row per JSON value of every valid body.
 
     The root is node 0 and has no parent; elements of lists have an ordinal and no label. In paths a label's ``/`` is
     ``~1``, its ``~`` ``~0`` and its ``[]`` ``~2``. Null bodies and texts that are not JSON give no rows; depth is not
-    bounded. Other columns of ``docs`` are ignored.
+    bounded. Other columns of ``docs`` are ignored. With ``paths`` only rows whose path holds a match of that pattern
+    come out, numbered as in the whole table; the pattern is tried once for each path that a task meets.
     """
+    pattern = re.compile(paths) if paths else None
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
     names = [f.split(" ")[0] for f in SHRED_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        wanted: dict[str, bool] = {}
         chars = 0
 
         def flush() -> pa.RecordBatch:
@@ -188,7 +199,9 @@ def shred(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFram
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ok, value = parse(text)
-                for row in shred_value(value) if ok else ():
+                if len(wanted) > BATCH_ROWS:
+                    wanted.clear()
+                for row in shred_value(value, wanted, pattern) if ok else ():
                     held.append((doc, *row))
                     chars += len(row[6]) + len(row[7])
                     if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
@@ -204,6 +217,11 @@ def shred(docs: DataFrame, key: str = "page_id", body: str = "body") -> DataFram
 PLACE = r"^results\[\](?:/related_places/children\[\])*"
 
 
+#: Paths of the rows that ``places`` and ``place_items`` read.
+PLACE_PATHS = PLACE + "(?:/fsq_id|/name)?$"
+ITEM_PATHS = PLACE + r"(?:/(?:location|website|rating)(?:\[\])?(?:/(?:address|formatted_address|url|value))?|/geocodes(?:\[\]|/[^/\[\]]+)(?:/(?:latitude|longitude|lat|lng|lon|type))?)?$"
+
+
 def with_children(containers: DataFrame, scalars: DataFrame, labels: list[str], keep: list[str]) -> DataFrame:
     """Container nodes joined with their scalar children and pivoted: columns ``keep``, doc_id, node and one for each label.
 
@@ -216,7 +234,7 @@ def with_children(containers: DataFrame, scalars: DataFrame, labels: list[str],
 
 def places(nodes: DataFrame) -> DataFrame:
     """(page_id, place_path, parent_path, fsq_id, name): every place object; parent_path is null for those in results."""
-    some = nodes.where(F.regexp_like("path", F.lit(PLACE + "(?:/fsq_id|/name)?$")))
+    some = nodes.where(F.regexp_like("path", F.lit(PLACE_PATHS)))
     some = stored(some.select("doc_id", "node", "parent", "label", "kind", "scalar", "path", "at"))
     place = some.where((F.col("kind") == "object") & F.endswith("path", F.lit("[]")))
     rows = with_children(place, some, ["fsq_id", "name"], ["at"])

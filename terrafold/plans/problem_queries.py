@@ -51,20 +51,20 @@ def p4_live(spark: SparkSession, d: str) -> DataFrame:
     return orphans.current_orphans(orphans.live_counts(table(spark, d, "street_segment_records"), table(spark, d, "node_records")))
 
 
-def _shredded(spark: SparkSession, d: str) -> DataFrame:
-    return shred.shred(table(spark, d, "place_pages"))
+def _shredded(spark: SparkSession, d: str, paths: str | None = None) -> DataFrame:
+    return shred.shred(table(spark, d, "place_pages"), paths=paths)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.place_items(_shredded(spark, d)).select("page_id", "place_path", "item_kind", "item_key").distinct()
+    return shred.place_items(_shredded(spark, d, shred.ITEM_PATHS)).select("page_id", "place_path", "item_kind", "item_key").distinct()
 
 
 def p5_places(spark: SparkSession, d: str) -> DataFrame:
-    return shred.places(_shredded(spark, d))
+    return shred.places(_shredded(spark, d, shred.PLACE_PATHS))
 
 
 def p5_geocodes(spark: SparkSession, d: str) -> DataFrame:
-    return shred.place_items(_shredded(spark, d)).where("item_kind = 'geocode'").select("page_id", "place_path", F.col("item_key").alias("geocode"), "lat", "lon")
+    return shred.place_items(_shredded(spark, d, shred.ITEM_PATHS)).where("item_kind = 'geocode'").select("page_id", "place_path", F.col("item_key").alias("geocode"), "lat", "lon")
 
 
 def p5_nodes(spark: SparkSession, d: str) -> DataFrame:

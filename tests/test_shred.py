@@ -68,8 +68,10 @@ def items_by_walk(body):
 
 
 def spark_items(spark, rows):
-    df = shred.place_items(shred.shred(spark.createDataFrame(rows, "page_id long, body string, node string, label string")))
-    return {(r.page_id, r.place_path, r.item_kind, r.item_key) for r in df.collect()}
+    docs = spark.createDataFrame(rows, "page_id long, body string, node string, label string")
+    few, whole = ({(r.page_id, r.place_path, r.item_kind, r.item_key) for r in shred.place_items(shred.shred(docs, paths=p)).collect()} for p in (shred.ITEM_PATHS, None))
+    assert few == whole
+    return whole
 
 
 def test_all_pages_against_a_walk(spark):
