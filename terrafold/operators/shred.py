@@ -261,18 +261,13 @@ def place_items(nodes: DataFrame) -> DataFrame:
     containers (places, locations, geocodes, lists of them) are joined with their scalar children; what a scalar means
     follows from its container's path and its own label.
     """
-    # what follows the place's own path; only the few rows that can matter are stored and shuffled
-    rest = F.regexp_replace("path", PLACE + "/?", "")
-    some = nodes.where(F.startswith("path", F.lit("results[]"))).withColumn("rest", rest)
-    container = F.col("kind").isin("object", "array") & (
-        F.regexp_like("rest", F.lit(r"^(?:location|website|rating)?(?:\[\])?$")) | F.regexp_like("rest", F.lit(r"^geocodes(?:\[\]|/[^/\[\]]+)$"))
-    )
-    scalar = F.col("kind").isin("string", "number") & F.regexp_like(
-        "rest", F.lit(r"^(?:(?:location|website|rating)(?:\[\])?|location(?:\[\])?/(?:address|formatted_address)|website(?:\[\])?/url|rating(?:\[\])?/value|geocodes(?:\[\]|/[^/\[\]]+)/(?:latitude|longitude|lat|lng|lon|type))$")
-    )
-    some = stored(some.where(container | scalar).withColumn("is_container", container).select("doc_id", "node", "parent", "label", "kind", "scalar", "rest", "at", "is_container"))
-    c = some.where("is_container").select("doc_id", "node", F.col("label").alias("c_label"), F.col("rest").alias("c_rest"), F.col("at").alias("c_at"))
-    s = some.where("NOT is_container").select("doc_id", F.col("parent").alias("node"), "label", "scalar", "rest", "at")
+    # only the few rows that can matter are stored and shuffled
+    container = F.col("kind").isin("object", "array")
+    some = nodes.where(F.regexp_like("path", F.lit(ITEM_PATHS)) & (container | F.col("kind").isin("string", "number")))
+    some = stored(some.select("doc_id", "node", "parent", "label", "scalar", "path", "at", container.alias("is_container")))
+    c = some.where("is_container").select("doc_id", "node", F.col("label").alias("c_label"))
+    # what follows the place's own path tells what a scalar is
+    s = some.where("NOT is_container").select("doc_id", F.col("parent").alias("node"), "label", "scalar", F.regexp_replace("path", PLACE + "/?", "").alias("rest"), "at")
     met = c.join(s, ["doc_id", "node"])
     # one more list lies between the place and what is an element of a list
     listed = F.contains("rest", F.lit("[]"))
@@ -285,11 +280,11 @@ def place_items(nodes: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("label").isin(*labels), F.col("scalar")))
 
     objects = met.where(of_object).groupBy("doc_id", "node").agg(
-        F.first("place_path").alias("place_path"), F.first("c_label").alias("c_label"), F.first("c_rest").alias("c_rest"),
+        F.first("place_path").alias("place_path"), F.first("c_label").alias("c_label"), F.first("rest").alias("rest"),
         member("address").alias("address"), member("formatted_address").alias("formatted"), member("type").alias("type"),
         *(F.max(F.when(F.col("label").isin(*labels), _number(F.col("scalar"), True).try_cast("double"))).alias(n) for n, labels in _COORDINATES.items()),
     )
-    geocode = F.startswith("c_rest", F.lit("geocodes"))
+    geocode = F.startswith("rest", F.lit("geocodes"))
     told = F.coalesce(F.nullif("address", F.lit("")), F.nullif("formatted", F.lit("")))
     placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     blank = F.lit(None).cast("double")
