@@ -135,7 +135,7 @@ def path_times(routes: DataFrame, metrics: DataFrame, penalty: float, requests:
 
 
 #: Cells of the nearest search: so many degrees on the first level, a share of that on each further one, and how many levels.
-NEAREST_DEG, NEAREST_SPLIT, NEAREST_LEVELS = 45.0, 8, 7
+NEAREST_DEG, NEAREST_SPLIT, NEAREST_LEVELS = 45.0, 8, 6
 
 
 def _bounds_to(lat: Column, lon: Column, box: Column) -> tuple[Column, Column]:
@@ -157,47 +157,46 @@ def _bounds_to(lat: Column, lon: Column, box: Column) -> tuple[Column, Column]:
 def nearest(probes: DataFrame, targets: DataFrame, by: str | None = None, levels: int = NEAREST_LEVELS) -> DataFrame:
     """(probe_id, target_id, metres): probes (probe_id, lat, lon) each with the nearest of targets (target_id, lat, lon); of equals the least id.
 
-    With ``by`` only targets with the probe's value of that column count. The search goes down a tree of cells, each with
-    the box of its targets: of the cells that a probe has left, those go whose box begins beyond where another one ends,
-    and the rest are replaced by their parts. So few cells stay for each probe on every level, however dense or far away
-    the targets are, and the answer is exact. Targets at one position count as one. Probes without a target come out
-    with nulls.
+    With ``by`` only targets with the probe's value of that column count. Targets lie in a tree of cells, each with the
+    box of its targets. The farthest corner of the box of the smallest cell that holds the probe and a target bounds the
+    distance; then the search goes down the tree and keeps, for each probe, only cells whose box begins within the
+    bound. So few cells stay on every level, however dense or far away the targets are, and the answer is exact. Probes,
+    and targets, at one position count as one. Probes without a target come out with nulls.
     """
     group = F.col(by) if by else F.lit(0)
-    p = probes.select("probe_id", "lat", "lon", group.alias("g"))
+    named = probes.select("probe_id", "lat", "lon", group.alias("g"))
+    lat, lon = F.col("lat"), F.col("lon")
+    p = named.where("lat IS NOT NULL AND lon IS NOT NULL AND g IS NOT NULL").select("g", "lat", "lon").distinct()
     t = targets.select("target_id", "lat", "lon", group.alias("g")).where("lat IS NOT NULL AND lon IS NOT NULL AND g IS NOT NULL").groupBy("g", "lat", "lon").agg(F.min("target_id").alias("target_id"))
 
     def cell(level: int) -> Column:
         size = NEAREST_DEG / NEAREST_SPLIT**level
-        return F.floor((F.col("lat") + 90) / size) * (1 << 31) + F.floor((F.col("lon") + 180) / size)
+        return F.floor((lat + 90) / size) * (1 << 31) + F.floor((lon + 180) / size)
 
-    # boxes of the finest cells, then of each coarser level from those of the next
-    boxes = stored(t.groupBy("g", *(cell(k).alias(f"c{k}") for k in range(levels))).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")))
-    extent = [F.min("south").alias("south"), F.max("north").alias("north"), F.min("west").alias("west"), F.max("east").alias("east")]
-    lat, lon = F.col("lat"), F.col("lon")
-    left = None
-    for k in range(levels):
-        above = F.col(f"c{k - 1}") if k else F.lit(0)
-        parts = boxes.groupBy("g", above.alias("above"), F.col(f"c{k}").alias("cell")).agg(*extent)
-        # at most NEAREST_SPLIT^2 parts of a cell; on the first level the cells of the globe
-        parts = parts.groupBy("g", "above").agg(F.collect_list(F.struct("cell", "south", "north", "west", "east")).alias("parts"))
-        asked = p.withColumns({"above": F.lit(0), "far": F.lit(float("inf"))}) if left is None else left
-        met = asked.join(parts, ["g", "above"])
+    own_cells = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), (cell(k - 1) if k else F.lit(0)).cast("long").alias("above"), cell(k).alias("cell")) for k in range(levels)))).alias("own")
+    extent = [F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")]
+    boxes = stored(t.select("g", "lat", "lon", own_cells).select("g", "lat", "lon", "own.*").groupBy("g", "level", "above", "cell").agg(*extent))
 
-        def judged(x: Column) -> Column:
-            least, most = _bounds_to(lat, lon, x)
-            return F.struct(x["cell"].alias("cell"), least.alias("least"), most.alias("most"))
+    sides = F.struct("south", "north", "west", "east")
+    asked = p.select("g", "lat", "lon", own_cells).select("g", "lat", "lon", "own.level", "own.cell").join(boxes.select("g", "level", "cell", sides.alias("box")), ["g", "level", "cell"])
+    bound = asked.groupBy("g", "lat", "lon").agg(F.min(_bounds_to(lat, lon, F.col("box"))[1]).alias("far"))
+    left = p.join(bound, ["g", "lat", "lon"], "left").withColumns({"above": F.lit(0).cast("long"), "far": F.coalesce("far", F.lit(float("inf")))})
+    left = stored(left)
 
-        met = met.withColumn("parts", F.transform("parts", judged))
+    def judged(x: Column) -> Column:
+        least, most = _bounds_to(lat, lon, x)
+        return F.struct(x["cell"].alias("cell"), least.alias("least"), most.alias("most"))
+
+    for k in range(levels):
+        # at most NEAREST_SPLIT^2 parts of a cell; on the first level the cells of the globe
+        parts = boxes.where(F.col("level") == k).groupBy("g", "above").agg(F.collect_list(F.struct("cell", "south", "north", "west", "east")).alias("parts"))
+        met = left.join(parts, ["g", "above"]).withColumn("parts", F.transform("parts", judged))
         met = met.withColumn("far", F.least("far", F.array_min(F.transform("parts", lambda x: x["most"]))))
         # a few micrometres of slack, so that equals stay in
-        met = met.withColumn("parts", F.filter("parts", lambda x: x["least"] <= F.col("far") + 1e-5))
-        if k:  # a probe has one row before
-            met = met.withColumn("far", F.min("far").over(Window.partitionBy("probe_id")))
-        met = met.select("probe_id", "lat", "lon", "g", "far", F.explode("parts").alias("x")).where(F.col("x.least") <= F.col("far") + 1e-5)
-        left = met.select("probe_id", "lat", "lon", "g", "far", F.col("x.cell").alias("above"))
+        near = F.explode(F.filter("parts", lambda x: x["least"] <= F.col("far") + 1e-5)).alias("x")
+        left = met.select("lat", "lon", "g", "far", near).select("lat", "lon", "g", "far", F.col("x.cell").alias("above"))
     ends = t.select("g", cell(levels - 1).alias("above"), "target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     # to the micrometre, so that equal distances are equal however they were computed
     d = F.round(geo.geo_distance(lat, lon, F.col("t_lat"), F.col("t_lon")), 6)
-    best = left.join(ends, ["g", "above"]).groupBy("probe_id").agg(F.min(F.struct(d.alias("d"), "target_id")).alias("best"))
-    return probes.select("probe_id").join(best, "probe_id", "left").select("probe_id", F.col("best.target_id").alias("target_id"), F.col("best.d").alias("metres"))
+    best = left.join(ends, ["g", "above"]).groupBy("g", "lat", "lon").agg(F.min(F.struct(d.alias("d"), "target_id")).alias("best"))
+    return named.join(best, ["g", "lat", "lon"], "left").select("probe_id", F.col("best.target_id").alias("target_id"), F.col("best.d").alias("metres"))
