@@ -34,6 +34,8 @@ GRAM = 3
 K1, B, MOST_TF = 1.2, 0.75, 3
 #: Share of a document's weight that a query must have to be looked at; how many pairs of a query are kept at least, and down to which share of the best all are.
 FLOOR, TOP, MARGIN = 0.12, 8, 0.6
+#: The same where no position narrows the search, so that a name has to say more.
+FAR_FLOOR = 0.4
 #: Records farther apart are not near.
 NEAR_M = 180.0
 #: Nearness adds up to so much to a score: the logarithm of the ratio of the area of NEAR_M to that of 15 m.
@@ -241,7 +243,7 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Postings of the POIs of a block of shards, by (shard, term); ``shards`` are small numbers."""
 
-    def __init__(self, rows: pa.Table, shards: np.ndarray, weights: Weights, n_shards: int):
+    def __init__(self, rows: pa.Table, shards: np.ndarray, weights: Weights, n_shards: int, floor: float = FLOOR):
         doc, packed = _flat(rows["terms"].combine_chunks())
         bucket, tf = packed // (MOST_TF + 1), packed % (MOST_TF + 1)
         length = np.bincount(doc, tf, len(shards))
@@ -253,12 +255,12 @@ class Index:
         self.begin = np.r_[0, np.cumsum(np.bincount(shards, minlength=n_shards))]
         self.local = np.empty(len(shards), np.int64)
         self.local[self.member] = np.arange(len(shards)) - self.begin[shards[self.member]]
-        # heaviest terms first in each document; those after which less than FLOOR of its weight is left need no posting
+        # heaviest terms first in each document; those after which less than the floor of its weight is left need no posting
         order = np.lexsort((bucket, -weight, doc))
         before = np.cumsum(weight[order]) - weight[order]
         begins = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(shards)))][doc[order]]
         left = self.whole[doc[order]] - (before - before[begins]) if len(doc) else before
-        posted = order[left >= FLOOR * self.whole[doc[order]] * (1 - 1e-9)]
+        posted = order[left >= floor * self.whole[doc[order]] * (1 - 1e-9)]
         self.unposted = self.whole - np.bincount(doc[posted], weight[posted], len(shards))
         posted = posted[np.argsort((shards[doc[posted]] << BITS) | bucket[posted], kind="stable")]
         self.posted, self.posted_doc, self.posted_weight = (shards[doc[posted]] << BITS) | bucket[posted], doc[posted], weight[posted]
@@ -310,14 +312,14 @@ class Index:
         return score, shared / np.maximum(whole, 1e-9), score / np.maximum(self.whole[d], 1e-9)
 
 
-def _block(rows: pa.Table, weights: Weights) -> pa.Table | None:
+def _block(rows: pa.Table, weights: Weights, floor: float) -> pa.Table | None:
     """The best pairs of all queries of a block of whole shards."""
     is_doc = np.asarray(rows["is_doc"])
     _, shard = np.unique(np.asarray(rows["shard"]), return_inverse=True)
     docs, asked = rows.filter(pa.array(is_doc)), rows.filter(pa.array(~is_doc))
     if not len(docs) or not len(asked):
         return None
-    index, own = Index(docs, shard[is_doc], weights, int(shard.max()) + 1), shard[~is_doc]
+    index, own = Index(docs, shard[is_doc], weights, int(shard.max()) + 1, floor), shard[~is_doc]
     found = []
     for field in ("terms", "host"):
         query, packed = _flat(asked[field].combine_chunks())
@@ -336,7 +338,7 @@ def _block(rows: pa.Table, weights: Weights) -> pa.Table | None:
     at = [np.asarray(t[c]).astype(np.float64) for t, c in ((asked, "lat"), (docs, "lat"), (asked, "lon"), (docs, "lon"))]
     y, x = at[1][d] - at[0][q], (at[3][d] - at[2][q] + 180) % 360 - 180
     metres = EARTH_RADIUS_M * np.hypot(np.radians(y), np.radians(x) * np.cos(np.radians((at[1][d] + at[0][q]) / 2)))
-    keep = first & (of_doc >= FLOOR) & ~(metres > NEAR_M)  # without a position the distance is not a number
+    keep = first & (of_doc >= floor) & ~(metres > NEAR_M)  # without a position the distance is not a number
     q, d, score, of_query, of_doc, metres = (c[keep] for c in (q, d, score, of_query, of_doc, metres))
     if not len(q):
         return None
@@ -351,7 +353,7 @@ def _block(rows: pa.Table, weights: Weights) -> pa.Table | None:
     return pa.table(columns, [f.strip().split(" ")[0] for f in PAIRS.split(",")])
 
 
-def retrieved(queries: DataFrame, docs: DataFrame, weights, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def retrieved(queries: DataFrame, docs: DataFrame, weights, floor: float = FLOOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The pairs (see PAIRS) of queries and docs of a shard, the best of each query exactly.
 
     queries: the columns of _SHIP, terms, host, cell (the shard) and decoy; docs: the same without host_key, host and decoy. Full
@@ -366,7 +368,7 @@ def retrieved(queries: DataFrame, docs: DataFrame, weights, shard_rows: int = SH
         held: list[pa.RecordBatch] = []
 
         def worked(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = _block(pa.Table.from_batches(parts), weights.value) if parts else None
+            out = _block(pa.Table.from_batches(parts), weights.value, floor) if parts else None
             if out is not None:
                 yield from out.combine_chunks().to_batches()
 
@@ -551,7 +553,7 @@ def match_places(web: DataFrame, poi: DataFrame, threshold: float = 0.5) -> Data
     wanted = stored(asks.select("ask").union(elsewhere.select("ask")).distinct())
     posted = pois.where("lat IS NOT NULL").withColumn("tcell", _cell(F.col("lat"), F.col("lon"), TOWN_DEG)).join(towns, "tcell").drop("tcell").withColumnRenamed("town", "ask")
     posted = posted.unionByName(pois.withColumn("ask", F.lit(""))).join(wanted, "ask", "left_semi").withColumn("cell", F.xxhash64("ask"))
-    found = stored(with_lift(scored(retrieved(asked, posted, weights)), lift))
+    found = stored(with_lift(scored(retrieved(asked, posted, weights, FAR_FLOOR)), lift))
     by_town = decided(found, sampled.where("town IS NOT NULL").select("place"), threshold, "town")
     # decoys are put to one town, so of the index over all POIs only what has no rival elsewhere is taken
     everywhere = asks.where("whole").select(F.col("id").alias("place_id"), "whole").distinct()

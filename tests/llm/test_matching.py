@@ -180,7 +180,7 @@ def test_split_shards_find_the_same(spark):
     whole = {(x.place_id, x.poi_id) for x in matching.match_places(w, p).collect()}
     retrieved, block = matching.retrieved, matching.BLOCK_ROWS
     try:
-        matching.retrieved = lambda q, d, weights: retrieved(q, d, weights, shard_rows=7)
+        matching.retrieved = lambda q, d, weights, floor=matching.FLOOR: retrieved(q, d, weights, floor, shard_rows=7)
         matching.BLOCK_ROWS = 11
         assert {(x.place_id, x.poi_id) for x in matching.match_places(w, p).collect()} == whole and len(whole) > 150
     finally:
