@@ -133,3 +133,38 @@ def test_stops_that_wait_for_each_other():
     times = {(a, b): 1.0 for a in range(3) for b in range(3)}
     tour = courier.greedy(0, need, times)
     assert courier.legal(tour, need) and not courier.legal([0, 1, 2, 0], need)
+
+
+@pytest.mark.parametrize("penalty", [0.0, 30.0])
+def test_blocks_agree_with_brute_force(spark, penalty, monkeypatch):
+    monkeypatch.setattr(routing, "BLOCK_STATES", 20)
+    rows = city(5, 5)
+    rows = [(*x[:6], 0.0) if x[0] % 6 == 1 else x for x in rows] + [(900, 24, 77, 5, True, 5.0, 3.0), (901, 60, 0, 6, True, 5.0, 4.0)]  # lengths of 0, ends that nothing leaves or leads to
+    m = spark.createDataFrame(rows, M)
+    src = spark.createDataFrame([(0,), (12,), (60,), (77,), (999,)], "intersection_id long")
+    want = {(s, t): c for s in (0, 12, 60) for t, c in by_states(rows, s, penalty).items()} | {(77, 77): 0.0, (999, 999): 0.0}
+    assert len(routing.Blocks(routing.directed(m)).cuts) > 2
+    for targets in ((None,), ({0, 12, 60, 77, 999}, {24, 60}))[penalty > 0]:
+        got = {(r.from_id, r.to_id): r.seconds for r in routing.frontier_times(routing.directed(m), src, penalty, targets).collect()}
+        asked = {k: c for k, c in want.items() if targets is None or k[1] in targets or k[0] == k[1]}
+        assert got.keys() == asked.keys() and all(math.isclose(got[k], asked[k], abs_tol=1e-9) for k in asked)
+
+
+def test_a_long_way_takes_few_rounds_and_no_large_graph_reaches_the_driver(spark, monkeypatch):
+    n = routing.MAX_BROADCAST_STATES + 1000
+    i = "CAST(id AS LONG)"
+    m = spark.range(n).selectExpr(f"{i} AS segment_id", f"{i} AS from_id", f"{i} + 1 AS to_id", "CAST(id % 7 AS LONG) AS street_id", "true AS one_way", "5D AS speed_mps", "1D AS seconds")
+    assert n < 250_000 and routing.broadcast_graph(routing.directed(m)) is None
+    monkeypatch.setattr(routing, "BLOCK_STATES", 40_000)
+    t = routing.times_from(m, spark.range(1).withColumnRenamed("id", "intersection_id"), 0.0)
+    assert t.where("seconds = to_id").count() == n + 1
+
+
+@pytest.mark.parametrize("name", ["sssp"])
+def test_what_may_reach_the_driver_is_small(spark, sf, monkeypatch, name):
+    import __spark_entry__
+
+    asked, limit = [0], type(spark.range(1)).limit
+    monkeypatch.setattr(type(spark.range(1)), "limit", lambda df, n: asked.append(n) or limit(df, n))
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0
+    assert 0 < max(asked) < 250_000
