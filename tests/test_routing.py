@@ -160,7 +160,7 @@ def test_a_long_way_takes_few_rounds_and_no_large_graph_reaches_the_driver(spark
     assert t.where("seconds = to_id").count() == n + 1
 
 
-@pytest.mark.parametrize("name", ["sssp", "time_matrix", "shortest_path_segments", "anneal", "greedy_tour", "subpaths", "tour_search", "depots_near", "tour_cost"])
+@pytest.mark.parametrize("name", ["sssp", "time_matrix", "shortest_path_segments", "anneal", "greedy_tour", "subpaths", "tour_search", "depots_near", "tour_cost", "shortest_path"])
 def test_what_may_reach_the_driver_is_small(spark, sf, monkeypatch, name):
     import __spark_entry__
 
