@@ -168,3 +168,36 @@ def test_what_may_reach_the_driver_is_small(spark, sf, monkeypatch, name):
     monkeypatch.setattr(type(spark.range(1)), "limit", lambda df, n: asked.append(n) or limit(df, n))
     assert __spark_entry__.queries()[name](spark, sf).count() > 0
     assert 0 < max(asked) < 250_000
+
+
+def plans(spark, since):
+    """The plans of what ran after the first ``since`` executions, and how many executions there are."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = spark._jsparkSession.sharedState().statusStore()
+    texts = {x.executionId(): x.physicalPlanDescription() for x in (ran.executionsList().apply(i) for i in range(ran.executionsList().size()))}
+    return [t for i, t in texts.items() if i > since and "CreateViewCommand" not in t], max(texts, default=-1)
+
+
+@pytest.mark.parametrize("name", ["greedy_tour"])
+def test_lengths_are_planned_once_and_plans_stay_small(spark, sf, monkeypatch, name):
+    import __spark_entry__
+
+    monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", 1)  # as on a large map
+    _, since = plans(spark, -1)
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0
+    ran, _ = plans(spark, since)
+    assert sum("p_size" in t for t in ran) == 1  # which only speeds are made of
+    assert max(map(len, ran)) < 80_000
+
+
+@pytest.mark.parametrize("bound", [1, 100_000])
+def test_searches_share_roads(spark, monkeypatch, bound):
+    monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", bound)
+    rows = city(9, 4)
+    m = spark.createDataFrame(rows, M)
+    roads = routing.Roads(m)
+    stops = spark.createDataFrame([(0,), (15,)], "intersection_id long")
+    times = {(r.from_id, r.to_id): r.seconds for r in routing.times_between(roads, stops, 15.0).collect()}
+    assert {k: round(v, 6) for k, v in times.items()} == {(r.from_id, r.to_id): round(r.seconds, 6) for r in routing.times_between(m, stops, 15.0).collect()}
+    way = routing.shortest_paths(roads, spark.createDataFrame([(1, 0, 15)], "request_id long, from_id long, to_id long"), 15.0)
+    assert math.isclose(max(r.seconds for r in way.collect()), times[0, 15]) and math.isclose(times[0, 15], by_states(rows, 0, 15.0)[15])
