@@ -178,7 +178,7 @@ def plans(spark, since):
     return [t for i, t in texts.items() if i > since and "CreateViewCommand" not in t], max(texts, default=-1)
 
 
-@pytest.mark.parametrize("name", ["greedy_tour", "time_matrix", "depots_near", "shortest_path", "subpaths", "tour_cost"])
+@pytest.mark.parametrize("name", ["greedy_tour", "time_matrix", "depots_near", "shortest_path", "subpaths", "tour_cost", "tour_search"])
 def test_lengths_are_planned_once_and_plans_stay_small(spark, sf, monkeypatch, name):
     import __spark_entry__
 
