@@ -190,6 +190,23 @@ def test_lengths_are_planned_once_and_plans_stay_small(spark, sf, monkeypatch, n
     assert max(map(len, ran)) < 80_000
 
 
+@pytest.mark.parametrize("name", ["time_matrix"])
+def test_roads_are_stored_in_steps_of_small_plans(spark, sf, monkeypatch, name):
+    import __spark_entry__
+
+    monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", 1)  # as on a large map
+    _, since = plans(spark, -1)
+    assert __spark_entry__.queries()[name](spark, sf).count() > 0
+    ran, _ = plans(spark, since)
+    assert max(map(len, ran)) < 45_000
+
+
+def test_directions_of_segments(spark):
+    m = spark.createDataFrame([(1, 5, 6, 3, False, 2.0, 4.0), (2, 6, 7, 3, True, 2.0, 4.5), (3, 7, 8, None, None, 2.0, 5.0), (4, 8, 9, 3, False, 0.0, 0.0), (5, 8, 9, 3, False, None, None)], M)
+    got = sorted(map(tuple, routing.directed(m).select("state", "segment_id", "a", "b", "street_id", "seconds").collect()))
+    assert got == [(2, 1, 5, 6, 3, 4.0), (3, 1, 6, 5, 3, 4.0), (4, 2, 6, 7, 3, 4.5), (6, 3, 7, 8, None, 5.0)]
+
+
 @pytest.mark.parametrize("bound", [1, 100_000])
 def test_searches_share_roads(spark, monkeypatch, bound):
     monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", bound)
