@@ -190,7 +190,7 @@ def test_lengths_are_planned_once_and_plans_stay_small(spark, sf, monkeypatch, n
     assert max(map(len, ran)) < 80_000
 
 
-@pytest.mark.parametrize("name", ["time_matrix", "shortest_path"])
+@pytest.mark.parametrize("name", ["time_matrix", "shortest_path", "tour_search"])
 def test_roads_are_stored_in_steps_of_small_plans(spark, sf, monkeypatch, name):
     import __spark_entry__
 
