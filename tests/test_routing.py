@@ -1,9 +1,11 @@
 import math
 import random
+from pathlib import Path
 
 import pytest
 
 from terrafold.operators import courier, routing
+from terrafold.session import local_path
 
 M = "segment_id long, from_id long, to_id long, street_id long, one_way boolean, speed_mps double, seconds double"
 
@@ -201,6 +203,21 @@ def test_roads_are_stored_in_steps_of_small_plans(spark, sf, monkeypatch, name):
     assert max(map(len, ran)) < 45_000
 
 
+def test_a_tour_plans_little_and_rounds_are_few_files(spark, sf, monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setattr(routing, "MAX_BROADCAST_STATES", 1)  # as on a large map
+    monkeypatch.setattr(routing, "BLOCK_STATES", 200)
+    folders, new = [], routing.new_folder
+    monkeypatch.setattr(routing, "new_folder", lambda s: folders.append(new(s)) or folders[-1])
+    _, since = plans(spark, -1)
+    assert __spark_entry__.queries()["tour_search"](spark, sf).count() > 0
+    ran, _ = plans(spark, since)
+    rounds = sorted(Path(local_path(folders[-1])).glob("round=*"))
+    assert len(rounds) > 3 and max(len([*r.rglob("*.parquet")]) for r in rounds) <= 6
+    assert max(map(len, ran)) < 28_000
+
+
 def test_directions_of_segments(spark):
     m = spark.createDataFrame([(1, 5, 6, 3, False, 2.0, 4.0), (2, 6, 7, 3, True, 2.0, 4.5), (3, 7, 8, None, None, 2.0, 5.0), (4, 8, 9, 3, False, 0.0, 0.0), (5, 8, 9, 3, False, None, None)], M)
     got = sorted(map(tuple, routing.directed(m).select("state", "segment_id", "a", "b", "street_id", "seconds").collect()))
